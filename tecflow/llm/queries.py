@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import simhash
+from . import simhash, token_counts
 from .common import table
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.token_counts(table(spark, sf_dir, "documents"))
+    return found.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_simhash,)}
+    return {f.__name__: f for f in (op3_token_counts, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
