@@ -218,10 +218,12 @@ class Pieces:
         return self.ids_of(part, self.path(came, piece, len(part)))
 
     def learn(self, parts: set[str]) -> None:
-        """Encodes parts that are not known yet."""
-        if len(self.known) + len(parts) > REMEMBERED:
+        """Makes sure that all of parts are known; earlier ones are forgotten when there are too many."""
+        fresh = parts - self.known.keys()
+        if len(self.known) + len(fresh) > REMEMBERED:
             self.known.clear()
-        coded = sorted(((p.encode(), p) for p in parts), key=lambda x: len(x[0]))
+            fresh = parts
+        coded = sorted(((p.encode(), p) for p in fresh), key=lambda x: len(x[0]))
         while coded and len(coded[-1][0]) > ALONE:
             data, p = coded.pop()
             self.known[p] = self.alone(data)
@@ -237,7 +239,7 @@ class Pieces:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null and empty texts have none."""
         parts = [self.part.findall((MARK if self.dummy_prefix else "") + t.replace(" ", MARK)) if t else [] for t in texts]
-        self.learn({p for found in parts for p in found if p not in self.known})
+        self.learn({p for found in parts for p in found})
         known = self.known
         return [np.frombuffer(b"".join([known[p] for p in found]), np.int32) for found in parts]
 

@@ -39,6 +39,14 @@ def test_ids_equal_the_librarys_viterbi(unigram, monkeypatch):
     assert [x.tolist() for x in again.encode(some)] == [x.tolist() for x in ours.encode(some)]
 
 
+def test_forgotten_parts_are_encoded_again(unigram, monkeypatch):
+    some = texts(300)
+    want = [x.tolist() for x in pieces.Pieces.load(unigram).encode(some)]
+    monkeypatch.setattr(pieces, "REMEMBERED", 5)
+    small = pieces.Pieces.load(unigram)
+    assert [x.tolist() for t in some for x in small.encode([t])] == want
+
+
 def test_double_array_holds_exactly_its_keys():
     rng = random.Random(1)
     keys = {bytes(rng.choice(b"abcdefgh\xff\x00") for _ in range(rng.randint(1, 6))): i for i in range(800)}
