@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import pieces, quality, simhash, token_counts
+from . import pieces, quality, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -23,12 +23,16 @@ def op7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op6_quality_rules, op7_pieces, op9_simhash)}
+    return {f.__name__: f for f in (op3_token_counts, op6_quality_rules, op7_pieces, op8_toxicity, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
