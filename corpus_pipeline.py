@@ -2,18 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tecflow.llm import simhash
+from tecflow.llm import language, pieces, simhash
 from tecflow.llm.common import staged, table
 
 
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or far from every language learned, go."""
+    gone = language.identified(docs).where("rejected").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone")), "left_anti")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id."""
     return simhash.deduplicated(docs)
 
 
-STAGES = [("near copies", near_copies)]
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with the piece ids of its whole text."""
+    return pieces.encoded(docs)
+
+
+STAGES = [("language", known_language), ("near copies", near_copies), ("pieces", encoded)]
 
 #: Language ID, SimHash and the tokenizer cannot be written in SQL.
 ORACLE_SQL = None

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import pieces, quality, simhash, token_counts, toxicity
+from . import language, pieces, quality, simhash, token_counts, toxicity
 from .common import table
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identified(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.token_counts(table(spark, sf_dir, "documents"))
     return found.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
@@ -32,7 +36,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_token_counts, op6_quality_rules, op7_pieces, op8_toxicity, op9_simhash)}
+    return {f.__name__: f for f in (op1_language, op3_token_counts, op6_quality_rules, op7_pieces, op8_toxicity, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
