@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from tecflow.llm import language, pieces, simhash
+from tecflow.llm import decontaminate, language, pieces, simhash
 from tecflow.llm.common import staged, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or far from every language learned, go."""
-    gone = language.identified(docs).where("rejected").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone")), "left_anti")
+    return language.accepted(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,12 +18,17 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.deduplicated(docs)
 
 
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with the piece ids of its whole text."""
     return pieces.encoded(docs)
 
 
-STAGES = [("language", known_language), ("near copies", near_copies), ("pieces", encoded)]
+STAGES = [("language", known_language), ("near copies", near_copies), ("decontamination", without_benchmark), ("pieces", encoded)]
 
 #: Language ID, SimHash and the tokenizer cannot be written in SQL.
 ORACLE_SQL = None

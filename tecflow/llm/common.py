@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-TABLES = ("documents", "pages", "benchmark", "labels")
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,9 +44,15 @@ def drop_staged(*frames: DataFrame) -> None:
             there.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(there, True)
 
 
-def ascii_words(text: str) -> str:
-    """SQL text: the words of a column, split at space and \\t to \\r only."""
-    return f"filter(split({text}, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')"
+def rows_where(docs: DataFrame, text_col: str, stays: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """Rows of docs whose text stays, by a mask for a batch of texts; no shuffle, and ids don't matter."""
+    at = docs.columns.index(text_col)
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            yield batch.filter(pa.array(stays(batch.column(at)), pa.bool_()))
+
+    return docs.mapInArrow(batches, docs.schema)
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from . import textnum as tn
+from .common import rows_where
 from .toxicity import held_out
 
 SIZE, LONGEST, CLUSTERS, ROUNDS = 4096, 3, 4, 12
@@ -141,6 +142,22 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return Model(idf, [r.lang for r in rows], np.array([r.center for r in rows], np.float32).reshape(-1, SIZE), np.array([r.floor for r in rows]))
 
 
+def judged(column: pa.Array, m: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and rejection of every text of a column."""
+    names, scores, rejects = [], [np.zeros(0)], [np.zeros(0, bool)]
+    for texts in tn.pieces(column, PIECE_BYTES):
+        c, n_letters = counts(texts)
+        near = vectors(c, m.idf) @ m.centroids.T if len(m.languages) else np.zeros((len(texts), 1), np.float32)
+        best = near.argmax(axis=1)
+        score = np.clip(near[np.arange(len(texts)), best], 0, 1).astype(np.float64)
+        known = (n_letters > 0) & bool(m.languages)
+        floor = (m.floors[best] if len(m.languages) else 0) * np.sqrt(np.minimum(1, n_letters / FULL))
+        names += [m.languages[j] if ok else UNDETERMINED for j, ok in zip(best, known, strict=True)]
+        scores.append(np.where(known, score, 0.0))
+        rejects.append(~known | (score < floor))
+    return names, np.concatenate(scores), np.concatenate(rejects)
+
+
 def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, rejected) for every row's whole text.
 
@@ -151,18 +168,9 @@ def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for batch in found:
-            for texts in tn.pieces(batch.column(1), PIECE_BYTES):
-                c, n_letters = counts(texts)
-                near = vectors(c, m.idf) @ m.centroids.T if len(m.languages) else np.zeros((len(texts), 1), np.float32)
-                best = near.argmax(axis=1)
-                score = np.clip(near[np.arange(len(texts)), best], 0, 1).astype(np.float64)
-                known = (n_letters > 0) & bool(m.languages)
-                names = [m.languages[j] if ok else UNDETERMINED for j, ok in zip(best, known, strict=True)]
-                rejected = ~known | (score < (m.floors[best] if len(m.languages) else 0) * np.sqrt(np.minimum(1, n_letters / FULL)))
-                columns = [batch.column(0).slice(texts.first, len(texts)), pa.array(names, pa.string()), pa.array(np.where(known, score, 0.0)), pa.array(rejected)]
-                yield pa.RecordBatch.from_arrays(columns, [id_col, "lang_pred", "score", "rejected"])
+            names, score, rejected = judged(batch.column(1), shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(rejected)], [id_col, "lang_pred", "score", "rejected"])
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
     return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(batches, T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *fields]))
@@ -172,3 +180,9 @@ def identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, held_out, lang_pred, score, rejected): fits on the rows not held out, then predicts all rows."""
     found = predicted(docs, fit(docs, id_col, text_col, lang_col), id_col, text_col)
     return found.select(id_col, held_out(id_col).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def accepted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that are not rejected, by a model fitted on docs."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col))
+    return rows_where(docs, text_col, lambda column: ~judged(column, shared.value)[2])

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import crossentropy, language, pieces, quality, simhash, token_counts, toxicity
+from . import crossentropy, decontaminate, language, pieces, quality, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -19,6 +19,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every item that a document holds: documents without rows are clean."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target: the documents labelled as good; background: all documents."""
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
@@ -42,7 +47,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op3_token_counts, op5_lm_score, op6_quality_rules, op7_pieces, op8_toxicity, op9_simhash)}
+    return {f.__name__: f for f in (op1_language, op3_token_counts, op4_decontaminate, op5_lm_score, op6_quality_rules, op7_pieces, op8_toxicity, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -102,10 +102,11 @@ def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mixed((total[end] - total[start]) * powers(BASE_INVERSE, n + 1)[start] + (end - start).astype(np.uint64))
 
 
-def words(texts: Texts, lower: bool = False) -> Words:
+def words(texts: Texts, lower: bool = False, apart: np.ndarray = SPACE) -> Words:
+    """apart: for each byte, whether it separates words."""
     data = LOWER[texts.data] if lower else texts.data
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~SPACE[data]
+    inside[1:-1] = ~apart[data]
     borders = np.zeros(len(data) + 1, bool)
     borders[texts.offsets] = True
     here, before = inside[1:], inside[:-1]
