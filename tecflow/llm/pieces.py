@@ -175,7 +175,21 @@ class Pieces:
                 self.offer(best, came, piece, rows[at], s, np.full(len(at), e), self.score[number], number)
             lone = np.flatnonzero(~single)
             self.offer(best, came, piece, rows[lone], s, np.minimum(s + letter[lone], size[rows[lone]]), self.unknown_score, -1)
-        return [self.ids_of(p, self.path(came[k], piece[k], len(p))) for k, p in enumerate(parts)]
+        ids, n_ids, end = np.full((n, width), -1, np.int32), np.zeros(n, np.int64), size.copy()
+        known = np.ones(n, bool)
+        for k in range(1, width + 1):
+            rows = np.flatnonzero(end > 0)
+            if not len(rows):
+                break
+            ids[rows, width - k] = number = piece[rows, end[rows]]
+            known[rows[number < 0]] = False
+            n_ids[rows] = k
+            end[rows] = came[rows, end[rows]]
+        raw = ids.tobytes()
+        out = [raw[4 * (k * width + width - m) : 4 * (k + 1) * width] for k, m in enumerate(n_ids.tolist())]
+        for k in np.flatnonzero(~known).tolist():
+            out[k] = self.ids_of(parts[k], self.path(came[k], piece[k], len(parts[k])))
+        return out
 
     @staticmethod
     def offer(best, came, piece, rows, start, end, score, number) -> None:
@@ -239,12 +253,12 @@ class Pieces:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null and empty texts have none."""
         parts = [self.part.findall((MARK if self.dummy_prefix else "") + t.replace(" ", MARK)) if t else [] for t in texts]
-        self.learn({p for found in parts for p in found})
-        known = self.known
-        return [np.frombuffer(b"".join([known[p] for p in found]), np.int32) for found in parts]
+        self.learn(set().union(*parts))
+        known = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(known, found)), np.int32) for found in parts]
 
-    def decode(self, ids: np.ndarray | list[int]) -> str:
-        data = b"".join([self.surface[i] for i in ids])
+    def decode(self, ids: list[int]) -> str:
+        data = b"".join(map(self.surface.__getitem__, ids))
         if self.dummy_prefix and data.startswith(b" "):
             data = data[1:]
         return data.decode("utf-8", "replace")
@@ -306,7 +320,9 @@ def decoded(df: DataFrame, vocabulary: str = VOCABULARY, ids_col: str = "piece_i
         for batch in found:
             for first in range(0, batch.num_rows, ROWS):
                 part = batch.slice(first, ROWS)
-                texts = [coder.decode(x.values.to_pylist()) if x.is_valid else None for x in part.column(at)]
+                lists = part.column(at)
+                ends, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+                texts = [coder.decode(values[i:j].tolist()) if ok else None for i, j, ok in zip(ends, ends[1:], lists.is_valid().to_pylist(), strict=False)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, out_col])
 
     fields = [T.StructField(f.name, f.dataType) for f in kept.schema]
