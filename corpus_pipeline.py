@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tecflow.llm import decontaminate, language, pieces, simhash
+from tecflow.llm import decontaminate, language, lines, pieces, simhash
 from tecflow.llm.common import staged, table
 
 
@@ -13,6 +13,11 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return language.accepted(docs)
 
 
+def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without lines that equal or are similar to earlier ones."""
+    return lines.deduplicated(docs).select(docs.columns)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the one with the smallest id."""
     return simhash.deduplicated(docs)
@@ -28,7 +33,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.encoded(docs)
 
 
-STAGES = [("language", known_language), ("near copies", near_copies), ("decontamination", without_benchmark), ("pieces", encoded)]
+STAGES = [("language", known_language), ("line dedup", fresh_lines), ("near copies", near_copies), ("decontamination", without_benchmark), ("pieces", encoded)]
 
 #: Language ID, SimHash and the tokenizer cannot be written in SQL.
 ORACLE_SQL = None

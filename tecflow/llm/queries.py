@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import crossentropy, decontaminate, language, pieces, quality, simhash, token_counts, toxicity
+from . import crossentropy, decontaminate, language, lines, pieces, quality, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digest(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_counts.token_counts(table(spark, sf_dir, "documents"))
     return found.withColumn("over_limit", F.col("n_tokens") > token_counts.LIMIT)
@@ -47,7 +51,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op3_token_counts, op4_decontaminate, op5_lm_score, op6_quality_rules, op7_pieces, op8_toxicity, op9_simhash)}
+    return {f.__name__: f for f in (op1_language, op2_line_dedup, op3_token_counts, op4_decontaminate, op5_lm_score, op6_quality_rules, op7_pieces, op8_toxicity, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
