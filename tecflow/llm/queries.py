@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import crossentropy, decontaminate, language, lines, pieces, quality, simhash, token_counts, toxicity
+from . import crossentropy, decontaminate, language, lines, pieces, quality, simhash, token_counts, toxicity, urls
 from .common import table
 
 
@@ -50,8 +50,12 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_line_dedup, op3_token_counts, op4_decontaminate, op5_lm_score, op6_quality_rules, op7_pieces, op8_toxicity, op9_simhash)}
+    return {f.__name__: f for f in (op1_language, op2_line_dedup, op3_token_counts, op4_decontaminate, op5_lm_score, op6_quality_rules, op7_pieces, op8_toxicity, op9_simhash, op10_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
