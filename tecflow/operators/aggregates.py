@@ -12,7 +12,7 @@ Names = Sequence[str]
 def hourly_rms(df: DataFrame, keys: Names, hour: Column, value: str, out: str = "rms") -> DataFrame:
     """Root mean square by key and hour of day, on a full axis of 24 hours; an hour without values has 0."""
     found = df.withColumn("hour", hour.cast("long")).groupBy(*keys, "hour").agg(F.sqrt(F.avg(F.col(value) * F.col(value))).alias(out))
-    axis = df.select(*keys).distinct().withColumn("hour", F.explode(F.sequence(F.lit(0), F.lit(23))).cast("long"))
+    axis = df.select(*keys).distinct().withColumn("hour", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))))
     return axis.join(found, [*keys, "hour"], "left").withColumn(out, F.coalesce(out, F.lit(0.0)))
 
 

@@ -1 +1,210 @@
+"""Scalar expressions on suppliers, events and files: coordinates, electron content, names and JSON."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..functions import geometry as G, names as N, signal as X
+from .registry import query, rounded, table
+
+#: A supplier stands for a station: its place follows from its key.
+LAT, LON = "((s_suppkey * 37) % 180 - 90)", "((s_suppkey * 73) % 360 - 180)"
+STATIONS = f"st as (select s_suppkey as id, radians({LAT}) as lat, radians({LON}) as lon from supplier)"
+
+
+def stations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = table(spark, sf_dir, "supplier")
+    return s.select(F.col("s_suppkey").alias("id"), F.radians(F.expr(LAT)).alias("lat"), F.radians(F.expr(LON)).alias("lon"))
+
+
+HALF = "pow(sin((b.lat - a.lat) / 2), 2) + cos(a.lat) * cos(b.lat) * pow(sin((b.lon - a.lon) / 2), 2)"
+
+
+@query(f"with {STATIONS} select a.id as a, b.id as b, round(2 * 6371.0 * asin(sqrt(least({HALF}, 1.0))), 4) + 0.0 as km from st a join st b on b.id = a.id + 1")
+def haversine(spark, sf_dir):
+    a, b = stations(spark, sf_dir).alias("a"), stations(spark, sf_dir).alias("b")
+    km = G.great_circle(F.col("a.lat"), F.col("a.lon"), F.col("b.lat"), F.col("b.lon"), G.EARTH_KM)
+    return a.join(b, F.col("b.id") == F.col("a.id") + 1).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), rounded(km, "km", 4))
+
+
+XYZ = """p as (select id, (n + h) * cos(lat) * cos(lon) as x, (n + h) * cos(lat) * sin(lon) as y, (n * (1 - e2) + h) * sin(lat) as z
+from (select *, 6378137.0e0 / sqrt(1 - e2 * pow(sin(lat), 2)) as n from (select *, 0.0033528106647474805e0 * (2 - 0.0033528106647474805e0) as e2, id * 10.0 as h from st)))"""
+
+
+def placed(spark, sf_dir):
+    s = stations(spark, sf_dir)
+    x, y, z = G.earth_fixed(F.col("lat"), F.col("lon"), F.col("id") * 10.0)
+    return s.select("id", "lat", "lon", x.alias("x"), y.alias("y"), z.alias("z"))
+
+
+@query(f"with {STATIONS}, {XYZ} select id, round(x, 2) + 0.0 as x, round(y, 2) + 0.0 as y, round(z, 2) + 0.0 as z from p")
+def earth_fixed(spark, sf_dir):
+    return placed(spark, sf_dir).select("id", *[rounded(c, c, 2) for c in "xyz"])
+
+
+@query(f"with {STATIONS} select id, round(degrees(lat), 5) + 0.0 as lat, round(degrees(lon), 5) + 0.0 as lon, round(id * 10.0, 2) + 0.0 as height from st where abs(lat) < 1.57")
+def geodetic(spark, sf_dir):
+    """Positions made from known places must give these places back."""
+    lat, lon, height = G.geodetic(F.col("x"), F.col("y"), F.col("z"))
+    rows = placed(spark, sf_dir).where(F.abs("lat") < 1.57).select("id", F.degrees(lat).alias("lat"), F.degrees(lon).alias("lon"), height.alias("height"))
+    return rows.select("id", rounded("lat", "lat", 5), rounded("lon", "lon", 5), rounded("height", "height", 2))
+
+
+RAYS = f"{STATIONS}, r as (select *, radians(5 + id % 80) as el, radians(id * 29 % 360) as az from st where abs(lat) < 1.4)"
+
+
+def rays(spark, sf_dir):
+    return stations(spark, sf_dir).where(F.abs("lat") < 1.4).withColumn("el", F.radians(5 + F.col("id") % 80)).withColumn("az", F.radians(F.col("id") * 29 % 360))
+
+
+@query(f"""with {RAYS}, t as (select *, pi() / 2 - el - asin(cos(el) * (6371.0 / 6821.0)) as t from r), b as (select *, asin(sin(lat) * cos(t) + cos(lat) * sin(t) * cos(az)) as b from t)
+select id, round(b, 6) + 0.0 as lat, round(lon + asin(sin(t) * sin(az) / cos(b)), 6) + 0.0 as lon from b""")
+def pierce_point(spark, sf_dir):
+    lat, lon = G.pierce_point(F.col("lat"), F.col("lon"), F.col("el"), F.col("az"))
+    return rays(spark, sf_dir).select("id", rounded(lat, "lat"), rounded(lon, "lon"))
+
+
+@query(f"""with {STATIONS}, d as (select *, 1e7 * cos(id) as dx, 1e7 * sin(id) as dy, 2e7 * cos(id * 2) as dz from st),
+l as (select id, -sin(lon) * dx + cos(lon) * dy as e, -sin(lat) * cos(lon) * dx - sin(lat) * sin(lon) * dy + cos(lat) * dz as n, cos(lat) * cos(lon) * dx + cos(lat) * sin(lon) * dy + sin(lat) * dz as u from d)
+select id, round(atan2(u, sqrt(e * e + n * n)), 6) + 0.0 as elevation, round(case when atan2(e, n) < 0 then atan2(e, n) + 2 * pi() else atan2(e, n) end, 6) + 0.0 as azimuth from l""")
+def elev_azim(spark, sf_dir):
+    i = F.col("id")
+    local = G.local(F.col("lat"), F.col("lon"), 1e7 * F.cos(i), 1e7 * F.sin(i), 2e7 * F.cos(i * 2))
+    el, az = G.elevation_azimuth(*local)
+    return stations(spark, sf_dir).select("id", rounded(el, "elevation"), rounded(az, "azimuth"))
+
+
+@query(f"with {STATIONS}, {XYZ} select id, round(x * cos(w) + y * sin(w), 3) + 0.0 as x, round(y * cos(w) - x * sin(w), 3) + 0.0 as y, round(z, 3) + 0.0 as z from (select *, 0.075 * 7.2921151467e-5 as w from p)")
+def earth_rotation(spark, sf_dir):
+    x, y, z = G.earth_rotated(F.col("x"), F.col("y"), F.col("z"), F.lit(0.075))
+    return placed(spark, sf_dir).select("id", rounded(x, "x", 3), rounded(y, "y", 3), rounded(z, "z", 3))
+
+
+@query(f"""with {RAYS}, m as (select id, el, 6821.0 / 6371.0 as q, sin(pi() / 2 - el) / (6821.0 / 6371.0) as s, sin(0.9782 * (pi() / 2 - el)) / (6821.0 / 6371.0) as s1, pow(6371.0 * sin(el), 2) as g from r)
+select id, round(1 / sqrt(1 - s * s), 6) + 0.0 as m0, round(1 / sqrt(1 - s1 * s1), 6) + 0.0 as m1, round((1 + q) / (sin(el) + sqrt(q * q - pow(cos(el), 2))), 6) + 0.0 as m2,
+round(case when el < radians(40) then sin(el + radians(50)) / sqrt(1 - s * s) else 1 / sqrt(1 - s * s) end, 6) + 0.0 as m3,
+round((sqrt(g + 2 * 6371.0 * 520.0 + 520.0 * 520.0) - sqrt(g + 2 * 6371.0 * 415.0 + 415.0 * 415.0)) / 105.0, 6) + 0.0 as m4, round(1 + 16 * pow(0.53 - el / pi(), 3), 6) + 0.0 as m5 from m""")
+def mapping_functions(spark, sf_dir):
+    return rays(spark, sf_dir).select("id", *[rounded(G.mapping(k, F.col("el")), f"m{k}") for k in range(6)])
+
+
+@query("select event_id, (event_id * 7 + 180) % 360 - 180 as lon from (select event_id from events)")
+def lon_wrap(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", G.wrapped_deg(F.col("event_id") * 7).alias("lon"))
+
+
+@query("select event_id, cast(ceil((value - 0.5) / 2.5) - 1 as bigint) as upper, cast(floor((value - 0.5) / 2.5) as bigint) as lower from events")
+def grid_index(spark, sf_dir):
+    v = F.col("value")
+    return table(spark, sf_dir, "events").select("event_id", G.cell_upper(v, 0.5, 2.5).cast("long").alias("upper"), G.cell_lower(v, 0.5, 2.5).cast("long").alias("lower"))
+
+
+C = X.LIGHT
+F1, F2 = X.GPS
+#: The same as text that SQL reads as floating point.
+D0, D1, D2, DK = (f"{x!r}e0" if "e" not in repr(x) else repr(x) for x in (C, F1, F2, X.IONO))
+
+
+@query(f"""with l as (select event_id, {D0} / {D1} * value - {D0} / {D2} * (value * 0.7792) as l4 from events)
+select event_id, round(l4, 6) + 0.0 as l4, round(l4 * {D1} * {D1} * {D2} * {D2} / (({D1} * {D1} - {D2} * {D2}) * {DK}), 6) + 0.0 as stec from l""")
+def l4_stec(spark, sf_dir):
+    f1, f2 = F.lit(F1), F.lit(F2)
+    l4 = X.geometry_free(F.col("value"), F.col("value") * 0.7792, f1, f2)
+    rows = table(spark, sf_dir, "events").select("event_id", l4.alias("l4"))
+    return rows.select("event_id", rounded("l4", "l4"), rounded(X.slant_content(F.col("l4"), f1, f2), "stec"))
+
+
+@query("select event_id, round(case when value > 100 then pow(10.0, 0.1 * (value / 10)) end, 4) + 0.0 as power from events")
+def snr_linear(spark, sf_dir):
+    v = F.col("value")
+    return table(spark, sf_dir, "events").select("event_id", rounded(X.linear_power(F.when(v > 100, v / 10)), "power", 4))
+
+
+@query(f"""with r as (select event_id, value, radians(5 + event_id % 80) as el from events)
+select event_id, round(2 * value * (1 - pow(6371.0 / 6721.0 * cos(el), 2)), 6) + 0.0 as aatr from r""")
+def aatr_project(spark, sf_dir):
+    el = F.radians(5 + F.col("event_id") % 80)
+    return table(spark, sf_dir, "events").select("event_id", rounded(X.rate(F.col("value")) / G.obliquity(el), "aatr"))
+
+
+@query(f"""with r as (select event_id, value, radians(5 + event_id % 80) as el from events),
+s as (select event_id, value * {D1} * {D1} * {D2} * {D2} / (({D1} * {D1} - {D2} * {D2}) * {DK}) as stec, 1 / sqrt(1 - pow(sin(pi() / 2 - el) / (6821.0 / 6371.0), 2)) as mf from r)
+select event_id, round(case when abs(stec) between 1e-5 and 1e5 then stec end, 5) + 0.0 as stec, round(case when abs(stec) between 1e-5 and 1e5 then stec / mf end, 5) + 0.0 as vtec from s""")
+def vtec(spark, sf_dir):
+    el = F.radians(5 + F.col("event_id") % 80)
+    rows = table(spark, sf_dir, "events").select("event_id", X.code_content(F.col("value"), F.lit(F1), F.lit(F2)).alias("s"), G.mapping(0, el).alias("m"))
+    return rows.select("event_id", rounded("s", "stec", 5), rounded(X.vertical(F.col("s"), F.col("m")), "vtec", 5))
+
+
+@query(f"""with o as (select event_id, value + 10 as l1, value * 0.78 as l2, value * 0.19 as c1, value * 0.2 as c2 from events)
+select event_id, round(l1 - l2 - ({D1} * c1 + {D2} * c2) / ({D1} + {D2}) / ({D0} / ({D1} - {D2})), 6) + 0.0 as widelane,
+round(({D1} * {D1} * c1 - {D2} * {D2} * c2) / ({D1} * {D1} - {D2} * {D2}), 6) + 0.0 as iono_free, round(l1 * {D0} / {D1}, 6) + 0.0 as metres from o""")
+def combinations(spark, sf_dir):
+    v = F.col("value")
+    l1, l2, c1, c2, f1, f2 = v + 10, v * 0.78, v * 0.19, v * 0.2, F.lit(F1), F.lit(F2)
+    return table(spark, sf_dir, "events").select("event_id", rounded(X.widelane(l1, l2, c1, c2, f1, f2), "widelane"), rounded(X.ionosphere_free(c1, c2, f1, f2), "iono_free"), rounded(X.metres(l1, f1), "metres"))
+
+
+@query("""select event_id, case when event_id % 11 <> 0 and event_id % 13 <> 0 then value end as c1, case when 10 + event_id % 80 >= 30 then value end as masked,
+case when event_id % 17 = 0 or 10 + event_id % 80 >= 30 then value end as lenient from events""")
+def validity_masks(spark, sf_dir):
+    e, v = F.col("event_id"), F.col("value")
+    c1, _ = X.all_or_none(F.when(e % 11 != 0, v).otherwise(0.0), F.when(e % 13 != 0, v).otherwise(0.0))
+    el = F.when(e % 17 == 0, 0).otherwise(10 + e % 80)
+    return table(spark, sf_dir, "events").select("event_id", c1.alias("c1"), X.masked(v, 10 + e % 80, 30).alias("masked"), X.masked(v, el, 30, True).alias("lenient"))
+
+
+@query("""select slot, round(1602.0e6 + ch * 562.5e3, 1) as f1, round(1246.0e6 + ch * 437.5e3, 1) as f2 from (select cast(s_suppkey as bigint) as slot,
+[1, -4, 5, 6, 1, -4, 5, 6, -2, -7, 0, -1, -2, -7, 0, -1, 4, -3, 3, 2, 4, -3, 3, 2][s_suppkey] as ch from supplier where s_suppkey between 1 and 24)""")
+def glonass_carriers(spark, sf_dir):
+    slot = F.col("s_suppkey")
+    f1, f2 = X.carriers(F.lit("R"), slot.cast("int"))
+    return table(spark, sf_dir, "supplier").where(slot.between(1, 24)).select(slot.alias("slot"), F.round(f1, 1).alias("f1"), F.round(f2, 1).alias("f2"))
+
+
+@query("""select event_id, strftime(ts, '%Y-%m-%d') as day, cast(dayofyear(ts) as bigint) as doy, cast(floor(epoch(ts) / 86400) + 40587 as bigint) as mjd,
+cast(floor((epoch(ts) - 315964800) / 604800) as bigint) as week, cast(floor((hour(ts) * 3600 + minute(ts) * 60 + second(ts)) / 30) + 1 as bigint) as row from events""")
+def calendar_parts(spark, sf_dir):
+    t = F.col("ts")
+    return table(spark, sf_dir, "events").select("event_id", F.date_format(t, "yyyy-MM-dd").alias("day"), F.dayofyear(t).cast("long").alias("doy"), N.modified_julian(t).alias("mjd"), N.gps_week(t).alias("week"), N.row_of_day(t).alias("row"))
+
+
+NAMED = "f as (select event_id, 'yel' || (event_id % 10) || lpad(cast(1 + event_id % 365 as varchar), 3, '0') || '0.24o' as name from events)"
+
+
+@query(f"""with {NAMED} select event_id, name, upper(substring(name, 1, 4)) as station, strftime(date '2024-01-01' + cast(substring(name, 5, 3) as int) - 1, '%Y-%m-%d') as day from f""")
+def date_from_name(spark, sf_dir):
+    e = F.col("event_id")
+    name = F.concat(F.lit("yel"), (e % 10).cast("string"), F.lpad((1 + e % 365).cast("string"), 3, "0"), F.lit("0.24o"))
+    rows = table(spark, sf_dir, "events").select("event_id", name.alias("name"))
+    return rows.select("event_id", "name", N.station_of_name(F.col("name")).alias("station"), F.date_format(N.date_of_name(F.col("name")), "yyyy-MM-dd").alias("day"))
+
+
+@query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
+def json_props(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+
+
+@query("""with s as (select user_id, event_type, avg(value) as mean, max(value) as most from events group by all)
+select user_id, event_type, case when mean > 250 then 'exceeded' when most > 400 then 'partial' else 'normal' end as class from
+(select user_id, event_type, mean, case when most > 400 then 1000 else 0 end as m, most from s)""")
+def classify(spark, sf_dir):
+    s = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.avg("value").alias("mean"), F.max("value").alias("most"))
+    return s.select("user_id", "event_type", X.classified(F.col("mean"), F.when(F.col("most") > 400, 1000).otherwise(0), 250).alias("class"))
+
+
+@query("""select event_id, case when c = 'FORMAL' and s = 'STANDARD_30S' then 'FORMAL_PIPELINE' else concat_ws(',', case when c <> 'FORMAL' then 'NON_FORMAL_CHAIN_LEVEL' end, case when c = 'EXPERIMENTAL' then 'EXPERIMENTAL_CHAIN_LEVEL' end,
+case when c = 'DEGRADED' then 'DEGRADED_CHAIN_LEVEL' end, case when s <> 'STANDARD_30S' then 'NON_STANDARD_SAMPLING_MODE' end, case when s = 'EXPERIMENTAL_1S_RESAMPLED' then 'EXPERIMENTAL_1S_RESAMPLED' end) end as flags
+from (select event_id, ['FORMAL', 'EXPERIMENTAL', 'DEGRADED'][1 + event_id % 3] as c, ['STANDARD_30S', 'EXPERIMENTAL_1S_RESAMPLED'][1 + event_id % 2] as s from events)""")
+def risk_flags(spark, sf_dir):
+    e = F.col("event_id")
+    chain = F.element_at(F.array(*map(F.lit, ("FORMAL", "EXPERIMENTAL", "DEGRADED"))), (1 + e % 3).cast("int"))
+    sampling = F.element_at(F.array(*map(F.lit, ("STANDARD_30S", "EXPERIMENTAL_1S_RESAMPLED"))), (1 + e % 2).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(N.risk_flags(chain, sampling), ",").alias("flags"))
+
+
+@query("""select event_id, printf('%11.5f', value) as text from events""")
+def fixed_width(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.format_string("%11.5f", "value").alias("text"))
+
 

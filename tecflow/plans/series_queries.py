@@ -68,9 +68,9 @@ def s4c(spark, sf_dir):
     return shown(S.variation_index(events(spark, sf_dir), KEYS, ORDER, "value"), "s4c")
 
 
-@query(f"with {ARCS} select event_id, cast(arc as bigint) as arc from arcs")
+@query(f"with {ARCS} select event_id, cast(coalesce(arc, 0) as bigint) as arc from arcs")
 def arc_islands(spark, sf_dir):
-    return with_arcs(spark, sf_dir).select("event_id", "arc")
+    return with_arcs(spark, sf_dir).select("event_id", F.coalesce("arc", F.lit(0)).cast("long").alias("arc"))
 
 
 @query(f"with {ARCS} select event_id, round(case when arc is not null and count(*) over (partition by user_id, arc) >= 4 then value end, 6) + 0.0 as result from arcs")
