@@ -1 +1,40 @@
+"""Operators with memory, on events; SQL cannot express them, tests hold them against plain loops."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import grouped as P
+from .registry import query, table
+
+
+def series(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", F.col("value").cast("double").alias("value"))
+
+
+@query()
+def bandpass(spark, sf_dir):
+    return P.band_filtered(series(spark, sf_dir), ["user_id"], ["ts", "event_id"], "value").select("event_id", F.round("filtered", 6).alias("filtered"))
+
+
+@query()
+def kalman(spark, sf_dir):
+    return P.kalman(series(spark, sf_dir), ["user_id"], ["ts", "event_id"], "value", 25.0, 400.0).select("event_id", F.round("level", 6).alias("level"), F.round("variance", 6).alias("variance"))
+
+
+@query()
+def arc_feedback(spark, sf_dir):
+    df = series(spark, sf_dir).withColumn("lane", F.col("value") / 400).withColumn("geometry", F.col("value") / 300)
+    return P.arcs_by_feedback(df, ["user_id"], ["ts", "event_id"], "lane", "geometry", 3).select("event_id", "arc")
+
+
+@query()
+def outlier_fit(spark, sf_dir):
+    return P.without_outliers(series(spark, sf_dir), ["user_id"], ["ts", "event_id"], "value", 1.5).select("event_id", "value")
+
+
+@query()
+def orbit_spline(spark, sf_dir):
+    t = series(spark, sf_dir).select("event_id", F.lit("G01").alias("sat"), (F.col("event_id") * 83 % 86400).cast("double").alias("s"))
+    anchors = spark.range(0, 97).select(F.lit("G01").alias("sat"), (F.col("id") * 900.0).alias("s"), (F.sin(F.col("id") * 900 / 5000.0) * 2e7).alias("x"))
+    return P.splined(t, anchors, ["sat"], "s", ["x"]).select("event_id", F.round("x", 3).alias("x"), F.round("x_rate", 6).alias("x_rate"))
