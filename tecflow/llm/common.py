@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -44,6 +46,14 @@ def drop_staged(*frames: DataFrame) -> None:
             there.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has Python and the JVM drop what nothing refers to any more, so that shuffle files of finished steps leave the disk."""
+    for _ in range(2):  # the first round lets go of what the second one can then drop
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def rows_where(docs: DataFrame, text_col: str, stays: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """Rows of docs whose text stays, by a mask for a batch of texts; no shuffle, and ids don't matter."""
     at = docs.columns.index(text_col)

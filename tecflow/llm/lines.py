@@ -9,33 +9,34 @@ hash. For lines x and y of Jaccard similarity t or more:
    1 + min(|x| - i, |y| - j) words can be shared (for places from 1, one less);
  - parity: each word flips one bit of a mask, so the masks of x and y differ in no
    more bits than words are in one of them alone.
-What passes is verified on the words themselves. A line that equals or is similar
+What passes is verified by the Jaccard similarity of all words, as 64-bit hashes. A line that equals or is similar
 to an earlier line (by document id, then place) is removed, whether or not that
 line stays.
 
 Equal lines are one class, looked at once. Whether a class has any similar
 earlier one is all that is asked, so a large group of similar lines needs no
-pairs of all its members: classes are first compared with the earliest one that
-shares one of their HEADS rarest words, and only those that this leaves open are
-joined with all others.
+pairs of all its members: see removals.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import drop_staged, staged
+from .common import drop_staged, release, staged
 
 SIMILAR = 0.8
 #: Lines with fewer different words than this stay: so short a line recurs by chance.
 LEAST_WORDS = 5
 #: Hash buckets in which words are counted, and rarest words by which a line meets its group's earliest one.
-BUCKETS, HEADS = 1 << 18, 3
+BUCKETS, HEADS = 1 << 16, 2
+#: Parts, by word, in which lines are joined: the shuffle of one part is on disk at a time.
+PASSES = 4
 #: Rows that are broadcast at most when texts are joined with what is known of their lines.
 BROADCAST_ROWS = 200_000
 BLANKS = "[\\\\x20\\\\x09-\\\\x0D]+"
-#: From this many words on a second mask is kept.
+#: From this many words on a line's bits are 192 in three masks, as 64 can't tell long lines apart; folded together they are the 64 of shorter lines.
 LONG = 90
+MASKS = ("mask", "mask2", "mask3")
 
 
 def bucket_counts(texts: DataFrame) -> DataFrame:
@@ -53,54 +54,86 @@ def document_lines(docs: DataFrame) -> DataFrame:
     return out.select("id", "th", "no", "line", F.xxhash64("line").alias("key"), F.xxhash64(F.lit(1), "line").alias("key2"))
 
 
-def parity(keys: str, bits: str) -> str:
-    return f"aggregate({keys}, 0L, (a, k) -> a ^ shiftleft(1L, cast({bits} as int)))"
+def parity(keys: str, part: int | None = None) -> str:
+    """SQL: 64 bits of which every word flips one; with part, only the words of one of three parts do."""
+    bit = "shiftleft(1L, cast(k & 63 as int))"
+    return f"aggregate({keys}, 0L, (a, k) -> a ^ {bit if part is None else f'case when shiftright(k, 6) % 3 = {part} then {bit} else 0L end'})"
 
 
 def classes(lines: DataFrame, counts: Column) -> DataFrame:
-    """Equal lines with LEAST_WORDS words: key, key2, first (earliest place), n (words), prefix (in order), mask, mask2."""
-    words = lines.select("id", "th", "no", "key", "key2", F.expr(f"array_distinct(array_remove(split(line, '{BLANKS}'), ''))").alias("words")).where(F.size("words") >= LEAST_WORDS)
-    hashed = words.select("id", "th", "no", "key", "key2", F.transform("words", lambda w: F.xxhash64(w)).alias("h"), counts.alias("counts"))
+    """Equal lines with LEAST_WORDS words: key, key2, first (earliest place), n (words), prefix (in order), mask, mask2.
+
+    counts stands in a projection of its own that the optimizer folds into the
+    next one, so the table is looked into and not copied to every row.
+    """
+    words = lines.select("id", "th", "no", "key", "key2", F.expr(f"array_distinct(array_remove(transform(split(line, '{BLANKS}'), w -> xxhash64(w)), xxhash64('')))").alias("h"))
     order = "sort_array(transform(h, x -> shiftleft(cast(get(counts, cast(pmod(x, {b}L) as int)) as bigint), 44) | (x & {m}L)))".format(b=BUCKETS, m=(1 << 44) - 1)
-    sorted_ = hashed.select("id", "th", "no", "key", "key2", F.expr(order).alias("keys"), F.size("h").alias("n"))
     place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "th", "no").alias("first")
+    sorted_ = words.select("*", counts.alias("counts")).select("key", "key2", place, F.expr(order).alias("keys"))
+    n = "size(keys)"
     rows = sorted_.select(
-        "key", "key2", place, "n", F.expr(f"slice(keys, 1, n - cast(ceil({SIMILAR}D * n) as int) + 1)").alias("prefix"),
-        F.expr(parity("keys", "k & 63")).alias("mask"), F.expr(f"case when n >= {LONG} then {parity('keys', 'shiftright(k, 6) & 63')} else 0L end").alias("mask2"),
+        "key", "key2", "first", F.expr(n).alias("n"), F.expr(f"slice(keys, 1, {n} - cast(ceil({SIMILAR}D * {n}) as int) + 1)").alias("prefix"),
+        *[F.expr(f"case when {n} >= {LONG} then {parity('keys', part)} else {parity('keys') if part == 0 else '0L'} end").alias(m) for part, m in enumerate(MASKS)],
     )
-    return rows.groupBy("key", "key2").agg(F.min("first").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("mask").alias("mask"), F.first("mask2").alias("mask2"))
+    firsts = rows.groupBy("key", "key2").agg(F.min("first").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("mask").alias("mask"), F.first("mask2").alias("mask2"), F.first("mask3").alias("mask3"))
+    return firsts.where(F.col("n") >= LEAST_WORDS)
 
 
 def passes(a: str, b: str) -> Column:
-    """Length, positional and parity filters on two postings (n, i, mask, mask2) that share a word; i counts from 0."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    both = F.expr(f"cast(ceil({SIMILAR / (1 + SIMILAR)!r}D * ({a}.n + {b}.n) - 1e-9D) as int)")
-    room = F.least(n - F.col(f"{a}.i"), m - F.col(f"{b}.i"))
+    """Length, positional and parity filters on two postings (at, mask, mask2) that share a word."""
+    n, m = (F.shiftright(F.col(f"{x}.at"), 32) for x in (a, b))
+    i, j = (F.col(f"{x}.at").bitwiseAND(F.lit(0xFFFFFFFF)) for x in (a, b))
+    both = F.ceil(F.lit(SIMILAR / (1 + SIMILAR)) * (n + m) - 1e-9)
     apart = n + m - 2 * both
-    differ = F.bit_count(F.col(f"{a}.mask").bitwiseXOR(F.col(f"{b}.mask"))) <= apart
-    long = F.bit_count(F.col(f"{a}.mask2").bitwiseXOR(F.col(f"{b}.mask2"))) <= apart
-    return (room >= both) & differ & ((F.least(n, m) < LONG) | long)
+    each = [F.col(f"{a}.{m}").bitwiseXOR(F.col(f"{b}.{m}")) for m in MASKS]
+    folded = F.bit_count(each[0].bitwiseXOR(each[1]).bitwiseXOR(each[2])) <= apart
+    long = F.bit_count(each[0]) + F.bit_count(each[1]) + F.bit_count(each[2]) <= apart
+    return (F.least(n - i, m - j) >= both) & folded & ((F.least(n, m) < LONG) | long)
+
 
+def postings(found: DataFrame, most: int | None = None, *also: str) -> DataFrame:
+    """(key, word, at, rank, masks) and columns also: at holds the line's size and, from 0, the word's place in it.
 
-def postings(found: DataFrame, most: int | None = None) -> DataFrame:
+    rank grows with the line's place, as far as a number can tell: a whole-number
+    id, else the same for all.
+    """
     prefix = F.col("prefix") if most is None else F.slice("prefix", 1, most)
-    return found.select("key", "key2", "n", "mask", "mask2", F.posexplode(prefix).alias("i", "word"))
+    rank = F.coalesce(F.col("first.id"), F.lit((1 << 63) - 1)).cast("long") if isinstance(found.schema["first"].dataType["id"].dataType, T.IntegralType) else F.lit(0)
+    rows = found.select("key", "n", rank.alias("rank"), *MASKS, *also, F.posexplode(prefix).alias("i", "word"))
+    return rows.select("key", "word", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("at"), "rank", *MASKS, *also)
+
+
+def met(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(key, other, apart): lines of a and lines of b not after them that share a word and pass the filters; apart: bits in which their masks differ."""
+    a, b = a.alias("a"), b.alias("b")
+    pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.key") != F.col("b.key")) & (F.col("a.rank") >= F.col("b.rank")) & passes("a", "b"))
+    apart = sum((F.bit_count(F.col(f"a.{m}").bitwiseXOR(F.col(f"b.{m}"))) for m in MASKS), F.lit(0))
+    return pairs.select(F.col("a.key"), F.col("b.key").alias("other"), apart.alias("apart")).groupBy("key", "other").agg(F.first("apart").alias("apart"))
 
 
 def with_head(found: DataFrame) -> DataFrame:
-    """(key, key2, other, other2): classes and the earliest class with one of the same HEADS rarest words, where the filters pass."""
-    rows = found.select("key", "key2", "first", "n", "mask", "mask2", F.posexplode(F.slice("prefix", 1, HEADS)).alias("i", "word"))
-    heads = rows.groupBy("word").agg(F.min(F.struct("first", "key", "key2", "n", "mask", "mask2", "i")).alias("h"), F.count("*").alias("k")).where("k > 1").select("word", "h.*")
-    a, b = rows.alias("a"), heads.alias("b")
-    met = a.join(b, (F.col("a.word") == F.col("b.word")) & ((F.col("a.key") != F.col("b.key")) | (F.col("a.key2") != F.col("b.key2"))) & passes("a", "b"))
-    return met.select(F.col("a.key"), F.col("a.key2"), F.col("b.key").alias("other"), F.col("b.key2").alias("other2")).distinct()
+    """Classes and the earliest class with one of the same HEADS rarest words, where the filters pass."""
+    placed = postings(found.select("*", F.col("first.id").alias("id"), F.col("first.no").alias("no")), HEADS, "id", "no")
+    heads = placed.groupBy("word").agg(F.min(F.struct("id", "no", "key", "at", "rank", *MASKS)).alias("h"), F.count("*").alias("k")).where("k > 1").select("word", "h.key", "h.at", "h.rank", *[f"h.{m}" for m in MASKS])
+    return met(postings(found, HEADS), heads)
 
 
-def with_all(probes: DataFrame, found: DataFrame) -> DataFrame:
-    """The same for every class that shares a prefix word with a probe."""
-    a, b = postings(probes).alias("a"), postings(found).alias("b")
-    met = a.join(b, (F.col("a.word") == F.col("b.word")) & ((F.col("a.key") != F.col("b.key")) | (F.col("a.key2") != F.col("b.key2"))) & passes("a", "b"))
-    return met.select(F.col("a.key"), F.col("a.key2"), F.col("b.key").alias("other"), F.col("b.key2").alias("other2")).distinct()
+def with_any(some: DataFrame, found: DataFrame) -> DataFrame:
+    """The classes in some and all not after them that share a prefix word with them and pass the filters."""
+    out, parts = None, []
+    for part in range(PASSES):
+        a, b = (postings(x).where(F.col("word").bitwiseAND(F.lit(PASSES - 1)) == part) for x in (some, found))
+        parts.append(staged(met(a, b), "pairs"))
+        release(found.sparkSession)
+        out = parts[-1] if out is None else out.union(parts[-1])
+    whole = staged(out.groupBy("key", "other").agg(F.first("apart").alias("apart")), "pairs")
+    drop_staged(*parts)
+    return whole
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """Of each key's pairs the one whose masks differ least."""
+    return pairs.groupBy("key").agg(F.min_by("other", F.struct("apart", "other")).alias("other"))
 
 
 def joined_texts(docs: DataFrame, known: DataFrame, how: str) -> DataFrame:
@@ -112,30 +145,51 @@ def joined_texts(docs: DataFrame, known: DataFrame, how: str) -> DataFrame:
 
 
 def verified(docs: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, key2) of classes in pairs that have a similar earlier class: Jaccard similarity of the words themselves."""
-    ends = pairs.select("key", "key2").union(pairs.select("other", "other2")).distinct()
-    where = found.join(ends, ["key", "key2"]).select("key", "key2", "first")
+    """(key, key2) of the later line of every pair that is similar indeed."""
+    ends = pairs.select("key").union(pairs.select("other")).distinct()
+    where = found.join(ends, "key").select("key", "key2", "first")
     by_text = staged(where.groupBy(F.col("first.id").alias("id"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct("key", "key2", F.col("first.no").alias("no"), "first")).alias("wanted")), "wanted")
-    texts = joined_texts(docs, by_text, "inner").dropDuplicates(["id", "th"])
+    texts = joined_texts(docs, by_text, "inner")
     picked = texts.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select("w.key", "w.key2", "w.first", F.get("lines", F.col("w.no")).alias("line"))
-    words = picked.select("key", "key2", "first", F.expr(f"array_distinct(array_remove(split(line, '{BLANKS}'), ''))").alias("words"))
-    other = words.toDF("other", "other2", "other_first", "other_words")
-    both = pairs.join(words, ["key", "key2"]).where("key is not null").join(other, ["other", "other2"]).where("other_first < first")
+    picked = picked.dropDuplicates(["key", "key2"])
+    words = staged(picked.select("key", "key2", "first", F.expr(f"array_distinct(array_remove(transform(split(line, '{BLANKS}'), w -> xxhash64(w)), xxhash64('')))").alias("words")), "words")
+    other = words.select(F.col("key").alias("other"), F.col("key2").alias("other2"), F.col("first").alias("other_first"), F.col("words").alias("other_words"))
+    both = pairs.join(words, "key").join(other, "other")
     shared = F.size(F.array_intersect("words", "other_words"))
-    return both.where(shared >= SIMILAR * (F.size("words") + F.size("other_words") - shared) - 1e-9).select("key", "key2").distinct()
+    alike = both.where(shared >= SIMILAR * (F.size("words") + F.size("other_words") - shared) - 1e-9)
+    later = F.when(F.col("first") > F.col("other_first"), F.struct("key", "key2")).otherwise(F.struct(F.col("other").alias("key"), F.col("other2").alias("key2")))
+    out = staged(alike.select(later.alias("x")).select("x.*").distinct(), "resolved")
+    drop_staged(by_text, words)
+    release(docs.sparkSession)
+    return out
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(id, th, gone): places of the removed lines of each text that has any."""
+    """(id, th, gone): places of the removed lines of each text that has any.
+
+    Three rounds find the lines with a similar earlier one, each over the lines
+    that are still open: by the group's earliest line, by the likeliest candidate
+    of all, and by all candidates. So of n similar lines, n pairs are verified and
+    not n * n.
+    """
     counts = staged(bucket_counts(docs), "counts")
     found = staged(classes(document_lines(docs), counts.scalar()), "classes")
-    near = staged(verified(docs, found, staged(with_head(found), "heads")), "resolved")
-    open_ = found.join(near, ["key", "key2"], "left_anti")
-    rest = staged(verified(docs, found, staged(with_all(open_, found), "pairs")), "resolved")
-    late = found.select("key", "key2", "first").join(near.union(rest).withColumn("late", F.lit(True)), ["key", "key2"], "left")
+    release(docs.sparkSession)
+    near = verified(docs, found, heads := staged(with_head(found), "heads"))
+    still = staged(found.join(near, ["key", "key2"], "left_anti"), "still")
+    pairs = with_any(still, found)
+    likely = verified(docs, found, best := staged(nearest(pairs), "nearest"))
+    rest = staged(pairs.join(likely.select("key").distinct(), "key", "left_anti").join(best, ["key", "other"], "left_anti"), "rest")
+    last = verified(docs, found, rest)
+    drop_staged(counts, heads, still, pairs, best, rest)
+    late = near.union(likely).union(last).withColumn("late", F.lit(True)).distinct()
+    marked = found.select("key", "key2", "first").join(late, ["key", "key2"], "left")
     places = document_lines(docs).select("key", "key2", F.struct(F.col("id").isNull().alias("unnamed"), "id", "th", "no").alias("place"))
-    gone = places.join(late, ["key", "key2"]).where("late or place > first")
-    return staged(gone.groupBy("place.id", "place.th").agg(F.collect_set("place.no").alias("gone")), "gone")
+    gone = places.join(marked, ["key", "key2"]).where("late or place > first")
+    out = staged(gone.groupBy("place.id", "place.th").agg(F.collect_set("place.no").alias("gone")), "gone")
+    drop_staged(found, near, likely, last)
+    release(docs.sparkSession)
+    return out
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,6 +213,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.select(*kinds, F.greatest("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.greatest("n_removed", F.lit(0)).cast("long").alias("n_removed"))
 
 
+def has_line(text: str) -> Column:
+    """Whether a text has any line of LEAST_WORDS different words; null for a null text."""
+    return F.expr(f"exists(split({text}, '\\n'), line -> size(array_distinct(array_remove(split(line, '{BLANKS}'), ''))) >= {LEAST_WORDS})")
+
+
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_lines, n_removed, text_hash) of every row after line dedup."""
     return deduplicated(docs, id_col, text_col).select(id_col, "n_lines", "n_removed", F.xxhash64(text_col).alias("text_hash"))
