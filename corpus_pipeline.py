@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tecflow.llm import decontaminate, language, lines, pieces, simhash
 from tecflow.llm.common import staged, table
@@ -14,8 +14,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without lines that equal or are similar to earlier ones."""
-    return lines.deduplicated(docs).select(docs.columns)
+    """Documents without lines that equal or are similar to earlier ones; those that this leaves without a full line of their own go."""
+    found = lines.deduplicated(docs)
+    return found.where((F.col("n_removed") == 0) | lines.has_line("text")).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
