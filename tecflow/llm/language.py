@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from . import textnum as tn
-from .common import rows_where
+from .common import rows_where, staged
 from .toxicity import held_out
 
 SIZE, LONGEST, CLUSTERS, ROUNDS = 4096, 3, 4, 12
 #: Texts of each language that its centroids are fitted on at most: those with the smallest hash of their id.
 FITTED_ROWS = 512
+#: Ids of chosen texts that are broadcast at most.
+BROADCAST_IDS = 100_000
 #: A text is rejected below this part of the cosine that all but a hundredth of the language's sample reach.
 SLACK, QUANTILE = 0.5, 0.01
 #: Letters from which on this holds in full; a shorter text has few n-grams and so a small cosine with any centroid, and its floor falls with the root of its letters.
@@ -128,7 +130,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     idf = (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
     order = Window.partitionBy("lang").orderBy("h", "id")
     picked = source.select("id", "lang", F.xxhash64("id").alias("h")).withColumn("at", F.row_number().over(order)).where(F.col("at") <= FITTED_ROWS)
-    sample = source.join(picked.select("id", "lang").distinct(), ["id", "lang"])
+    chosen = staged(picked.select("id", "lang").distinct(), "chosen")
+    small = chosen.count() <= BROADCAST_IDS  # FITTED_ROWS for each language: bounded, unless there are very many of these
+    sample = source.join(F.broadcast(chosen) if small else chosen, ["id", "lang"])
 
     def centers(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
         texts = sorted(found["text"])
