@@ -39,8 +39,12 @@ def at_or_before(left: DataFrame, right: DataFrame, keys: Names, time: str, valu
 
 
 def matching_or_any(items: DataFrame, products: DataFrame, date: str, product_date: str) -> DataFrame:
-    """items for which a product of that date, or one without a date, is there."""
-    return items.join(products.select(F.col(product_date).alias("_d")).distinct(), F.col("_d").isNull() | (F.col("_d") == F.col(date)), "left_semi")
+    """items for which a product of that date, or one without a date, is there: an equality join and one flag, not a condition on either."""
+    d = F.col(product_date)
+    dates = products.where(d.isNotNull()).select(d.alias("_d")).distinct().withColumn("_hit", F.lit(True))
+    undated = products.agg(F.coalesce(F.bool_or(d.isNull()), F.lit(False)).alias("_any"))
+    both = items.join(dates, F.col(date) == F.col("_d"), "left").crossJoin(undated)
+    return both.where("_any or coalesce(_hit, false)").select(*items.columns)
 
 
 def lagrange_weights(phase: Column, order: int = 10) -> list[Column]:
