@@ -34,7 +34,8 @@ SLACK, QUANTILE = 0.5, 0.01
 #: Letters from which on this holds in full; a shorter text has few n-grams and so a small cosine with any centroid, and its floor falls with the root of its letters.
 FULL = 200
 UNDETERMINED = "und"
-PIECE_BYTES = 1 << 19
+#: Bytes and rows of texts whose dense vectors are held at a time.
+PIECE_BYTES, PIECE_ROWS = 1 << 19, 128
 
 
 @cache
@@ -110,7 +111,7 @@ def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(SIZE, np.int64), 0
         for batch in found:
-            for piece in tn.pieces(batch.column(0), PIECE_BYTES):
+            for piece in tn.pieces(batch.column(0), PIECE_BYTES, PIECE_ROWS):
                 total += (counts(piece)[0] > 0).sum(axis=0)
                 n += len(piece)
         keys = np.append(np.flatnonzero(total), SIZE)
@@ -136,7 +137,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
     def centers(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
         texts = sorted(found["text"])
-        x = np.concatenate([vectors(counts(p)[0], idf) for p in tn.pieces(pa.array(texts, pa.string()), PIECE_BYTES)])
+        x = np.concatenate([vectors(counts(p)[0], idf) for p in tn.pieces(pa.array(texts, pa.string()), PIECE_BYTES, PIECE_ROWS)])
         c = clustered(x)
         floor = SLACK * float(np.quantile((x @ c.T).max(axis=1), QUANTILE))
         return pd.DataFrame({"lang": [key[0]] * len(c), "center": [row.tolist() for row in c], "floor": floor})
@@ -149,7 +150,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 def judged(column: pa.Array, m: Model) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, score and rejection of every text of a column."""
     names, scores, rejects = [], [np.zeros(0)], [np.zeros(0, bool)]
-    for texts in tn.pieces(column, PIECE_BYTES):
+    for texts in tn.pieces(column, PIECE_BYTES, PIECE_ROWS):
         c, n_letters = counts(texts)
         near = vectors(c, m.idf) @ m.centroids.T if len(m.languages) else np.zeros((len(texts), 1), np.float32)
         best = near.argmax(axis=1)

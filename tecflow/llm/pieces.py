@@ -28,7 +28,7 @@ MARK = "▁"
 #: How far an unknown character scores below the worst piece.
 PENALTY = 10.0
 #: Parts a worker remembers; bytes of parts that go through the trie together; longer parts go alone.
-REMEMBERED, TOGETHER, ALONE = 1 << 20, 1 << 16, 96
+REMEMBERED, TOGETHER, ALONE = 1 << 18, 1 << 16, 96
 #: Characters encoded at a time and rows in an output batch.
 PIECE, ROWS = 1 << 20, 256
 

@@ -78,8 +78,8 @@ class Words:
         return total[self.first[1:]] - total[self.first[:-1]]
 
 
-def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[Texts]:
-    """A string column as Texts of at most limit bytes or one row each; null is an empty text."""
+def pieces(column: pa.Array, limit: int = PIECE_BYTES, rows: int = 1 << 30) -> Iterator[Texts]:
+    """A string column as Texts of at most limit bytes and rows, or one row each; null is an empty text."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
@@ -89,7 +89,7 @@ def pieces(column: pa.Array, limit: int = PIECE_BYTES) -> Iterator[Texts]:
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1)
+        j = max(i + 1, min(i + rows, int(np.searchsorted(offsets, offsets[i] + limit, "right")) - 1))
         yield Texts(i, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         i = j
 
