@@ -28,9 +28,11 @@ SIMILAR = 0.8
 #: Lines with fewer different words than this stay: so short a line recurs by chance.
 LEAST_WORDS = 5
 #: Hash buckets in which words are counted, and rarest words by which a line meets its group's earliest one.
-BUCKETS, HEADS = 1 << 16, 2
+BUCKETS, HEADS = 1 << 16, 8
 #: Parts, by word, in which lines are joined: the shuffle of one part is on disk at a time.
 PASSES = 4
+#: A word is hot whose bucket counts this many times the mean and 256 more.
+HOT = 4
 #: Rows that are broadcast at most when texts are joined with what is known of their lines.
 BROADCAST_ROWS = 200_000
 BLANKS = "[\\\\x20\\\\x09-\\\\x0D]+"
@@ -91,22 +93,26 @@ def passes(a: str, b: str) -> Column:
     return (F.least(n - i, m - j) >= both) & folded & ((F.least(n, m) < LONG) | long)
 
 
-def postings(found: DataFrame, most: int | None = None, *also: str) -> DataFrame:
-    """(key, word, at, rank, masks) and columns also: at holds the line's size and, from 0, the word's place in it.
+def postings(found: DataFrame, most: int | None = None, *also: str, hot: int = 1 << 19) -> DataFrame:
+    """(key, word, at, rank, masks, before) and columns also: at holds the line's size and, from 0, the word's place in it.
+
+    before: the words before this one, where the word's bucket counts hot or more,
+    so that lines which share many such words meet at the first of these alone.
 
     rank grows with the line's place, as far as a number can tell: a whole-number
     id, else the same for all.
     """
     prefix = F.col("prefix") if most is None else F.slice("prefix", 1, most)
     rank = F.coalesce(F.col("first.id"), F.lit((1 << 63) - 1)).cast("long") if isinstance(found.schema["first"].dataType["id"].dataType, T.IntegralType) else F.lit(0)
-    rows = found.select("key", "n", rank.alias("rank"), *MASKS, *also, F.posexplode(prefix).alias("i", "word"))
-    return rows.select("key", "word", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("at"), "rank", *MASKS, *also)
+    rows = found.select("key", "n", "prefix", rank.alias("rank"), *MASKS, *also, F.posexplode(prefix).alias("i", "word"))
+    before = F.when(F.shiftright("word", 44) >= hot, F.slice("prefix", 1, F.col("i")))
+    return rows.select("key", "word", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("at"), "rank", *MASKS, before.alias("before"), *also)
 
 
 def met(a: DataFrame, b: DataFrame) -> DataFrame:
     """(key, other, apart): lines of a and lines of b not after them that share a word and pass the filters; apart: bits in which their masks differ."""
     a, b = a.alias("a"), b.alias("b")
-    pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.key") != F.col("b.key")) & (F.col("a.rank") >= F.col("b.rank")) & passes("a", "b"))
+    pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.key") != F.col("b.key")) & (F.col("a.rank") >= F.col("b.rank")) & passes("a", "b") & F.coalesce(~F.arrays_overlap("a.before", "b.before"), F.lit(True)))
     apart = sum((F.bit_count(F.col(f"a.{m}").bitwiseXOR(F.col(f"b.{m}"))) for m in MASKS), F.lit(0))
     return pairs.select(F.col("a.key"), F.col("b.key").alias("other"), apart.alias("apart")).groupBy("key", "other").agg(F.first("apart").alias("apart"))
 
@@ -114,15 +120,15 @@ def met(a: DataFrame, b: DataFrame) -> DataFrame:
 def with_head(found: DataFrame) -> DataFrame:
     """Classes and the earliest class with one of the same HEADS rarest words, where the filters pass."""
     placed = postings(found.select("*", F.col("first.id").alias("id"), F.col("first.no").alias("no")), HEADS, "id", "no")
-    heads = placed.groupBy("word").agg(F.min(F.struct("id", "no", "key", "at", "rank", *MASKS)).alias("h"), F.count("*").alias("k")).where("k > 1").select("word", "h.key", "h.at", "h.rank", *[f"h.{m}" for m in MASKS])
+    heads = placed.groupBy("word").agg(F.min(F.struct("id", "no", "key", "at", "rank", *MASKS, "before")).alias("h"), F.count("*").alias("k")).where("k > 1").select("word", "h.key", "h.at", "h.rank", *[f"h.{m}" for m in MASKS], "h.before")
     return met(postings(found, HEADS), heads)
 
 
-def with_any(some: DataFrame, found: DataFrame) -> DataFrame:
+def with_any(some: DataFrame, found: DataFrame, hot: int) -> DataFrame:
     """The classes in some and all not after them that share a prefix word with them and pass the filters."""
     out, parts = None, []
     for part in range(PASSES):
-        a, b = (postings(x).where(F.col("word").bitwiseAND(F.lit(PASSES - 1)) == part) for x in (some, found))
+        a, b = (postings(x, hot=hot).where(F.col("word").bitwiseAND(F.lit(PASSES - 1)) == part) for x in (some, found))
         parts.append(staged(met(a, b), "pairs"))
         release(found.sparkSession)
         out = parts[-1] if out is None else out.union(parts[-1])
@@ -177,7 +183,8 @@ def removals(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     near = verified(docs, found, heads := staged(with_head(found), "heads"))
     still = staged(found.join(near, ["key", "key2"], "left_anti"), "still")
-    pairs = with_any(still, found)
+    mean = counts.select(F.expr("aggregate(counts, 0L, (a, n) -> a + n)")).first()[0] // BUCKETS
+    pairs = with_any(still, found, HOT * mean + 256)
     likely = verified(docs, found, best := staged(nearest(pairs), "nearest"))
     rest = staged(pairs.join(likely.select("key").distinct(), "key", "left_anti").join(best, ["key", "other"], "left_anti"), "rest")
     last = verified(docs, found, rest)
