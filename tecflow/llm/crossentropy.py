@@ -1,30 +1,32 @@
 """LM scoring by cross-entropy difference of two matched bigram models.
 
-Target and background models have one vocabulary, one set of bigram buckets and
-one smoothing. Word counts are gathered from all documents; words that reach the
-count which leaves at most VOCABULARY of them are the vocabulary, all others are
-one unknown word. Bigram, context and word counts follow in a second pass over
-all documents. A token costs -ln p(word | word before); a document's score is
-the mean over its tokens of target cost less background cost, so lower means
-nearer to the target.
+Target and background models know every word of all documents, whatever its
+count, and have one smoothing. Counts of bigrams, contexts and words are Spark
+tables keyed by 64-bit word hashes, of no set size; a second pass joins every
+document's distinct bigrams to their costs. A token costs
+-ln p(word | word before); a document's score is the mean over its tokens of
+target cost less background cost, so lower means nearer to the target.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import textnum as tn
-from .common import drop_staged, staged
+from .common import drop_staged, release, staged
 
-VOCABULARY, BUCKETS = 1 << 15, 1 << 20
+#: Parts, by the word before, in which bigrams are counted and joined: the tables and shuffles of one part are on disk at a time.
+PASSES = 4
+#: Stands before a text's first word.
+START = np.uint64(0x5851F42D4C957F2D)
 #: Weight of the bigram estimate, and what is added to every word count.
 BIGRAM, ADDED = 0.6, 0.5
-#: Counted keys a worker holds before it hands them on, and rows in a batch it hands on.
+#: Counted keys a worker holds before it hands them on, and rows in a batch that it hands on.
 HELD, ROWS = 1 << 19, 1 << 16
 #: Target ids that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
@@ -59,22 +61,7 @@ class Tally:
             yield whole.slice(at, ROWS)
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, n): hash of every lower-cased word and its count over all texts."""
-
-    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally(["word", "n"], [pa.int64(), pa.int64()])
-        for batch in found:
-            for piece in tn.pieces(batch.column(0)):
-                tally.add(*np.unique(tn.words(piece, lower=True).hash, return_counts=True))
-                if tally.full():
-                    yield from tally.batches()
-        yield from tally.batches()
-
-    return texts.select("text").mapInArrow(batches, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(counts: DataFrame, size: int = VOCABULARY) -> np.ndarray:
+def vocabulary(counts: DataFrame, size: int) -> np.ndarray:
     """Sorted hashes of the words whose count reaches the least one that at most size words reach.
 
     Counts are put in classes by size first, so that one small table shows where to cut.
@@ -100,91 +87,92 @@ def word_ids(found: tn.Words, known: np.ndarray) -> np.ndarray:
 
 
 def bigrams(found: tn.Words, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word id, id before it, bucket of the pair) of every token; a text's first word follows a start mark, id len(known) + 1."""
+    """(word id, id before it, hash of the pair) of every token; a text's first word follows a start mark, id len(known) + 1."""
     ids = word_ids(found, known)
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
     heads = found.first[:-1]
     before[heads[heads < found.first[1:]]] = len(known) + 1
     pair = (before * (len(known) + 2) + ids).astype(np.uint64)
-    return ids, before, (tn.mixed(pair + np.uint64(1)) % np.uint64(BUCKETS)).astype(np.int64)
-
-
-@dataclass
-class Model:
-    """Counts [background, target] by bigram bucket, context and word."""
-
-    known: np.ndarray
-    pairs: np.ndarray
-    contexts: np.ndarray
-    words: np.ndarray
-
-    def costs(self, which: int, ids: np.ndarray, before: np.ndarray, bucket: np.ndarray) -> np.ndarray:
-        """-ln p of every token under the background (0) or target (1) model."""
-        words, contexts = self.words[which].astype(np.float64), self.contexts[which].astype(np.float64)
-        single = (words + ADDED) / (words.sum() + ADDED * len(words))
-        inverse = 1 / np.maximum(contexts, 1)
-        pair = np.minimum(self.pairs[which][bucket] * inverse[before], 1)
-        return -np.log(BIGRAM * pair + (1 - BIGRAM) * single[ids])
-
-
-def fit(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Counts both models over all docs; target_ids (one column of ids) names the target's documents, which are in the background too."""
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    counts = staged(word_counts(source), "words")
-    known = vocabulary(counts)
-    drop_staged(counts)
-    wanted = target_ids.toDF("id").where("id is not null").distinct().withColumn("target", F.lit(1))
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    flagged = source.join(wanted, "id", "left").select("text", F.coalesce("target", F.lit(0)).alias("target"))
-    n_words, n_contexts = len(known) + 1, len(known) + 2
+    return ids, before, tn.mixed(pair + np.uint64(1))
+
+
+def pairs_of(found: tn.Words, groups: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(group, word before, word, count) of every distinct bigram of each group of tokens, for one part of the words before; a text's first word follows START."""
+    before = np.empty_like(found.hash)
+    before[1:] = found.hash[:-1]
+    heads = found.first[:-1]
+    before[heads[heads < found.first[1:]]] = START
+    mine = np.flatnonzero(before % np.uint64(PASSES) == part)
+    groups, before, word = groups[mine], before[mine], found.hash[mine]
+    keys = tn.mixed(tn.mixed(before + tn.mixed(groups.astype(np.uint64) + np.uint64(1))) + word)
+    _, at, n = np.unique(keys, return_index=True, return_counts=True)
+    return groups[at], before[at], word[at], n
+
+
+def pair_counts(texts: DataFrame, part: int) -> DataFrame:
+    """(before, word, n, t): count of every bigram in texts (text, target), and its count in the target's."""
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally(["key", "n", "t"], [pa.int64()] * 3)
         for batch in found:
             flags = batch.column(1).to_numpy()
             for piece in tn.pieces(batch.column(0)):
                 w = tn.words(piece, lower=True)
-                ids, before, bucket = bigrams(w, known)
-                inside = flags[piece.first : piece.first + len(piece)][w.row]
-                keys = np.concatenate((bucket, ids + BUCKETS, before + (BUCKETS + n_words)))
-                seen, back, n = np.unique(keys, return_inverse=True, return_counts=True)
-                tally.add(seen, n, np.bincount(back, np.tile(inside, 3), len(seen)).astype(np.int64))
-                if tally.full():
-                    yield from tally.batches()
-        yield from tally.batches()
+                inside, before, word, n = pairs_of(w, flags[piece.first : piece.first + len(piece)][w.row], part)
+                columns = [before.view(np.int64), word.view(np.int64), n, n * inside]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["before", "word", "n", "t"])
+
+    return texts.mapInArrow(batches, "before long, word long, n long, t long").groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+
 
-    def packed(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def text_pairs(texts: DataFrame, part: int) -> DataFrame:
+    """(th, before, word, k, head): every row's distinct bigrams and their counts; head is 1 once a row."""
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            arrays = [c.to_numpy().astype(k).tobytes() for c, k in zip(batch.columns, (np.int32, np.float32, np.float32), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([a], pa.binary()) for a in arrays], ["key", "n", "t"])
+            for piece in tn.pieces(batch.column(1)):
+                row, before, word, k = pairs_of(w := tn.words(piece, lower=True), w.row, part)
+                columns = [before.view(np.int64), word.view(np.int64), k, before == START]
+                whole = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + piece.first)), *(pa.array(c, pa.int64()) for c in columns)], ["th", "before", "word", "k", "head"])
+                for at in range(0, whole.num_rows, ROWS):
+                    yield whole.slice(at, ROWS)
 
-    # At most BUCKETS + 2 * VOCABULARY + 3 keys, whatever the size of docs; they come as a few arrays.
-    summed = flagged.mapInArrow(batches, "key long, n long, t long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    table = np.zeros((2, BUCKETS + n_words + n_contexts), np.float32)
-    for r in summed.mapInArrow(packed, "key binary, n binary, t binary").toLocalIterator():
-        key = np.frombuffer(r.key, np.int32)
-        table[0, key], table[1, key] = np.frombuffer(r.n, np.float32), np.frombuffer(r.t, np.float32)
-    return Model(known, table[:, :BUCKETS], table[:, BUCKETS + n_words :], table[:, BUCKETS : BUCKETS + n_words])
+    return texts.mapInArrow(batches, "th long, before long, word long, k long, head long")
 
 
-def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, target_cost, background_cost, score) for every row's whole text; costs and score are null without words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, wn, wt): count of every lower-cased word in texts (text, target), and its count in the target's."""
 
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        tally = Tally(["word", "wn", "wt"], [pa.int64()] * 3)
         for batch in found:
-            for piece in tn.pieces(batch.column(1)):
+            flags = batch.column(1).to_numpy()
+            for piece in tn.pieces(batch.column(0)):
                 w = tn.words(piece, lower=True)
-                tokens = bigrams(w, m.known)
-                n = w.per_row()
-                means = [w.per_row(m.costs(which, *tokens)) / np.maximum(n, 1) for which in (1, 0)]
-                columns = [pa.array(x, mask=n == 0) for x in (*means, means[0] - means[1])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(piece.first, len(piece)), pa.array(n.astype(np.int64)), *columns], [id_col, "n_tokens", "target_cost", "background_cost", "score"])
+                seen, back, n = np.unique(w.hash, return_inverse=True, return_counts=True)
+                tally.add(seen, n, np.bincount(back, flags[piece.first : piece.first + len(piece)][w.row], len(seen)).astype(np.int64))
+                if tally.full():
+                    yield from tally.batches()
+        yield from tally.batches()
+
+    return texts.mapInArrow(batches, "word long, wn long, wt long").groupBy("word").agg(F.sum("wn").alias("wn"), F.sum("wt").alias("wt"))
 
-    fields = [T.StructField("n_tokens", T.LongType()), *(T.StructField(x, T.DoubleType()) for x in ("target_cost", "background_cost", "score"))]
-    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(batches, T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *fields]))
+
+def costs(texts: DataFrame, words: DataFrame, whole: list[float], part: int) -> DataFrame:
+    """(pair, c0, c1): cost of every bigram of one part of texts (text, target) under the background and the target model."""
+    pairs = staged(pair_counts(texts, part), "pairs")
+    release(texts.sparkSession)
+    contexts = pairs.groupBy("before").agg(F.sum("n").alias("cn"), F.sum("t").alias("ct"))
+
+    def cost(pair: str, context: str, word: str, total: float) -> Column:
+        estimate = F.col(pair) / F.greatest(F.col(context), F.lit(1))
+        return -F.log(BIGRAM * estimate + (1 - BIGRAM) * ((F.col(word) + ADDED) / total))
+
+    both = pairs.join(words, "word").join(contexts, "before")
+    out = staged(both.select(F.xxhash64("before", "word").alias("pair"), cost("n", "cn", "wn", whole[0]).alias("c0"), cost("t", "ct", "wt", whole[1]).alias("c1")), "costs")
+    drop_staged(pairs)
+    release(texts.sparkSession)
+    return out
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,4 +181,24 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
     Without target documents the target model is uniform. Ids in target_ids that
     are null or not in docs change nothing; repeated ones count once.
     """
-    return scored(docs, fit(docs, target_ids, id_col, text_col), id_col, text_col)
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    wanted = target_ids.toDF("wanted").where("wanted is not null").distinct().withColumn("target", F.lit(1))
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    flagged = rows.join(wanted, rows[id_col] == wanted["wanted"], "left")
+    texts = flagged.select("_text", F.coalesce("target", F.lit(0)).alias("target"))
+    words = staged(word_counts(texts), "words")
+    known, *totals = words.agg(F.count("*"), F.sum("wn"), F.sum("wt")).first()
+    whole = [float(x or 0) + ADDED * (known + 1) for x in totals]  # one more word than known has a share
+    th, sums = F.xxhash64("_text").alias("th"), []
+    for part in range(PASSES):
+        table = costs(texts, words, whole, part)
+        mine = text_pairs(rows.select(th, "_text"), part).select("th", F.xxhash64("before", "word").alias("pair"), F.col("k").cast("int").alias("k"), F.col("head").cast("int").alias("head"))
+        sum_of = [F.sum("k").alias("k"), F.sum("head").alias("head"), *(F.sum(F.col("k") * F.col(c)).alias(c) for c in ("c0", "c1"))]
+        sums.append(staged(mine.join(table, "pair").groupBy("th").agg(*sum_of), "sums"))
+        drop_staged(table)
+        release(docs.sparkSession)
+    # Rows of equal text are one group, head tells how many; their mean is that of each.
+    mean = lambda c: (F.sum(c) / F.sum("k")).alias(c)
+    scores = reduce(DataFrame.union, sums).groupBy("th").agg(F.expr("sum(k) div sum(head)").alias("n"), mean("c0"), mean("c1"))
+    out = rows.select(id_col, th).join(scores, "th", "left")
+    return out.select(id_col, F.coalesce("n", F.lit(0)).cast("long").alias("n_tokens"), F.col("c1").alias("target_cost"), F.col("c0").alias("background_cost"), (F.col("c1") - F.col("c0")).alias("score"))

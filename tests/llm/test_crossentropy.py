@@ -75,3 +75,21 @@ def test_empty_tables(spark):
     ids = spark.createDataFrame([], "doc_id long")
     assert ce.cross_entropy_difference(docs, ids).first().score is not None
     assert ce.cross_entropy_difference(docs.limit(0), ids).count() == 0
+
+
+def test_rare_words_and_all_bigrams_count(spark):
+    """More words than 32,768, most of them rare, leave every count exact."""
+    rng = np.random.default_rng(5)
+    rows = [(i, [f"w{k}" for k in rng.integers(0, 60_000, 2_000)]) for i in range(60)]
+    target = set(range(0, 60, 7))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = {r.doc_id: r for r in ce.cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()}
+    known = len({w for _, t in rows for w in t})
+    assert known > 1 << 15
+    for name, inside in (("background_cost", range(60)), ("target_cost", target)):
+        texts = [t for i, t in rows if i in inside]
+        single, pair, context = Counter(w for t in texts for w in t), Counter(x for t in texts for x in zip([None, *t], t)), Counter(h for t in texts for h in [None, *t[:-1]])
+        total = single.total() + ce.ADDED * (known + 1)
+        for i, t in rows:
+            cost = -sum(math.log(ce.BIGRAM * pair[h, w] / max(1, context[h]) + (1 - ce.BIGRAM) * (single[w] + ce.ADDED) / total) for h, w in zip([None, *t], t))
+            assert abs(getattr(got[i], name) - cost / len(t)) < 1e-9
