@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .common import drop_staged, release, staged
 
 SIMILAR = 0.8
-#: Lines with fewer different words than this stay: so short a line recurs by chance.
+#: Lines with fewer different words than this stay unless deduplicated is told otherwise: so short a line recurs by chance.
 LEAST_WORDS = 5
 #: Hash buckets in which words are counted, and rarest words by which a line meets its group's earliest one.
 BUCKETS, HEADS = 1 << 16, 8
@@ -62,8 +62,8 @@ def parity(keys: str, part: int | None = None) -> str:
     return f"aggregate({keys}, 0L, (a, k) -> a ^ {bit if part is None else f'case when shiftright(k, 6) % 3 = {part} then {bit} else 0L end'})"
 
 
-def classes(lines: DataFrame, counts: Column) -> DataFrame:
-    """Equal lines with LEAST_WORDS words: key, key2, first (earliest place), n (words), prefix (in order), mask, mask2.
+def classes(lines: DataFrame, counts: Column, least: int = LEAST_WORDS) -> DataFrame:
+    """Equal lines with least words: key, key2, first (earliest place), n (words), prefix (in order), mask, mask2.
 
     counts stands in a projection of its own that the optimizer folds into the
     next one, so the table is looked into and not copied to every row.
@@ -78,7 +78,7 @@ def classes(lines: DataFrame, counts: Column) -> DataFrame:
         *[F.expr(f"case when {n} >= {LONG} then {parity('keys', part)} else {parity('keys') if part == 0 else '0L'} end").alias(m) for part, m in enumerate(MASKS)],
     )
     firsts = rows.groupBy("key", "key2").agg(F.min("first").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("mask").alias("mask"), F.first("mask2").alias("mask2"), F.first("mask3").alias("mask3"))
-    return firsts.where(F.col("n") >= LEAST_WORDS)
+    return firsts.where(F.col("n") >= least)
 
 
 def passes(a: str, b: str) -> Column:
@@ -170,7 +170,7 @@ def verified(docs: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
     return out
 
 
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """(id, th, gone): places of the removed lines of each text that has any.
 
     Three rounds find the lines with a similar earlier one, each over the lines
@@ -179,7 +179,7 @@ def removals(docs: DataFrame) -> DataFrame:
     not n * n.
     """
     counts = staged(bucket_counts(docs), "counts")
-    found = staged(classes(document_lines(docs), counts.scalar()), "classes")
+    found = staged(classes(document_lines(docs), counts.scalar(), least), "classes")
     release(docs.sparkSession)
     near = verified(docs, found, heads := staged(with_head(found), "heads"))
     still = staged(found.join(near, ["key", "key2"], "left_anti"), "still")
@@ -199,18 +199,18 @@ def removals(docs: DataFrame) -> DataFrame:
     return out
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """docs with text_col less its removed lines, and two columns more: n_lines and n_removed.
 
     Rows keep their place even if all lines go; the text is then empty. A null
-    text stays null, with 0 lines. Lines without LEAST_WORDS different words stay,
-    blank ones among them. Rows equal in id and text are one document and keep the
+    text stays null, with 0 lines. Lines without least different words stay,
+    blank ones always (least is 1 or more). Rows equal in id and text are one document and keep the
     same lines; rows with a null id come after all others. Columns of docs named
     n_lines or n_removed are replaced.
     """
     rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.struct(*rest).alias("rest"))
-    gone = removals(source.select("id", "text", "th").where("text is not null"))
+    gone = removals(source.select("id", "text", "th").where("text is not null"), least)
     lines = F.split("text", "\n")
     kept = F.expr("filter(lines, (x, i) -> not array_contains(gone, i))")
     out = joined_texts(source, gone, "left").withColumn("lines", lines)
@@ -226,7 +226,7 @@ def has_line(text: str) -> Column:
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_lines, n_removed, text_hash) of every row after line dedup."""
-    return deduplicated(docs, id_col, text_col).select(id_col, "n_lines", "n_removed", F.xxhash64(text_col).alias("text_hash"))
+    """(id, n_lines, n_removed, text_hash) of every row after line dedup of all lines with a word."""
+    return deduplicated(docs, id_col, text_col, 1).select(id_col, "n_lines", "n_removed", F.xxhash64(text_col).alias("text_hash"))
 
 

@@ -74,3 +74,12 @@ def test_texts_are_joined_by_a_shuffle_beyond_the_bound(spark, monkeypatch):
     rows = corpus(30, 3)
     got = sorted((r.doc_id, r.text, r.n_removed) for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == plain(rows)
+
+
+def test_short_lines_take_part_in_the_query(spark):
+    rows = [*corpus(40, 6), (900, "Les.\nAnd ornd.\nunique here\n\n"), (901, "Les.\n \nornd. And\na a a a\na"), (902, "one two three four\n" + "four three two one " * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = plain(rows, least=1)
+    assert sorted((r.doc_id, r.n_removed) for r in lines.digest(docs).collect()) == [(i, n) for i, _, n in want]
+    assert sorted((r.doc_id, r.text) for r in lines.deduplicated(docs, least=1).collect()) == [(i, t) for i, t, _ in want]
+    assert dict((i, n) for i, _, n in want)[901] == 3
