@@ -1,12 +1,10 @@
-"""Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact verification.
+"""Benchmark decontamination: item-sized windows over shared shingles, exact verification.
 
-A benchmark item of n words is compared with windows of n words of a document.
-Windows and items have 64-bit SimHash fingerprints over their weighted five-word
-shingles. The items' fingerprints are indexed in BLOCKS blocks of bits: of two
-fingerprints at most RADIUS bits apart, some block differs in at most
-RADIUS // BLOCKS bits, so looking up each block with so many bits flipped finds
-all fingerprints within the radius. What is found is verified by the weighted
-Jaccard similarity of the shingles themselves.
+A benchmark item of n words is compared with windows of n words of a document by
+the weighted Jaccard similarity of their five-word shingles. What the shingles
+that a window shares with the item can reach at most is summed for all windows
+at once; where that is enough the similarity itself is computed. Fingerprints
+decide nothing: with uneven weights they lose similar pairs.
 
 A window can only be similar to an item if they share a shingle. Laying a shared
 shingle of both on each other aligns the item with one window. A window before
@@ -31,7 +29,7 @@ from . import textnum as tn
 from .common import rows_where
 
 SHINGLE, SIMILAR = 5, 0.8
-#: At similarity 0.8 two fingerprints differ in 10 of 64 bits on average, with deviation 3.
+#: Bits in which fingerprints that Index.within finds differ at most, and blocks of bits they are looked up by; matches don't depend on them.
 RADIUS, BLOCKS = 22, 8
 #: Items indexed at a time; the documents are scanned once for each such part of the benchmark.
 ITEMS = 20_000
@@ -84,6 +82,7 @@ class Index:
 
     def __post_init__(self):
         self.weight = dict(zip(self.keys.tolist(), (1 / np.maximum(self.df, 1)).tolist(), strict=True))
+        self.totals = np.array([sum(n * self.weight[h] for h, n in bag.items()) for bag in self.bags], np.float64)
 
     @classmethod
     def build(cls, ids: list, texts: list[str]) -> Index:
@@ -148,10 +147,10 @@ def similarity(a: Counter, b: Counter, weight: dict[int, float]) -> float:
 
 
 def candidates(index: Index, found: tn.Words, at: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Distinct (row, first word, words) of the windows that lie as an item does over a shared shingle."""
+    """Distinct (row, item, first word, words) of the windows whose shared shingles can make them similar to the item over which they lie."""
     maybe = np.flatnonzero(index.quick[(h % np.uint64(QUICK)).astype(np.int64)])
     if not len(maybe) or not len(index.keys):
-        return np.zeros((0, 3), np.int64)
+        return np.zeros((0, 4), np.int64)
     key = np.searchsorted(index.keys, h[maybe]).clip(max=len(index.keys) - 1)
     hit = index.keys[key] == h[maybe]
     maybe, key = maybe[hit], key[hit]
@@ -163,40 +162,34 @@ def candidates(index: Index, found: tn.Words, at: np.ndarray, h: np.ndarray) ->
     size = np.minimum(size, tail - head)
     start = np.clip(word - index.offset[post], head, tail - size)
     aligned = np.unique(np.stack([row, index.item[post], size, start], axis=1), axis=0)
-    row, _, size, start = aligned.T
+    row, item, size, start = aligned.T
     step = np.ones(len(aligned), np.int64)
     gap = start[1:] - start[:-1]
     joined = (aligned[1:, :2] == aligned[:-1, :2]).all(axis=1) & (gap <= size[:-1])
     step[:-1][joined] = gap[joined]
     of = np.repeat(np.arange(len(aligned)), step)
     start = start[of] + np.arange(len(of)) - (np.cumsum(step) - step)[of]
-    return np.unique(np.stack([row[of], start, size[of]], axis=1), axis=0)
+    row, item, size = row[of], item[of], size[of]
+    # Weight of the window's shingles that the item holds, each as often as it stands there: no less than what both share.
+    span = len(found.hash) + 1
+    hits, back = np.unique(index.item[post] * span + word, return_index=True)
+    total = np.concatenate(([0], np.cumsum(np.repeat(index.weights(h[maybe]), n)[back], dtype=np.float64)))
+    most = total[np.searchsorted(hits, item * span + start + size - SHINGLE + 1)] - total[np.searchsorted(hits, item * span + start)]
+    own = np.concatenate(([0], np.cumsum(index.weights(h), dtype=np.float64)))
+    whole = own[np.searchsorted(at, start + size - SHINGLE + 1)] - own[np.searchsorted(at, start)] + index.totals[item]
+    able = most * (1 + SIMILAR) >= SIMILAR * whole - 1e-4
+    return np.unique(np.stack([row, item, start, size], axis=1)[able], axis=0)
 
 
 def matches(index: Index, texts: tn.Texts) -> dict[tuple[int, int], tuple[float, int, int]]:
     """(row, item) to (similarity, first word in the text, words) of the best window, the first one of several."""
     found, at, h = shingles(texts)
-    windows = candidates(index, found, at, h)
-    if not len(windows):
-        return {}
-    place = np.full(len(found.hash) + 1, -1)
-    place[at] = np.arange(len(at))
-    n = windows[:, 2] - SHINGLE + 1
-    first = np.concatenate(([0], np.cumsum(n)))
-    start = place[windows[:, 1]]
-    inside = np.repeat(start - first[:-1], n) + np.arange(first[-1])
-    prints = simhash(h[inside], index.weights(h[inside]), first)
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for k, (row, word, size) in enumerate(windows.tolist()):
-        close = index.within(int(prints[k]))
-        close = close[index.sizes[close] >= size]
-        if not len(close):
-            continue
-        bag = Counter(h[start[k] : start[k] + n[k]].tolist())
-        for i in close.tolist():
-            s = similarity(bag, index.bags[i], index.weight)
-            if s >= SIMILAR and s > best.get((row, i), (0,))[0]:
-                best[row, i] = (s, word - int(found.first[row]), size)
+    for row, item, word, size in candidates(index, found, at, h).tolist():
+        first = int(np.searchsorted(at, word))
+        s = similarity(Counter(h[first : first + size - SHINGLE + 1].tolist()), index.bags[item], index.weight)
+        if s >= SIMILAR and s > best.get((row, item), (0,))[0]:
+            best[row, item] = (s, word - int(found.first[row]), size)
     return best
 
 

@@ -93,3 +93,25 @@ def test_operator_on_tables(spark):
     unnamed = spark.createDataFrame([(None, items[4][1]), (None, "clean")], "doc_id long, text string")
     assert [r.text for r in dc.decontaminated(unnamed, bench).collect()] == ["clean"]
     assert dc.contaminated(table, bench.limit(0)).count() == 0 and dc.contaminated(table.limit(0), bench).count() == 0
+
+
+def templated():
+    """Ten items that share a template, and copies with changed words in items and template alike."""
+    rng = np.random.default_rng(7)
+    draw = lambda n, of: [f"{of}{k}" for k in rng.integers(0, 10**6, n)]
+    template = draw(80, "t")
+    items = [(i, " ".join(template + draw(int(rng.integers(6, 20)), "own"))) for i in range(10)]
+    docs = []
+    for i in range(60):
+        words = items[i % 10][1].split()
+        words[-int(rng.integers(1, 6))] = "changed"
+        docs.append((i, " ".join(draw(20, "x") + words + draw(20, "y"))))
+    return docs, items
+
+
+def test_items_that_share_a_template_lose_no_pair():
+    docs, items = templated()
+    index = dc.Index.build([i for i, _ in items], [t for _, t in items])
+    want = plain_matches(docs, items)
+    got = {(docs[p.first + r][0], index.ids[i]): s for p in tn.pieces(pa.array([t for _, t in docs])) for (r, i), (s, *_) in dc.matches(index, p).items()}
+    assert got.keys() == want.keys() and len(want) > 10 and all(abs(got[k] - want[k]) < 1e-5 for k in want)
