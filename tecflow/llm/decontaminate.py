@@ -61,11 +61,12 @@ def simhash(hashes: np.ndarray, weights: np.ndarray, first: np.ndarray) -> np.nd
 
 @dataclass
 class Index:
-    """Items with at least SHINGLE words, longest postings first; all arrays grow with the part of the benchmark alone.
+    """Items with at least SHINGLE words, longest postings first; all arrays but common grow with the part of the benchmark alone.
 
     keys: distinct shingles in order, df: items each is in; posting p of key k is
     item[p] at offset[p], for post_first[k] <= p < post_first[k + 1]; sizes: words
-    of each item; prints: fingerprints; near[b][v]: items whose block b is close to v.
+    of each item; common: shingles of more than one item of the whole benchmark, in
+    order, and the items each is in; prints: fingerprints; near[b][v]: items whose block b is close to v.
     """
 
     ids: list
@@ -79,13 +80,15 @@ class Index:
     prints: np.ndarray
     near: list[list[np.ndarray]]
     quick: np.ndarray
+    common: tuple[np.ndarray, np.ndarray]
 
     def __post_init__(self):
-        self.weight = dict(zip(self.keys.tolist(), (1 / np.maximum(self.df, 1)).tolist(), strict=True))
-        self.totals = np.array([sum(n * self.weight[h] for h, n in bag.items()) for bag in self.bags], np.float64)
+        self.weight = dict(zip(self.common[0].tolist(), (1 / self.common[1]).tolist(), strict=True))
+        self.totals = np.array([sum(n * self.weight.get(h, 1.0) for h, n in bag.items()) for bag in self.bags], np.float64)
 
     @classmethod
-    def build(cls, ids: list, texts: list[str]) -> Index:
+    def build(cls, ids: list, texts: list[str], common: tuple[np.ndarray, np.ndarray] | None = None) -> Index:
+        """common: that of the whole benchmark, where ids and texts are a part of it."""
         kept_ids, sizes, runs = [], [], []
         for piece in tn.pieces(pa.array(texts, pa.string())):
             found, at, h = shingles(piece)
@@ -106,17 +109,18 @@ class Index:
         df = np.array([len(np.unique(item[order][i:j])) for i, j in zip(post_first, post_first[1:], strict=False)], np.int64)
         quick = np.zeros(QUICK, bool)
         quick[(keys % np.uint64(QUICK)).astype(np.int64)] = True
-        out = cls(kept_ids, np.array(sizes, np.int64), keys, df, post_first, item[order], offset[order], [Counter(r.tolist()) for r in runs], np.zeros(0, np.uint64), [], quick)
+        out = cls(kept_ids, np.array(sizes, np.int64), keys, df, post_first, item[order], offset[order], [Counter(r.tolist()) for r in runs], np.zeros(0, np.uint64), [], quick, (keys[df > 1], df[df > 1]) if common is None else common)
         out.prints = simhash(all_h, out.weights(all_h), first)
         out.near = blocks(out.prints)
         return out
 
     def weights(self, h: np.ndarray) -> np.ndarray:
         """A shingle weighs 1 / (number of items it is in), and 1 in no item: what items have in common tells little."""
-        if not len(self.keys):
+        keys, df = self.common
+        if not len(keys):
             return np.ones(len(h), np.float32)
-        at = np.searchsorted(self.keys, h).clip(max=len(self.keys) - 1)
-        return np.where(self.keys[at] == h, 1 / self.df[at], 1).astype(np.float32)
+        at = np.searchsorted(keys, h).clip(max=len(keys) - 1)
+        return np.where(keys[at] == h, 1 / df[at], 1).astype(np.float32)
 
     def within(self, fingerprint: int) -> np.ndarray:
         """Items whose fingerprint is at most RADIUS bits away, all of them."""
@@ -193,13 +197,30 @@ def matches(index: Index, texts: tn.Texts) -> dict[tuple[int, int], tuple[float,
     return best
 
 
+def shared_shingles(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that more than one of items (item, text) holds, in order, and how many hold each."""
+
+    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in found:
+            for piece in tn.pieces(batch.column(0)):
+                words, at, h = shingles(piece)
+                _, one = np.unique(np.stack([words.row[at].astype(np.uint64), h], axis=1), axis=0, return_index=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h[one].view(np.int64))], ["h"])
+
+    seen = items.select("text").mapInArrow(batches, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").toPandas()
+    keys, n = seen["h"].to_numpy(np.int64).view(np.uint64), seen["n"].to_numpy(np.int64)
+    order = np.argsort(keys)
+    return keys[order], n[order]
+
+
 def indexes(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[Broadcast]:
     """The benchmark's parts of about ITEMS items, indexed and broadcast one after the other."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
     parts = max(1, -(-items.count() // ITEMS))
+    common = shared_shingles(items) if parts > 1 else None
     for part in range(parts):
         rows = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Index.build([r.item for r in rows], [r.text for r in rows]))
+        yield benchmark.sparkSession.sparkContext.broadcast(Index.build([r.item for r in rows], [r.text for r in rows], common))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:

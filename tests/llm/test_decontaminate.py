@@ -115,3 +115,11 @@ def test_items_that_share_a_template_lose_no_pair():
     want = plain_matches(docs, items)
     got = {(docs[p.first + r][0], index.ids[i]): s for p in tn.pieces(pa.array([t for _, t in docs])) for (r, i), (s, *_) in dc.matches(index, p).items()}
     assert got.keys() == want.keys() and len(want) > 10 and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+
+
+def test_parts_of_the_benchmark_give_what_one_part_gives(spark, monkeypatch):
+    docs, items = templated()
+    table, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(r.doc_id, r.item_id, round(r.similarity, 6)) for r in dc.contaminated(table, bench).collect()}
+    monkeypatch.setattr(dc, "ITEMS", 4)
+    assert {(r.doc_id, r.item_id, round(r.similarity, 6)) for r in dc.contaminated(table, bench).collect()} == want and len(want) > 10
