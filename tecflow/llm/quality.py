@@ -17,9 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from . import textnum as tn
+from .crossentropy import HELD, Tally
 
-#: Words a partition reports for each language, and words that make a language's reference.
-REPORTED, COMMON = 2048, 100
+#: Words that make a language's reference.
+COMMON = 100
 #: Least observations for a histogram to be judged, and the farthest distance kept.
 MIN_CHARS, MIN_WORDS = 200, 100
 FAR_CHARS, FAR_WORDS = 0.30, 0.45
@@ -98,19 +99,28 @@ def summed_by_language(batch_languages: list, rows: np.ndarray, into: dict) -> N
             into[language] = into[language] + row if language in into else row.astype(np.int64)
 
 
+def words_of(tallies: dict[str, Tally]) -> Iterator[pa.RecordBatch]:
+    """Hands on and empties the word counts of each language."""
+    for language, tally in tallies.items():
+        for batch in tally.batches():
+            n = batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array([language] * n, pa.string()), pa.array(np.ones(n, np.int32)), *batch.columns], ["lang", "kind", "key", "n"])
+    tallies.clear()
+
+
 def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> References:
     """Histograms of each language over all its documents.
 
-    A first pass counts character classes and has every partition name its most
-    common words for each language; the most named make the vocabulary, and a
-    second pass counts them in all documents. What reaches the driver is bounded
+    A first pass counts character classes and all words of each language; the most
+    common by their whole counts make the vocabulary, and a second pass counts them
+    in all documents. What reaches the driver is bounded
     by languages times (classes + words).
     """
     source = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
 
     def first(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chars: dict[str, np.ndarray] = {}
-        words: dict[str, dict[int, int]] = {}
+        tallies: dict[str, Tally] = {}
         for batch in found:
             langs = batch.column(1).to_pylist()
             for texts in tn.pieces(batch.column(0)):
@@ -119,19 +129,16 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
                 w = tn.words(texts)
                 for language in set(here):
                     mine = np.array([x == language for x in here])
-                    keys, n = np.unique(w.hash[mine[w.row]], return_counts=True)
-                    top = np.argsort(-n, kind="stable")[: 2 * REPORTED]
-                    seen = words.setdefault(language, {})
-                    for k, c in zip(keys[top].tolist(), n[top].tolist(), strict=True):
-                        seen[k] = seen.get(k, 0) + c
-        out = [(x, 0, k, int(c)) for x, row in chars.items() for k, c in enumerate(row) if c]
-        for x, seen in words.items():
-            best = sorted(seen.items(), key=lambda kc: (-kc[1], kc[0]))[:REPORTED]
-            out += [(x, 1, k - (1 << 64) if k >> 63 else k, c) for k, c in best]
-        yield as_batch(out, ["lang", "kind", "key", "n"])
+                    tally = tallies.setdefault(language, Tally(["key", "n"], [pa.int64()] * 2))
+                    tally.add(*np.unique(w.hash[mine[w.row]], return_counts=True))
+                    tally.full()  # sums equal words
+                if sum(t.held for t in tallies.values()) > HELD:
+                    yield from words_of(tallies)
+        yield from words_of(tallies)
+        yield as_batch([(x, 0, k, int(c)) for x, row in chars.items() for k, c in enumerate(row) if c], ["lang", "kind", "key", "n"])
 
     counted = source.select("text", "lang").mapInArrow(first, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    ranked = counted.withColumn("at", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))).where((F.col("kind") == 0) | (F.col("at") <= COMMON))
+    ranked = counted.withColumn("at", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))).where((F.col("at") <= max(COMMON, N_CLASSES)) & ((F.col("kind") == 0) | (F.col("at") <= COMMON)))
     found = ranked.select("lang", "kind", "key", "n").collect()
     languages = sorted({r.lang for r in found})
     known = np.unique(np.array([r.key for r in found if r.kind == 1], np.int64).view(np.uint64))

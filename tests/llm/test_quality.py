@@ -64,3 +64,11 @@ def test_no_languages_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b " * 100, None)], "doc_id long, text string, lang string")
     assert quality.quality_rules(docs).first().char_distance is None
     assert quality.quality_rules(docs.limit(0)).count() == 0
+
+
+def test_words_spread_thinly_over_partitions_are_counted_whole(spark):
+    """In each of 8 partitions 3,000 words stand twice and 100 words, the same in all, once."""
+    rows = [(p, " ".join([f"p{p}w{k}" for k in range(3000)] * 2 + [f"all{k}" for k in range(100)]), "en") for p in range(8)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), "doc_id long, text string, lang string")
+    want = tn.words(next(tn.pieces(pa.array([" ".join(f"all{k}" for k in range(100))])))).hash
+    assert quality.references(docs).words.tolist() == sorted(want.tolist())
