@@ -38,19 +38,39 @@ def station_of_name(name: Column) -> Column:
     return F.upper(F.substring(name, 1, 4))
 
 
-def year_of(two: Column) -> Column:
-    """Four-digit year of a two-digit one: from 80 on, 19xx."""
-    y = two.cast("int")
-    return F.when(y >= 80, y + 1900).otherwise(y + 2000)
+def day_of_year(year: Column, day: Column) -> Column:
+    """The date of a day of a year; null out of range."""
+    return F.when(year.between(2000, 2099) & day.between(1, 366), F.date_add(F.make_date(year, F.lit(1), F.lit(1)), day - 1))
 
 
 def date_of_name(name: Column) -> Column:
-    """Date in a file name: ssssDDDx.YYo, an eight-digit date, a year and day of year of seven digits; null without any."""
-    short = lambda k: F.regexp_extract(name, r"^[A-Za-z0-9]{4}(\d{3})[0-9a-x]\.(\d{2})[A-Za-z]$", k)
-    day = F.regexp_extract(name, r"(?<!\d)((?:19|20)\d{2})[-_]?(0[1-9]|1[0-2])[-_]?(0[1-9]|[12]\d|3[01])(?!\d)", 0)
-    doy = lambda k: F.regexp_extract(name, r"(?<!\d)((?:19|20)\d{2})(\d{3})(?!\d)", k)
-    of_doy = lambda y, d: F.date_add(F.make_date(y, F.lit(1), F.lit(1)), d.cast("int") - 1)
-    return F.when(short(1) != "", of_doy(year_of(F.nullif(short(2), F.lit(""))), F.nullif(short(1), F.lit("")))).when(day != "", F.to_date(F.regexp_replace(day, "[-_]", ""), "yyyyMMdd")).when(doy(1) != "", of_doy(F.nullif(doy(1), F.lit("")).cast("int"), F.nullif(doy(2), F.lit(""))))
+    """Day in a file name; null without one, or if the first of these forms that it has is out of range.
+
+    - yyyyddd: seven digits that start with 20, also inside a longer number;
+    - a station, ddd0 and an ending yyo, yyd or yyn: ssssddd0.yyo as a whole name (also packed), or ddd0.yyo after a character that is no digit;
+    - yyddd: a number of five digits.
+    """
+    low = F.lower(name)
+    runs = F.split(low, "[^0-9]+")
+    begin = lambda r: F.locate("20", r)
+    long = F.get(F.filter(runs, lambda r: (F.locate("20", r) > 0) & (F.length(r) - F.locate("20", r) >= 6)), F.lit(0))
+    digits = long.substr(begin(long), F.lit(7))
+    pieces = F.split(low, "[.]")
+    whole = lambda k: F.coalesce(F.get(pieces, F.lit(k)), F.lit(""))
+    is_day = lambda left: F.right(left, F.lit(4)).rlike("^[0-9]{3}0$")
+    is_year = lambda right: right.substr(1, 2).rlike("^[0-9]{2}$") & right.substr(3, 1).isin("o", "d", "n")
+    packed = (F.size(pieces) == 2) | ((F.size(pieces) == 3) & whole(2).isin("gz", "z"))
+    classic = (F.length(whole(0)) == 8) & whole(0).rlike("^[a-z0-9]+$") & is_day(whole(0)) & (F.length(whole(1)) == 3) & is_year(whole(1)) & packed
+    pairs = F.arrays_zip(F.slice(pieces, 1, F.size(pieces) - 1).alias("l"), F.slice(pieces, 2, F.size(pieces)).alias("r"))
+    loose = F.get(F.filter(pairs, lambda x: is_day(x["l"]) & is_year(x["r"]) & ~F.right(x["l"], F.lit(5)).substr(1, 1).rlike("[0-9]") | is_day(x["l"]) & is_year(x["r"]) & (F.length(x["l"]) == 4)), F.lit(0))
+    left, right = F.when(classic, whole(0)).otherwise(loose["l"]), F.when(classic, whole(1)).otherwise(loose["r"])
+    five = F.get(F.filter(runs, lambda r: F.length(r) == 5), F.lit(0))
+    number = lambda c: c.try_cast("int")
+    return (
+        F.when(digits.isNotNull(), day_of_year(number(digits.substr(1, 4)), number(digits.substr(5, 3))))
+        .when(left.isNotNull(), day_of_year(2000 + number(right.substr(1, 2)), number(F.right(left, F.lit(4)).substr(1, 3))))
+        .when(five.isNotNull(), day_of_year(2000 + number(five.substr(1, 2)), number(five.substr(3, 3))))
+    )
 
 
 def risk_flags(chain: Column, sampling: Column, foreign_sigma: Column | None = None, nav_fallback: Column | None = None) -> Column:

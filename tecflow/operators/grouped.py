@@ -6,13 +6,15 @@ data model bounds; groups are never whole tables.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 Names = Sequence[str]
+#: Rows of whole series that by_series handles together.
+HELD = 1 << 16
 
 
 def poly_of(roots: np.ndarray) -> np.ndarray:
@@ -48,23 +50,34 @@ def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
     return np.linalg.solve(np.eye(n) - shift, b[1:] - a[1:] * b[0])
 
 
+def side_by_side(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Series as the rows of one array, filled up with their last values, and their lengths."""
+    size = np.array([len(r) for r in rows])
+    return np.stack([np.concatenate((r, np.full(size.max() - len(r), r[-1]))) for r in rows]), size
+
+
 def filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray, memory: np.ndarray) -> np.ndarray:
-    out, z = np.empty(len(x)), memory.copy()
-    for i, v in enumerate(x):
-        y = b[0] * v + z[0]
-        z[:-1] = z[1:] + b[1:-1] * v - a[1:-1] * y
-        z[-1] = b[-1] * v - a[-1] * y
-        out[i] = y
+    """Filters all rows of x at once, one step of time after the other; memory: (rows, len(a) - 1)."""
+    out, z = np.empty_like(x), memory.copy()
+    for i in range(x.shape[1]):
+        v = x[:, i]
+        y = b[0] * v + z[:, 0]
+        z[:, :-1] = z[:, 1:] + b[1:-1] * v[:, None] - a[1:-1] * y[:, None]
+        z[:, -1] = b[-1] * v - a[-1] * y
+        out[:, i] = y
     return out
 
 
-def zero_phase(b: np.ndarray, a: np.ndarray, x: np.ndarray, pad: int) -> np.ndarray:
-    """Filters forwards and backwards; ends are extended by odd reflection."""
-    wide = np.concatenate((2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1])) if pad else x
+def zero_phase(b: np.ndarray, a: np.ndarray, rows: list[np.ndarray], pads: list[int]) -> list[np.ndarray]:
+    """Filters each series forwards and backwards; ends are extended by odd reflection."""
+    if not rows:
+        return []
+    wide, size = side_by_side([np.concatenate((2 * x[0] - x[p:0:-1], x, 2 * x[-1] - x[-2 : -p - 2 : -1])) if p else x for x, p in zip(rows, pads, strict=True)])
     memory = steady_state(b, a)
-    forth = filtered(b, a, wide, memory * wide[0])
-    back = filtered(b, a, forth[::-1], memory * forth[-1])[::-1]
-    return back[pad : len(back) - pad] if pad else back
+    forth = filtered(b, a, wide, memory * wide[:, :1])
+    turned, _ = side_by_side([r[n - 1 :: -1] if n < len(r) else r[::-1] for r, n in zip(forth, size, strict=True)])
+    back = filtered(b, a, turned, memory * turned[:, :1])
+    return [r[:n][::-1][p : n - p] for r, n, p in zip(back, size, pads, strict=True)]
 
 
 def without_trend(x: np.ndarray, degree: int) -> np.ndarray:
@@ -72,20 +85,60 @@ def without_trend(x: np.ndarray, degree: int) -> np.ndarray:
     return x - np.polynomial.polynomial.polyval(at, np.polynomial.polynomial.polyfit(at, x, degree))
 
 
+def by_series(df: DataFrame, keys: Names, order: Names, values: Names, out: Names, program: Callable[[list[np.ndarray]], list[np.ndarray]]) -> DataFrame:
+    """df with columns out, from a program for many series at a time: it gets (rows, values) of each and gives (rows, out) of each.
+
+    Rows are dealt out by keys and sorted within their partition, so that a series
+    is a run of rows; about HELD rows of whole series are handled together. Only a
+    series longer than that is held alone.
+    """
+    by, columns, out = list(keys), list(values), list(out)
+
+    def batches(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def handled(pdf: pd.DataFrame) -> pd.DataFrame:
+            first = np.flatnonzero(starts(pdf))
+            parts = np.split(pdf[columns].to_numpy(float), first[1:])
+            new = np.concatenate(program(parts))
+            return pdf.assign(**{name: np.where(np.isfinite(new[:, k]), new[:, k], np.nan) for k, name in enumerate(out)})
+
+        def starts(pdf: pd.DataFrame) -> np.ndarray:
+            k = pdf[by]
+            before = k.shift()
+            new = ~((k == before) | (k.isna() & before.isna())).all(axis=1).to_numpy()
+            new[0] = True
+            return new
+
+        held: list[pd.DataFrame] = []
+        for pdf in found:
+            held.append(pdf)
+            if sum(map(len, held)) >= HELD:
+                whole = pd.concat(held, ignore_index=True)
+                last = int(np.flatnonzero(starts(whole))[-1])
+                if last:
+                    yield handled(whole.iloc[:last])
+                held = [whole.iloc[last:]]
+        if sum(map(len, held)):
+            yield handled(pd.concat(held, ignore_index=True))
+
+    schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in out]])
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(batches, schema)
+
+
 def band_filtered(df: DataFrame, keys: Names, order: Names, value: str, low: float = 0.001, high: float = 0.015, step: float = 30.0, filter_order: int = 6, out: str = "filtered") -> DataFrame:
     """Zero-phase band-pass of each series (keys: one unbroken arc) after a cubic detrend; null in arcs of up to six times the filter's order."""
     nyquist = 0.5 / step
     b, a = bandpass(filter_order, low / nyquist, high / nyquist)
-    least, first = 6 * filter_order, list(order)
+    least = 6 * filter_order
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(first)
-        x = pdf[value].to_numpy(float)
-        ok = len(x) > least and np.isfinite(x).all()
-        y = zero_phase(b, a, without_trend(x, 3), min(3 * len(a), len(x) - 1)) if ok else np.full(len(x), np.nan)
-        return pdf.assign(**{out: np.where(np.isfinite(y), y, None)})
+    def program(series: list[np.ndarray]) -> list[np.ndarray]:
+        found = [np.full((len(x), 1), np.nan) for x in series]
+        able = [k for k, x in enumerate(series) if len(x) > least and np.isfinite(x).all()]
+        done = zero_phase(b, a, [without_trend(series[k][:, 0], 3) for k in able], [min(3 * len(a), len(series[k]) - 1) for k in able])
+        for k, y in zip(able, done, strict=True):
+            found[k][:, 0] = y
+        return found
 
-    return df.groupBy(*keys).applyInPandas(one, T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())]))
+    return by_series(df, keys, order, [value], [out], program)
 
 
 def split_arcs(lane: np.ndarray, geometry: np.ndarray, least: int, jump: float = 1.0, scatter: float = 4.0, far: float = 5.0) -> np.ndarray:
@@ -126,29 +179,23 @@ def arcs_by_feedback(df: DataFrame, keys: Names, order: Names, lane: str, geomet
     return df.groupBy(*keys).applyInPandas(one, T.StructType([*df.schema.fields, T.StructField(out, T.LongType())]))
 
 
-def kalman_level(x: np.ndarray, process: float, noise: float) -> tuple[np.ndarray, np.ndarray]:
-    """Level and variance of a random walk seen in noise; gaps only predict."""
-    level, spread = np.empty(len(x)), np.empty(len(x))
-    m, p = (x[np.isfinite(x)][0] if np.isfinite(x).any() else np.nan), noise
-    for i, v in enumerate(x):
-        p += process
-        if np.isfinite(v):
-            gain = p / (p + noise)
-            m, p = m + gain * (v - m), (1 - gain) * p
-        level[i], spread[i] = m, p
-    return level, spread
+def kalman_levels(series: list[np.ndarray], process: float, noise: float) -> list[np.ndarray]:
+    """(level, variance) by row of a random walk seen in noise, for many series at once; gaps only predict."""
+    x, size = side_by_side([s[:, 0] for s in series])
+    seen = np.isfinite(x)
+    start = np.where(seen.any(axis=1), x[np.arange(len(x)), seen.argmax(axis=1)], np.nan)
+    out, m, p = np.empty((*x.shape, 2)), start, np.full(len(x), noise)
+    for i in range(x.shape[1]):
+        p = p + process
+        gain = np.where(seen[:, i], p / (p + noise), 0.0)
+        m, p = m + gain * np.where(seen[:, i], x[:, i] - m, 0.0), (1 - gain) * p
+        out[:, i, 0], out[:, i, 1] = m, p
+    return [r[:n] for r, n in zip(out, size, strict=True)]
 
 
 def kalman(df: DataFrame, keys: Names, order: Names, value: str, process: float, noise: float) -> DataFrame:
     """df with level and variance of each series."""
-    first = list(order)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(first)
-        level, spread = kalman_level(pdf[value].to_numpy(float), process, noise)
-        return pdf.assign(level=level, variance=spread)
-
-    return df.groupBy(*keys).applyInPandas(one, T.StructType([*df.schema.fields, T.StructField("level", T.DoubleType()), T.StructField("variance", T.DoubleType())]))
+    return by_series(df, keys, order, [value], ["level", "variance"], lambda series: kalman_levels(series, process, noise))
 
 
 def trimmed_fit(x: np.ndarray, y: np.ndarray, scatter: float = 3.0, rounds: int = 10) -> np.ndarray:
@@ -178,45 +225,63 @@ def without_outliers(df: DataFrame, keys: Names, order: Names, value: str, scatt
 
 
 def natural_slopes(t: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Slopes at the knots of the cubic spline whose third derivative is steady over the first two and last two intervals."""
+    """Slopes at the knots of the cubic spline whose third derivative is steady over the first two and last two intervals, by elimination in one pass."""
     n, h = len(t), np.diff(t)
     d = np.diff(y) / h
-    m, r = np.zeros((n, n)), np.zeros(n)
-    for i in range(1, n - 1):
-        m[i, i - 1 : i + 2] = h[i], 2 * (h[i - 1] + h[i]), h[i - 1]
-        r[i] = 3 * (h[i] * d[i - 1] + h[i - 1] * d[i])
-    m[0, :2], m[-1, -2:] = (h[1], h[0] + h[1]), (h[-1] + h[-2], h[-2])
+    below, main, above, r = np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n)
+    below[1:-1], main[1:-1], above[1:-1] = h[1:], 2 * (h[:-1] + h[1:]), h[:-1]
+    r[1:-1] = 3 * (h[1:] * d[:-1] + h[:-1] * d[1:])
+    main[0], above[0] = h[1], h[0] + h[1]
+    below[-1], main[-1] = h[-1] + h[-2], h[-2]
     r[0] = ((h[0] + 2 * (h[0] + h[1])) * h[1] * d[0] + h[0] ** 2 * d[1]) / (h[0] + h[1])
     r[-1] = (h[-1] ** 2 * d[-2] + (2 * (h[-1] + h[-2]) + h[-1]) * h[-2] * d[-1]) / (h[-1] + h[-2])
-    return np.linalg.solve(m, r)
-
+    for i in range(1, n):
+        f = below[i] / main[i - 1]
+        main[i] -= f * above[i - 1]
+        r[i] -= f * r[i - 1]
+    out = r / main
+    for i in range(n - 2, -1, -1):
+        out[i] = (r[i] - above[i] * out[i + 1]) / main[i]
+    return out
 
-def spline(t: np.ndarray, y: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Value and slope of the cubic spline through (t, y), at least four points; null outside."""
-    s, h = natural_slopes(t, y), np.diff(t)
-    i = np.clip(np.searchsorted(t, at, "right") - 1, 0, len(t) - 2)
-    u, k = (at - t[i]) / h[i], h[i]
-    d = (y[i + 1] - y[i]) / k
-    c2, c3 = (3 * d - 2 * s[i] - s[i + 1]) / k, (s[i] + s[i + 1] - 2 * d) / k**2
-    x = u * k
-    inside = (at >= t[0]) & (at <= t[-1])
-    return np.where(inside, y[i] + x * (s[i] + x * (c2 + x * c3)), np.nan), np.where(inside, s[i] + x * (2 * c2 + 3 * x * c3), np.nan)
 
+def splined(targets: DataFrame, anchors: DataFrame, keys: Names, time: str, values: Names, step: float) -> DataFrame:
+    """targets with each value and its rate (name_rate) on the cubic spline through the anchors of their key; null outside and with fewer than four anchors.
 
-def splined(targets: DataFrame, anchors: DataFrame, keys: Names, time: str, values: Names) -> DataFrame:
-    """targets with each value and its rate (name_rate) on the cubic spline through the anchors of their key."""
-    names, names_out = list(values), [f for v in values for f in (v, f"{v}_rate")]
+    Slopes are worked out once for each key's anchors. An interval between two
+    anchors is listed under every stretch of step that it reaches, so a target
+    meets its interval by equality, and targets of one key need no common task.
+    """
+    names, by = list(values), list(keys)
+    kept = anchors.select(*by, F.col(time).cast("double").alias("_t"), *[F.col(v).cast("double").alias(v) for v in names]).dropna().dropDuplicates([*by, "_t"])
+    new = [f"_{x}_{v}" for v in names for x in ("s", "y", "z")]  # slope here, value and slope at the next anchor
 
-    def one(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.dropna().drop_duplicates(time).sort_values(time)
-        out = left.copy()
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_t")
+        if len(pdf) < 4:
+            return pdf.assign(_next=0.0, _last=False, **dict.fromkeys(new, 0.0)).iloc[:0]
+        t = pdf["_t"].to_numpy()
+        out = pdf.iloc[:-1].assign(_next=t[1:], _last=np.arange(1, len(t)) == len(t) - 1)
         for v in names:
-            if len(right) >= 4:
-                out[v], out[f"{v}_rate"] = spline(right[time].to_numpy(float), right[v].to_numpy(float), left[time].to_numpy(float))
-            else:
-                out[v] = out[f"{v}_rate"] = np.nan
+            y = pdf[v].to_numpy()
+            s = natural_slopes(t, y)
+            out[f"_s_{v}"], out[f"_y_{v}"], out[f"_z_{v}"] = s[:-1], y[1:], s[1:]
         return out
 
-    schema = T.StructType([*targets.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names_out]])
-    anchors = anchors.select(*keys, time, *names)
-    return targets.groupBy(*keys).cogroup(anchors.groupBy(*keys)).applyInPandas(one, schema)
+    fields = [*kept.schema.fields, T.StructField("_next", T.DoubleType()), T.StructField("_last", T.BooleanType()), *[T.StructField(n, T.DoubleType()) for n in new]]
+    spans = kept.groupBy(*by).applyInPandas(one, T.StructType(fields)).withColumnsRenamed({v: f"_v_{v}" for v in names})
+    stretch = lambda t: F.floor(F.col(t) / step).cast("long")
+    spans = spans.withColumn("_k", F.explode(F.sequence(stretch("_t"), stretch("_next"))))
+    at = targets.withColumn("_k", F.floor(F.col(time) / step).cast("long")).withColumn("_at", F.col(time).cast("double"))
+    inside = (F.col("_at") >= F.col("_t")) & ((F.col("_at") < F.col("_next")) | (F.col("_last") & (F.col("_at") == F.col("_next"))))
+    s = spans.withColumnsRenamed({k: f"_of_{k}" for k in by})
+    on = [at[k] == s[f"_of_{k}"] for k in by] + [at["_k"] == s["_k"], inside]
+    joined = at.join(s, on, "left")
+    x, h = F.col("_at") - F.col("_t"), F.col("_next") - F.col("_t")
+    out = []
+    for v in names:
+        y0, y1, s0, s1 = (F.col(f"_{c}_{v}") for c in "vysz")
+        d = (y1 - y0) / h
+        c2, c3 = (3 * d - 2 * s0 - s1) / h, (s0 + s1 - 2 * d) / (h * h)
+        out += [(y0 + x * (s0 + x * (c2 + x * c3))).alias(v), (s0 + x * (2 * c2 + 3 * x * c3)).alias(f"{v}_rate")]
+    return joined.select(*[at[c] for c in targets.columns], *out)

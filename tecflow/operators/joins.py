@@ -63,16 +63,20 @@ def lagrange_weights(phase: Column, order: int = 10) -> list[Column]:
 def interpolated(targets: DataFrame, anchors: DataFrame, keys: Names, time: str, step: float, values: Names, order: int = 10) -> DataFrame:
     """targets with values interpolated from the order nearest anchors of their key, which are step apart.
 
-    An anchor's number is its time over step, so the join is on equality. Targets
-    without all their anchors get null.
+    An anchor's number is its time over step. Every anchor gets the values around
+    it once, so a target meets a single row, by equality. Targets without all
+    their anchors get null; equal targets each get their value.
     """
-    low = 1 - order // 2
+    offsets = range(1 - order // 2, order // 2 + 1)
+    number = F.rint(F.col(time) / step).cast("long")
+    known = anchors.select(*keys, number.alias("_k"), *[F.col(v).alias(f"_{v}") for v in values]).dropDuplicates([*keys, "_k"])
+    w = Window.partitionBy(*keys).orderBy("_k")
+    around = lambda v: [F.when(F.lead("_k", j).over(w) == F.col("_k") + j, F.lead(f"_{v}", j).over(w)) for j in offsets]
+    wide = known.select(*keys, "_k", *[F.array(*around(v)).alias(f"_{v}") for v in values])
     at = targets.withColumn("_k", F.floor(F.col(time) / step).cast("long")).withColumn("_p", F.col(time) / step - F.col("_k"))
-    spread = at.withColumn("_w", F.array(*lagrange_weights(F.col("_p"), order))).select("*", F.posexplode("_w").alias("_j", "_wj")).withColumn("_k", F.col("_k") + F.col("_j") + low)
-    known = anchors.select(*keys, F.rint(F.col(time) / step).cast("long").alias("_k"), *[F.col(v).alias(f"_{v}") for v in values]).dropDuplicates([*keys, "_k"])
-    joined = spread.join(known, [*keys, "_k"], "left")
-    columns = targets.columns
-    return joined.groupBy(*columns).agg(*[F.when(F.count(f"_{v}") == order, F.sum(F.col("_wj") * F.col(f"_{v}"))).alias(v) for v in values])
+    weighted = lambda v: sum((w * F.get(f"_{v}", F.lit(i)) for i, w in enumerate(lagrange_weights(F.col("_p"), order))), F.lit(0.0))
+    joined = at.join(wide, [*keys, "_k"], "left")
+    return joined.select(*[joined[c] for c in targets.columns], *[weighted(v).alias(v) for v in values])
 
 
 def bracketed(targets: DataFrame, anchors: DataFrame, keys: Names, time: str, value: str) -> DataFrame:

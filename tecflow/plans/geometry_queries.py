@@ -169,14 +169,19 @@ def calendar_parts(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.date_format(t, "yyyy-MM-dd").alias("day"), F.dayofyear(t).cast("long").alias("doy"), N.modified_julian(t).alias("mjd"), N.gps_week(t).alias("week"), N.row_of_day(t).alias("row"))
 
 
-NAMED = "f as (select event_id, 'yel' || (event_id % 10) || lpad(cast(1 + event_id % 365 as varchar), 3, '0') || '0.24o' as name from events)"
+#: Names of every form: classic, classic and packed, loose, long, short, without a day, out of range.
+NAMED = """n as (select event_id, lpad(cast(1 + event_id % 366 as varchar), 3, '0') as d, lpad(cast(event_id % 30 as varchar), 2, '0') as y, event_id % 8 as form from events),
+f as (select *, case form when 0 then 'yel2' || d || '0.' || y || 'o' when 1 then 'ALB2' || d || '0.' || y || 'd.gz' when 2 then 'brdc_x' || d || '0.' || y || 'n' when 3 then 'IGS0OPSFIN_20' || y || d || '0000_01D_ORB.SP3'
+when 4 then 'abcd-' || y || d || '.obs' when 5 then 'igs.atx' when 6 then 'x20' || y || '400.clk' else 'a1.b' || d || '0.' || y || 'o' end as name from n)"""
 
 
-@query(f"""with {NAMED} select event_id, name, upper(substring(name, 1, 4)) as station, strftime(date '2024-01-01' + cast(substring(name, 5, 3) as int) - 1, '%Y-%m-%d') as day from f""")
+@query(f"""with {NAMED} select event_id, name, upper(substring(name, 1, 4)) as station, case when form in (5, 6) then null else strftime(make_date(2000 + cast(y as int), 1, 1) + cast(d as int) - 1, '%Y-%m-%d') end as day from f""")
 def date_from_name(spark, sf_dir):
     e = F.col("event_id")
-    name = F.concat(F.lit("yel"), (e % 10).cast("string"), F.lpad((1 + e % 365).cast("string"), 3, "0"), F.lit("0.24o"))
-    rows = table(spark, sf_dir, "events").select("event_id", name.alias("name"))
+    d, y, form = F.lpad((1 + e % 366).cast("string"), 3, "0"), F.lpad((e % 30).cast("string"), 2, "0"), e % 8
+    tail = lambda end: F.concat(d, F.lit("0."), y, F.lit(end))
+    forms = [F.concat(F.lit("yel2"), tail("o")), F.concat(F.lit("ALB2"), tail("d.gz")), F.concat(F.lit("brdc_x"), tail("n")), F.concat(F.lit("IGS0OPSFIN_20"), y, d, F.lit("0000_01D_ORB.SP3")), F.concat(F.lit("abcd-"), y, d, F.lit(".obs")), F.lit("igs.atx"), F.concat(F.lit("x20"), y, F.lit("400.clk")), F.concat(F.lit("a1.b"), tail("o"))]
+    rows = table(spark, sf_dir, "events").select("event_id", F.get(F.array(*forms), form.cast("int")).alias("name"))
     return rows.select("event_id", "name", N.station_of_name(F.col("name")).alias("station"), F.date_format(N.date_of_name(F.col("name")), "yyyy-MM-dd").alias("day"))
 
 

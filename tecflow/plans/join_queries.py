@@ -79,17 +79,16 @@ def lagrange_sql() -> str:
     for j in offsets:
         weight = " * ".join(f"(p - {m}) / {float(j - m)!r}e0" for m in offsets if m != j)
         terms.append(f"{weight} * sin((k + {j}) * 900 / 5000.0e0) * 2e7")
-    return f"""with t as (select event_id, event_id * 83 % 86400 as s from events where event_id * 83 % 86400 between 4500 and 80000), a as (select event_id, floor(s / 900) as k, s / 900 - floor(s / 900) as p from t)
-select event_id, round({' + '.join(terms)}, 3) + 0.0 as x from a where k >= 4"""
+    return f"""with t as (select event_id, event_id * 83 % 86400 as s from events), a as (select event_id, floor(s / 900) as k, s / 900 - floor(s / 900) as p from t)
+select event_id, case when k >= 4 then round({' + '.join(terms)}, 3) + 0.0 end as x from a"""
 
 
 @query(lagrange_sql())
 def knn_lagrange(spark, sf_dir):
-    """Ten-point interpolation of an orbit: targets meet their anchors by an equality join on anchor numbers."""
+    """Ten-point interpolation of an orbit: targets meet the row of their anchor's number; before the fifth anchor there is no value."""
     t = events(spark, sf_dir).select("event_id", F.lit("G01").alias("sat"), (F.col("event_id") * 83 % 86400).alias("s"))
-    t = t.where("s between 4500 and 80000")
     anchors = spark.range(0, 101).select(F.lit("G01").alias("sat"), (F.col("id") * 900).alias("s"), (F.sin(F.col("id") * 900 / 5000.0) * 2e7).alias("x"))
-    return J.interpolated(t, anchors, ["sat"], "s", 900.0, ["x"]).where("x is not null").select("event_id", rounded("x", "x", 3))
+    return J.interpolated(t, anchors, ["sat"], "s", 900.0, ["x"]).select("event_id", rounded("x", "x", 3))
 
 
 @query("""with a as (select user_id, ts, value as v from events where event_id % 4 = 0), t as (select event_id, user_id, ts from events where event_id % 4 <> 0),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..functions.names import date_of_name
+
 #: Kind of a file by its ending.
 KINDS = {".sp3": "SP3", ".clk": "CLK", ".atx": "ATX", ".nav": "NAV", ".csv": "SPACE_WEATHER", ".txt": "SPACE_WEATHER"}
 GLOBAL_KINDS = ("ATX",)
@@ -17,24 +19,12 @@ def kind_of(name: Column) -> Column:
     return out.when(low.contains("space_weather"), "SPACE_WEATHER")
 
 
-def date_of(name: Column) -> Column:
-    """Day in a file name, from the first of these that it has: yyyyddd, ssssddd0.yyo, ddd0.yyo, yyddd; null without or out of range."""
-    low = F.lower(name)
-    out = F.lit(None).cast("date")
-    forms = [(r"(?<!\d)(\d{2})(\d{3})(?!\d)", 1, 2, 2000), (r"(?<!\d)(\d{3})0\.(\d{2})[odn]", 2, 1, 2000), (r"^[a-z0-9]{4}(\d{3})0\.(\d{2})[odn](?:\.(?:gz|z))?$", 2, 1, 2000), (r"(20\d{2})(\d{3})", 1, 2, 0)]
-    for pattern, y, d, base in forms:
-        year, day = F.regexp_extract(low, pattern, y).try_cast("int") + base, F.regexp_extract(low, pattern, d).try_cast("int")
-        ok = low.rlike(pattern) & year.between(2000, 2099) & day.between(1, 366)
-        out = F.when(ok, F.date_add(F.make_date(year, F.lit(1), F.lit(1)), day - 1)).when(low.rlike(pattern), None).otherwise(out)
-    return out
-
-
 def scan(spark: SparkSession, roots: str | list[str]) -> DataFrame:
     """(path, name, kind, station, date, size) of all files of a known kind under roots; contents are not read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(roots).select("path", "length")
     name = F.element_at(F.split("path", "/"), -1)
     rows = found.select("path", name.alias("name"), F.col("length").alias("size"))
-    rows = rows.select("path", "name", kind_of(F.col("name")).alias("kind"), date_of(F.col("name")).alias("date"), "size").where("kind is not null")
+    rows = rows.select("path", "name", kind_of(F.col("name")).alias("kind"), date_of_name(F.col("name")).alias("date"), "size").where("kind is not null")
     return rows.withColumn("station", F.when(F.col("kind") == "OBS", F.upper(F.substring("name", 1, 4))))
 
 

@@ -1,6 +1,6 @@
 import numpy as np
 
-from tecflow.operators import grouped as P
+from tecflow.operators import grouped as P, joins as J
 
 
 def response(b, a, frequency, step=30.0):
@@ -22,7 +22,7 @@ def test_zero_phase_keeps_a_sine_in_the_band_and_drops_slow_drift():
     b, a = P.bandpass(6, 0.001 * 60, 0.015 * 60)
     t = np.arange(2000) * 30.0
     x = np.sin(2 * np.pi * 0.005 * t)
-    y = P.zero_phase(b, a, P.without_trend(x + 1e-9 * t**2 + 5, 3), 39)
+    (y,) = P.zero_phase(b, a, [P.without_trend(x + 1e-9 * t**2 + 5, 3)], [39])
     assert np.abs(y - x)[200:-200].max() < 0.02
     assert np.abs(P.without_trend(3 + 2 * t - 1e-6 * t**3, 3)).max() < 1e-3 * np.abs(1e-6 * t[-1] ** 3)
 
@@ -33,8 +33,18 @@ def test_filter_equals_the_difference_equation():
     want = np.zeros(50)
     for n in range(50):
         want[n] = sum(b[k] * x[n - k] for k in range(len(b)) if n >= k) - sum(a[k] * want[n - k] for k in range(1, len(a)) if n >= k)
-    assert np.allclose(P.filtered(b, a, x, np.zeros(len(a) - 1)), want)
-    assert np.allclose(P.filtered(b, a, np.ones(200), P.steady_state(b, a)), b.sum() / a.sum())
+    assert np.allclose(P.filtered(b, a, np.stack((x, 2 * x)), np.zeros((2, len(a) - 1))), np.stack((want, 2 * want)), atol=1e-12)
+    assert np.allclose(P.filtered(b, a, np.ones((1, 200)), P.steady_state(b, a)[None]), b.sum() / a.sum())
+
+
+def test_many_series_filter_as_each_alone():
+    b, a = P.bandpass(6, 0.06, 0.9)
+    rng = np.random.default_rng(2)
+    rows = [rng.normal(size=n) for n in (60, 41, 300, 60, 38)]
+    pads = [min(39, len(r) - 1) for r in rows]
+    together = P.zero_phase(b, a, rows, pads)
+    for r, p, y in zip(rows, pads, together):
+        assert len(y) == len(r) and np.allclose(P.zero_phase(b, a, [r], [p])[0], y, atol=1e-12)
 
 
 def test_arcs_split_at_slips():
@@ -50,19 +60,42 @@ def test_arcs_split_at_slips():
 def test_kalman_settles_and_bridges_gaps():
     x = np.full(200, 5.0)
     x[50:60] = np.nan
-    level, spread = P.kalman_level(x, 0.01, 1.0)
+    level, spread = P.kalman_levels([x[:, None], x[:90, None]], 0.01, 1.0)[0].T
     assert np.allclose(level, 5) and spread[59] > spread[49]
     p = spread[-1]
     assert abs(p - (p + 0.01) / (p + 0.01 + 1)) < 1e-6
 
 
-def test_spline_is_exact_for_cubics():
+def test_spline_is_exact_for_cubics(spark):
     t = np.array([0, 1, 2.5, 4, 5, 7.0])
     f = lambda x: 1 + 2 * x - x**2 + 0.3 * x**3
-    y, s = P.spline(t, f(t), np.array([-1, 0, 0.3, 3.3, 6.9, 7, 8]))
-    at = np.array([0, 0.3, 3.3, 6.9, 7])
-    assert np.allclose(y[1:-1], f(at)) and np.allclose(s[1:-1], 2 - 2 * at + 0.9 * at**2)
-    assert np.isnan(y[[0, -1]]).all()
+    at = [-1, 0, 0.3, 3.3, 6.9, 7, 8, 0.3]
+    anchors = spark.createDataFrame([("a", float(x), float(f(x))) for x in t] + [("a", 1.0, float(f(1.0))), ("b", 0.0, 1.0), ("b", 1.0, 2.0), ("a", None, 1.0)], "sat string, t double, y double")
+    targets = spark.createDataFrame([("a", float(x), k) for k, x in enumerate(at)] + [("b", 0.5, 100), ("c", 0.5, 101)], "sat string, t double, id long")
+    got = {r.id: r for r in P.splined(targets, anchors, ["sat"], "t", ["y"], 1.5).collect()}
+    assert len(got) == 10 and {k for k, r in got.items() if r.y is None} == {0, 6, 100, 101}
+    for k in (1, 2, 3, 4, 5, 7):
+        assert abs(got[k].y - f(at[k])) < 1e-9 and abs(got[k].y_rate - (2 - 2 * at[k] + 0.9 * at[k] ** 2)) < 1e-9
+
+
+def test_series_are_whole_whatever_the_batches(spark, monkeypatch):
+    rows = [(k, i, float((i * 7 + (k or 5)) % 11)) for k in (1, 2, 3, None) for i in range(50)]
+    df = spark.createDataFrame(rows, "k long, i long, v double").repartition(5)
+    want = None
+    for held in (1, 60, 1 << 16):
+        monkeypatch.setattr(P, "HELD", held)
+        got = sorted(((r.k, r.i, r.n, r.s) for r in P.by_series(df, ["k"], ["i"], ["v"], ["n", "s"], lambda series: [np.stack((np.full(len(x), len(x)), np.where(x[:, 0] > 3, np.cumsum(x[:, 0]), np.nan)), axis=1) for x in series]).collect()), key=str)
+        assert len(got) == 200 and all(r[2] == 50 for r in got) and any(r[3] is None for r in got)
+        want = want or got
+        assert got == want
+
+
+def test_equal_targets_each_get_their_value(spark):
+    anchors = spark.createDataFrame([("G01", 900.0 * k, float(k * k)) for k in range(20) if k != 15], "sat string, s double, x double")
+    targets = spark.createDataFrame([("G01", 5000.0, 1), ("G01", 5000.0, 1), ("G01", 9000.0, 2), ("G01", 100.0, 3), ("G02", 5000.0, 4)], "sat string, s double, id long")
+    got = sorted(((r.id, r.x) for r in J.interpolated(targets, anchors, ["sat"], "s", 900.0, ["x"]).collect()), key=str)
+    assert [i for i, _ in got] == [1, 1, 2, 3, 4] and [x for _, x in got[2:]] == [None] * 3
+    assert all(abs(x - (5000 / 900) ** 2) < 1e-9 for _, x in got[:2])
 
 
 def test_outliers_leave_the_fit():
