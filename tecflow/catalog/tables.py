@@ -11,7 +11,7 @@ from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..sinks.files import convert, upsert
+from ..sinks.files import convert, swap_in, table_there, upsert
 
 Names = Sequence[str]
 
@@ -49,8 +49,7 @@ class Catalog:
         return f"{self.root}/{name}.parquet"
 
     def there(self, name: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        return table_there(self.spark, self.path(name))
 
     def read(self, name: str) -> DataFrame:
         if self.there(name):
@@ -70,12 +69,7 @@ class Catalog:
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         """Writes a table anew beside the old one, then swaps them."""
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
-        old, new = fs_path(self.path(name)), fs_path(self.path(name) + ".new")
-        df.write.mode("overwrite").parquet(new.toString())
-        fs = old.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(old, True)
-        fs.rename(new, old)
+        swap_in(self.spark, df, self.path(name))
         return self.read(name)
 
     def delete(self, name: str, key: str, value: Any) -> None:
@@ -138,7 +132,7 @@ def validate(config: TaskConfig, stations: DataFrame, files: DataFrame, settings
         issues.append(Issue("STATION_NOT_FOUND", True, ",".join(sorted(r.station for r in unknown))))
     days = wanted.select("station", F.explode(F.sequence(F.lit(config.first).cast("date"), F.lit(config.last).cast("date"), F.expr("interval 1 day"))).alias("date"))
     obs = files.where("kind = 'OBS'").select("station", "date").distinct()
-    for r in days.join(obs, ["station", "date"], "left_anti").orderBy("station", "date").limit(100).collect():
+    for r in days.join(obs, ["station", "date"], "left_anti").orderBy("station", "date").toLocalIterator():
         issues.append(Issue("OBS_FILE_MISSING", True, f"{r.station} {r.date}"))
     kinds = files.where("date is null").agg(F.collect_set("kind").alias("k")).first().k
     per_day = {str(r.date): set(r.k) | set(kinds) for r in files.where("date is not null").groupBy("date").agg(F.collect_set("kind").alias("k")).collect()}

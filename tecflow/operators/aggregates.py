@@ -45,10 +45,21 @@ def cell_mean(df: DataFrame, keys: Names, cells: Names, value: str, out: str = "
     return df.groupBy(*keys, *cells).agg(F.avg(value).alias(out), F.count(value).alias("n"))
 
 
+#: Values back from the last one whose weight, halved with each, still shows in a double.
+FOLDED = 1075
+
+
 def cell_running_mean(df: DataFrame, keys: Names, cells: Names, order: Column, value: str, out: str = "cell_mean") -> DataFrame:
-    """The order-dependent fold that replaces a cell's value by the mean of it and the next one."""
-    lists = df.where(F.col(value).isNotNull()).groupBy(*keys, *cells).agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col(value).alias("v")))).alias("s"))
-    fold = F.aggregate(F.slice("s", 2, F.size("s")), F.col("s")[0]["v"], lambda acc, x: (acc + x["v"]) / 2)
+    """The order-dependent fold that replaces a cell's value by the mean of it and the next one.
+
+    The k-th value from the end weighs 2 ** -k, so only a cell's last values are
+    ever collected.
+    """
+    by = [*keys, *cells]
+    w = Window.partitionBy(*by).orderBy(F.desc("_o"), F.desc("_v"))
+    last = df.where(F.col(value).isNotNull()).select(*by, order.alias("_o"), F.col(value).alias("_v")).withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= FOLDED)
+    lists = last.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_o", "_v"))).alias("s"))
+    fold = F.aggregate(F.slice("s", 2, F.size("s")), F.col("s")[0]["_v"], lambda acc, x: (acc + x["_v"]) / 2)
     return lists.withColumn(out, fold).drop("s")
 
 

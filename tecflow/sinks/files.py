@@ -70,18 +70,32 @@ def convert(spark: SparkSession, source: str, target: str) -> None:
     (write.option("header", "true") if kinds[1] == "csv" else write).save(target)
 
 
-def upsert(spark: SparkSession, path: str, new: DataFrame, on: Names) -> DataFrame:
-    """Puts rows of new in place of those of the same key in a Parquet table and adds the rest.
+def table_there(spark: SparkSession, path: str) -> bool:
+    """Whether a table stands at path. A swap that broke off between its two renames is undone first: the old table takes its place again."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    there, aside = hadoop(path.rstrip("/")), hadoop(path.rstrip("/") + ".old")
+    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(there) and fs.exists(aside):
+        fs.rename(aside, there)
+    return fs.exists(there)
+
+
+def swap_in(spark: SparkSession, df: DataFrame, path: str) -> None:
+    """Writes a table beside the one at path, then puts the old one aside, the new one in its place, and deletes the old one: one of them is whole at any time."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    there, fresh, aside = (hadoop(path.rstrip("/") + end) for end in ("", ".new", ".old"))
+    fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
+    df.write.mode("overwrite").parquet(fresh.toString())
+    if table_there(spark, path):
+        fs.delete(aside, True)
+        fs.rename(there, aside)
+    fs.rename(fresh, there)
+    fs.delete(aside, True)
+
 
-    The new table is written beside the old one and only then takes its place.
-    """
+def upsert(spark: SparkSession, path: str, new: DataFrame, on: Names) -> DataFrame:
+    """Puts rows of new in place of those of the same key in a Parquet table and adds the rest."""
     from ..operators.joins import replaced
 
-    jvm = spark._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    there, fresh = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".new")
-    df = replaced(spark.read.parquet(path), new, on) if fs.exists(there) else new
-    df.write.mode("overwrite").parquet(fresh.toString())
-    fs.delete(there, True)
-    fs.rename(fresh, there)
+    swap_in(spark, replaced(spark.read.parquet(path), new, on) if table_there(spark, path) else new, path)
     return spark.read.parquet(path)
