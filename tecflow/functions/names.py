@@ -33,6 +33,18 @@ def nearest_row(t: Column, step: int = 30) -> Column:
     return F.round(second_of_day(t) / step).cast("long") + 1
 
 
+#: First modified Julian day of each count of leap seconds (TAI less UTC) from 2000 on.
+LEAPS = {51544: 32, 53736: 33, 54832: 34, 56109: 35, 57204: 36, 57754: 37}
+
+
+def leap_seconds(mjd: Column) -> Column:
+    """Leap seconds on a modified Julian day; null before 2000."""
+    out = F.lit(None).cast("int")
+    for first, n in LEAPS.items():
+        out = F.when(mjd >= first, n).otherwise(out)
+    return out
+
+
 def station_of_name(name: Column) -> Column:
     """The station code: the first four characters of a file name, in capitals."""
     return F.upper(F.substring(name, 1, 4))

@@ -82,6 +82,20 @@ def code_content(p4: Column, f1: Column, f2: Column) -> Column:
     return F.when(F.abs(content).between(1e-5, 1e5), content)
 
 
+#: Fixed value: the ionospheric constant of the positioning chain, a little rounder than IONO.
+IONO_POSITIONING = 40.3e16
+
+
+def content_of_delay(metres: Column, f1: Column) -> Column:
+    """Electron content in TECU from a slant delay on the first carrier; zero stays, unknown systems have none."""
+    return F.when(metres != 0, metres * f1 * f1 / IONO_POSITIONING).otherwise(metres)
+
+
+def receiver_delay(ns: Column, f1: Column, f2: Column) -> Column:
+    """What a receiver's code bias in ns adds to its slant delays, in metres."""
+    return f2 * f2 / (f1 * f1 - f2 * f2) * (ns * 1e-9 * LIGHT)
+
+
 def vertical(content: Column, factor: Column) -> Column:
     return F.when(factor > 0.01, content / factor)
 
