@@ -121,6 +121,27 @@ def solid_tide(site: Vector, body: Vector, body_gm: float) -> Vector:
     return plus(along, plus(b, r, -c), size * 3 * SHIDA * c)
 
 
+#: Love and Shida numbers of degree 2 at the equator's mean, their change with latitude, those of degree 3, masses of Sun and Moon over Earth's, equatorial radius (m).
+LOVE_2, SHIDA_2, LOVE_LAT, SHIDA_LAT, LOVE_3, SHIDA_3, SUN_MASS, MOON_MASS, EQUATOR = 0.6078, 0.0847, -0.0006, 0.0002, 0.292, 0.015, 332946.0, 0.01230002, 6378137.0
+
+
+def body_tide(site: Vector, lat: Column, to_sun: Vector, to_moon: Vector) -> Vector:
+    """Displacement of a site by the tides of Sun and Moon to degree 2, with numbers that change with latitude, and of the Moon to degree 3."""
+    turn = 3 * F.pow(F.sin(lat), 2) - 1
+    love, shida = LOVE_2 + LOVE_LAT * turn, SHIDA_2 + SHIDA_LAT * turn
+    r, out = unit(site), (F.lit(0.0),) * 3
+    for body, mass in ((to_sun, SUN_MASS), (to_moon, MOON_MASS)):
+        b, far = unit(body), length(body)
+        c = dot(r, b)
+        across = plus(b, r, -c)
+        two = mass * EQUATOR**4 / F.pow(far, 3)
+        out = plus(plus(out, r, two * love * (3 * c * c - 1) / 2), across, two * 3 * shida * c)
+        if mass == MOON_MASS:
+            three = mass * EQUATOR**5 / F.pow(far, 4)
+            out = plus(plus(out, r, three * LOVE_3 * (2.5 * F.pow(c, 3) - 1.5 * c)), across, three * SHIDA_3 * (7.5 * c * c - 1.5))
+    return out
+
+
 def zenith_dry(pressure_hpa: Column, lat: Column, height_m: Column) -> Column:
     """Hydrostatic zenith delay in metres, with gravity at the site."""
     return 0.0022768 * pressure_hpa / (1 - 0.00266 * F.cos(2 * lat) - 0.28e-6 * height_m)
@@ -153,3 +174,8 @@ def continued_fraction(elevation: Column, a: float, b: float, c: float) -> Colum
 
 def slant_delay(elevation: Column, dry_m: Column, wet_m: Column, dry: tuple[float, float, float] = (0.00127, 0.0029, 0.0629), wet: tuple[float, float, float] = (0.00058, 0.00143, 0.0434)) -> Column:
     return continued_fraction(elevation, *dry) * dry_m + continued_fraction(elevation, *wet) * wet_m
+
+
+def davis_dry(pressure_hpa: Column, lat: Column, height_m: Column) -> Column:
+    """Hydrostatic zenith delay with the constant of the revised refractivity."""
+    return 0.0022768 * pressure_hpa / (1 - 0.0026 * F.cos(2 * lat) - 0.00028 * height_m / 1000)
