@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,20 +19,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests, one machine) a new one is set."""
+    """The folder named by spark.checkpoint.dir; where it is unset a new one is set on one machine, and on a cluster it is an error."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="tecflow-")
         spark.sparkContext.setCheckpointDir(known)
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
 
 
+#: With this setting Spark deletes a query's shuffle files when the query ends.
+SHORT_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there and lost executors cost a re-read."""
+    """Writes df to the shared folder and reads it back: lineage ends there, lost executors cost a re-read, and no shuffle files stay."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHORT_SHUFFLES)
+    spark.conf.set(SHORT_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHORT_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
@@ -46,18 +58,47 @@ def drop_staged(*frames: DataFrame) -> None:
             there.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(there, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Has Python and the JVM drop what nothing refers to any more, so that shuffle files of finished steps leave the disk."""
-    for _ in range(2):  # the first round lets go of what the second one can then drop
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
+#: Rows that are broadcast at most, and bytes they may have.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
+
+
+def bounded(df: DataFrame, width: Column | int = 64) -> DataFrame:
+    """df, marked for broadcast if it has few rows and bytes; width: bytes of a row. Beyond the bounds joins shuffle it."""
+    n, size = df.agg(F.count("*"), F.sum(width if isinstance(width, Column) else F.lit(width))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
+
+
+#: Rows of texts that go to a worker at a time, where the session has Spark's default: texts are long, and a batch stands in both processes.
+TEXT_ROWS, BATCHES = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def lean(program: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """program for mapInArrow over texts, after whose partition freed memory goes back to the system: idle workers share their executor's memory with later stages.
+
+    Where the session has Spark's default number of rows in a batch, it gets TEXT_ROWS.
+    """
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.conf.get(BATCHES) == "10000":
+        spark.conf.set(BATCHES, TEXT_ROWS)
+
+    @functools.wraps(program)
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from program(found)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return run
 
 
 def rows_where(docs: DataFrame, text_col: str, stays: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """Rows of docs whose text stays, by a mask for a batch of texts; no shuffle, and ids don't matter."""
     at = docs.columns.index(text_col)
 
+    @lean
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             yield batch.filter(pa.array(stays(batch.column(at)), pa.bool_()))

@@ -7,134 +7,209 @@ hash. For lines x and y of Jaccard similarity t or more:
  - prefix: some word is among the first |x| - ceil(t |x|) + 1 of both;
  - positional: after a shared word at places i and j, at most
    1 + min(|x| - i, |y| - j) words can be shared (for places from 1, one less);
+   at the first word shared this also holds the smaller line to a shorter prefix;
  - parity: each word flips one bit of a mask, so the masks of x and y differ in no
    more bits than words are in one of them alone.
 What passes is verified by the Jaccard similarity of all words, as 64-bit hashes. A line that equals or is similar
 to an earlier line (by document id, then place) is removed, whether or not that
 line stays.
 
-Equal lines are one class, looked at once. Whether a class has any similar
-earlier one is all that is asked, so a large group of similar lines needs no
-pairs of all its members: see removals.
+Equal lines go first, by one grouping, so every line joined is the only one of its
+kind. Whether it has any similar earlier one is all that is asked, so a large
+group of similar lines needs no pairs of all its members: see removals.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import drop_staged, release, staged
+from .common import bounded, drop_staged, staged
 
 SIMILAR = 0.8
-#: Lines with fewer different words than this stay unless deduplicated is told otherwise: so short a line recurs by chance.
-LEAST_WORDS = 5
-#: Hash buckets in which words are counted, and rarest words by which a line meets its group's earliest one.
-BUCKETS, HEADS = 1 << 16, 8
+#: Hash buckets in which words are counted.
+BUCKETS = 1 << 18
 #: Parts, by word, in which lines are joined: the shuffle of one part is on disk at a time.
-PASSES = 4
-#: A word is hot whose bucket counts this many times the mean and 256 more.
-HOT = 4
-#: Rows that are broadcast at most when texts are joined with what is known of their lines.
-BROADCAST_ROWS = 200_000
+PASSES = 2
+#: A word is crowded if it is in the prefixes of about CROWD * SAMPLED lines of one length: of CROWD of every SAMPLED-th line. Groups of similar lines have such words. What is crowded changes the work, never the result.
+CROWD, SAMPLED = 8, 8
+#: A word is hot whose bucket counts this part of all words and 256 more.
+HOT = 1 << 14
 BLANKS = "[\\\\x20\\\\x09-\\\\x0D]+"
-#: From this many words on a line's bits are 192 in three masks, as 64 can't tell long lines apart; folded together they are the 64 of shorter lines.
+#: Bits of a word's hash in the join, below the class of its count.
+BITS = 52
+#: From this many words on a line's bits are 128 in two masks, as 64 can't tell long lines apart; folded together they are the 64 of shorter lines.
 LONG = 90
-MASKS = ("mask", "mask2", "mask3")
+MASKS = ("mask", "mask2")
 
 
-def bucket_counts(texts: DataFrame) -> DataFrame:
-    """One row, counts: array with the number of words in each bucket, over all texts."""
-    words = texts.select(F.explode(F.split("text", "[\\x20\\x09-\\x0D]+")).alias("w")).where("w <> ''")
-    seen = words.select(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+def split(text: str) -> str:
+    """SQL: words of a text, some of them empty. Most texts have no other blanks than spaces and line ends, and need no pattern."""
+    other = " or ".join(f"contains({text}, chr({c}))" for c in (0x09, 0x0B, 0x0C, 0x0D))
+    return f"case when {other} then split({text}, '{BLANKS}') else split(replace({text}, '\\n', ' '), ' ') end"
+
+
+def count_class(n: Column) -> Column:
+    """Grows with the count n by a class for every 2.2 %: 11 bits hold any count."""
+    return F.floor(F.log2(n + 1) * 32).cast("smallint")
+
+
+def bucket_counts(texts: DataFrame) -> tuple[DataFrame, int]:
+    """One row, counts: array with the class of the number of words in each bucket, over all texts; and the number of words."""
+    words = texts.select(F.explode(F.expr(split("text"))).alias("w")).where("w <> ''")
+    seen = staged(words.select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).groupBy("b").agg(F.count("*").alias("n")), "buckets")
     every = seen.union(texts.sparkSession.range(BUCKETS).select(F.col("id"), F.lit(0).cast("bigint"))).groupBy("b").agg(F.sum("n").alias("n"))
-    rows = every.select(F.struct("b", F.least("n", F.lit((1 << 19) - 1)).cast("int").alias("n")).alias("x"))
-    return rows.agg(F.sort_array(F.collect_list("x")).alias("x")).select(F.expr("transform(x, y -> y.n)").alias("counts"))
+    rows = every.select(F.struct(F.col("b").cast("int").alias("b"), count_class(F.col("n")).alias("n")).alias("x"))
+    counts = staged(rows.agg(F.sort_array(F.collect_list("x")).alias("x")).select(F.expr("transform(x, y -> y.n)").alias("counts")), "counts")
+    total = seen.agg(F.sum("n")).first()[0] or 0
+    drop_staged(seen)
+    return counts, total
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """(id, th, no, key, key2): every line with a word of docs (id, text, th), and 128 bits that stand for it."""
+    rows = docs.select("id", "th", F.posexplode(F.split("text", "\n")).alias("no", "line")).where("line rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    return rows.select("id", "th", "no", F.xxhash64("line").alias("key"), F.xxhash64(F.lit(1), "line").alias("key2"))
+
+
+def place() -> Column:
+    """What lines are ordered by: those of rows with an id first."""
+    return F.struct(F.col("id").isNull().alias("unnamed"), "id", "th", "no")
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """(id, th, no): every line that equals an earlier one."""
+    lines = staged(placed(docs), "lines")
+    repeated = staged(lines.groupBy("key", "key2").agg(F.count("*").alias("n")).where("n > 1").select("key", "key2"), "repeated")
+    some = staged(lines.join(bounded(repeated), ["key", "key2"], "left_semi").withColumn("place", place()), "some")
+    first = staged(some.groupBy("key", "key2").agg(F.min("place").alias("first")), "first")
+    out = staged(some.join(bounded(first), ["key", "key2"]).where("place > first").select("id", "th", "no"), "copies")
+    drop_staged(lines, repeated, some, first)
+    return out
+
+
+def by_text(places: DataFrame) -> DataFrame:
+    """(id, th, gone) of places (id, th, no)."""
+    return staged(places.groupBy("id", "th").agg(F.collect_set("no").alias("gone")), "gone")
+
 
+def joined_texts(docs: DataFrame, known: DataFrame, how: str, listed: str, width: int = 4) -> DataFrame:
+    """docs (id, th, text) with known (id, th, listed): by broadcast while known is small, else by a shuffle. width: bytes of an entry of listed."""
+    known = bounded(known, 48 + width * F.size(listed)).withColumnsRenamed({"id": "known_id", "th": "known_th"})
+    on = docs["id"].eqNullSafe(F.col("known_id")) & (docs["th"] == F.col("known_th"))
+    return docs.join(known, on, how).drop("known_id", "known_th")
 
-def document_lines(docs: DataFrame) -> DataFrame:
-    """(id, th, no, line, key, key2): every line of docs (id, text, th) with 128 bits that stand for it."""
-    out = docs.select("id", "th", F.posexplode(F.split("text", "\n")).alias("no", "line")).where("line <> ''")
-    return out.select("id", "th", "no", "line", F.xxhash64("line").alias("key"), F.xxhash64(F.lit(1), "line").alias("key2"))
+
+def kept(lines: str, gone: str) -> str:
+    """SQL: places of lines that are not gone; in time that grows with the lines."""
+    every = f"sequence(0, size({lines}) - 1)"
+    return f"case when {gone} is null then {every} else array_except({every}, {gone}) end"
 
 
 def parity(keys: str, part: int | None = None) -> str:
-    """SQL: 64 bits of which every word flips one; with part, only the words of one of three parts do."""
+    """SQL: 64 bits of which every word flips one; with part, only the words of one of two parts do."""
     bit = "shiftleft(1L, cast(k & 63 as int))"
-    return f"aggregate({keys}, 0L, (a, k) -> a ^ {bit if part is None else f'case when shiftright(k, 6) % 3 = {part} then {bit} else 0L end'})"
+    return f"aggregate({keys}, 0L, (a, k) -> a ^ {bit if part is None else f'case when k & 64L = {64 * part}L then {bit} else 0L end'})"
+
 
+def shortest_shared(n: str) -> str:
+    """SQL: words that a line of n words at least shares with a similar one."""
+    return f"cast(ceil({SIMILAR}D * {n} - 1e-9D) as int)"
 
-def classes(lines: DataFrame, counts: Column, least: int = LEAST_WORDS) -> DataFrame:
-    """Equal lines with least words: key, key2, first (earliest place), n (words), prefix (in order), mask, mask2.
+
+def classes(docs: DataFrame, counts: Column) -> DataFrame:
+    """Lines of docs (id, th, text, gone) that are not gone: key, key2, first (place), n (words), prefix (in order), masks.
 
     counts stands in a projection of its own that the optimizer folds into the
     next one, so the table is looked into and not copied to every row.
     """
-    words = lines.select("id", "th", "no", "key", "key2", F.expr(f"array_distinct(array_remove(transform(split(line, '{BLANKS}'), w -> xxhash64(w)), xxhash64('')))").alias("h"))
-    order = "sort_array(transform(h, x -> shiftleft(cast(get(counts, cast(pmod(x, {b}L) as int)) as bigint), 44) | (x & {m}L)))".format(b=BUCKETS, m=(1 << 44) - 1)
-    place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "th", "no").alias("first")
-    sorted_ = words.select("*", counts.alias("counts")).select("key", "key2", place, F.expr(order).alias("keys"))
+    lines = docs.select("id", "th", "gone", F.split("text", "\n").alias("lines")).select("id", "th", "lines", F.explode(F.expr(kept("lines", "gone"))).alias("no"))
+    lines = lines.select("id", "th", "no", F.get("lines", "no").alias("line")).where("line rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    ordered = f"shiftleft(cast(coalesce(get(counts, cast(xxhash64(w) & {BUCKETS - 1}L as int)), cast(0 as smallint)) as bigint), {BITS}) | (xxhash64(w) & {(1 << BITS) - 1}L)"
+    keys = f"sort_array(array_distinct(transform(array_remove({split('line')}, ''), w -> {ordered})))"
+    rows = lines.select("*", counts.alias("counts")).select(F.xxhash64("line").alias("key"), F.xxhash64(F.lit(1), "line").alias("key2"), place().alias("first"), F.expr(keys).alias("keys"))
     n = "size(keys)"
-    rows = sorted_.select(
-        "key", "key2", "first", F.expr(n).alias("n"), F.expr(f"slice(keys, 1, {n} - cast(ceil({SIMILAR}D * {n}) as int) + 1)").alias("prefix"),
+    return rows.select(
+        "key", "key2", "first", F.expr(n).alias("n"), F.expr(f"slice(keys, 1, {n} - {shortest_shared(n)} + 1)").alias("prefix"),
         *[F.expr(f"case when {n} >= {LONG} then {parity('keys', part)} else {parity('keys') if part == 0 else '0L'} end").alias(m) for part, m in enumerate(MASKS)],
     )
-    firsts = rows.groupBy("key", "key2").agg(F.min("first").alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("mask").alias("mask"), F.first("mask2").alias("mask2"), F.first("mask3").alias("mask3"))
-    return firsts.where(F.col("n") >= least)
 
 
 def passes(a: str, b: str) -> Column:
-    """Length, positional and parity filters on two postings (at, mask, mask2) that share a word."""
+    """Length, positional and parity filters on two postings (at, masks) that share a word."""
     n, m = (F.shiftright(F.col(f"{x}.at"), 32) for x in (a, b))
     i, j = (F.col(f"{x}.at").bitwiseAND(F.lit(0xFFFFFFFF)) for x in (a, b))
-    both = F.ceil(F.lit(SIMILAR / (1 + SIMILAR)) * (n + m) - 1e-9)
-    apart = n + m - 2 * both
+    # In whole numbers: what is shared is at least t / (1 + t) of n + m, and what is not at most the rest, (1 - t) / (1 + t).
+    part, rest = (n + m) * round(1000 * SIMILAR), (n + m) * round(1000 * (1 - SIMILAR))
+    least = lambda x: x * round(1000 * (1 + SIMILAR))
     each = [F.col(f"{a}.{m}").bitwiseXOR(F.col(f"{b}.{m}")) for m in MASKS]
-    folded = F.bit_count(each[0].bitwiseXOR(each[1]).bitwiseXOR(each[2])) <= apart
-    long = F.bit_count(each[0]) + F.bit_count(each[1]) + F.bit_count(each[2]) <= apart
-    return (F.least(n - i, m - j) >= both) & folded & ((F.least(n, m) < LONG) | long)
+    folded = least(F.bit_count(each[0].bitwiseXOR(each[1]))) <= rest
+    long = least(F.bit_count(each[0]) + F.bit_count(each[1])) <= rest
+    apart_at = F.coalesce(~F.arrays_overlap(f"{a}.before", f"{b}.before"), F.lit(True))
+    return (least(F.least(n - i, m - j)) >= part) & folded & ((F.least(n, m) < LONG) | long) & apart_at
 
 
-def postings(found: DataFrame, most: int | None = None, *also: str, hot: int = 1 << 19) -> DataFrame:
+def postings(found: DataFrame, hot: int, *also: str) -> DataFrame:
     """(key, word, at, rank, masks, before) and columns also: at holds the line's size and, from 0, the word's place in it.
 
-    before: the words before this one, where the word's bucket counts hot or more,
-    so that lines which share many such words meet at the first of these alone.
+    before: the words before this one, where the word is hot (counts of class hot
+    or above), so that lines which share many such words meet at the first of
+    these alone.
 
     rank grows with the line's place, as far as a number can tell: a whole-number
     id, else the same for all.
     """
-    prefix = F.col("prefix") if most is None else F.slice("prefix", 1, most)
-    rank = F.coalesce(F.col("first.id"), F.lit((1 << 63) - 1)).cast("long") if isinstance(found.schema["first"].dataType["id"].dataType, T.IntegralType) else F.lit(0)
-    rows = found.select("key", "n", "prefix", rank.alias("rank"), *MASKS, *also, F.posexplode(prefix).alias("i", "word"))
-    before = F.when(F.shiftright("word", 44) >= hot, F.slice("prefix", 1, F.col("i")))
+    rank = F.coalesce(F.col("first.id"), F.lit((1 << 63) - 1)).cast("long") if isinstance(found.schema["first"].dataType["id"].dataType, T.IntegralType) else F.lit(0).cast("long")
+    rows = found.select("key", "n", "prefix", rank.alias("rank"), *MASKS, *also, F.posexplode("prefix").alias("i", "word"))
+    before = F.when(F.shiftright("word", BITS) >= hot, F.slice("prefix", 1, F.col("i")))
     return rows.select("key", "word", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("i")).alias("at"), "rank", *MASKS, before.alias("before"), *also)
 
 
-def met(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(key, other, apart): lines of a and lines of b not after them that share a word and pass the filters; apart: bits in which their masks differ."""
-    a, b = a.alias("a"), b.alias("b")
-    pairs = a.join(b, (F.col("a.word") == F.col("b.word")) & (F.col("a.key") != F.col("b.key")) & (F.col("a.rank") >= F.col("b.rank")) & passes("a", "b") & F.coalesce(~F.arrays_overlap("a.before", "b.before"), F.lit(True)))
+def paired(pairs: DataFrame) -> DataFrame:
+    """(key, other, apart) of joined postings a and b, the later line first; both ways where ranks don't tell. apart: bits in which their masks differ."""
     apart = sum((F.bit_count(F.col(f"a.{m}").bitwiseXOR(F.col(f"b.{m}"))) for m in MASKS), F.lit(0))
-    return pairs.select(F.col("a.key"), F.col("b.key").alias("other"), apart.alias("apart")).groupBy("key", "other").agg(F.first("apart").alias("apart"))
+    one, two = (F.struct(F.col(f"{x}.key").alias("key"), F.col(f"{y}.key").alias("other")) for x, y in ("ab", "ba"))
+    order = F.when(F.col("a.rank") > F.col("b.rank"), F.array(one)).when(F.col("a.rank") < F.col("b.rank"), F.array(two)).otherwise(F.array(one, two))
+    return pairs.select(apart.alias("apart"), F.explode(order).alias("x")).select("x.key", "x.other", "apart").distinct()
+
 
+def crowded(found: DataFrame) -> DataFrame:
+    """(word): words in the prefixes of very many lines of one length."""
+    sample = found.where(F.col("key").bitwiseAND(F.lit(SAMPLED - 1)) == 0)
+    return staged(sample.select("n", F.explode("prefix").alias("word")).groupBy("word", "n").agg(F.count("*").alias("k")).where(F.col("k") >= CROWD).select("word").distinct(), "crowded")
+
+
+def with_head(found: DataFrame, crowd: DataFrame, hot: int) -> DataFrame:
+    """Pairs of a line and the earliest one with one of its crowded words, where the filters pass."""
+    there = postings(found, hot, "no").join(bounded(crowd), "word", "left_semi")
+    heads = staged(there.groupBy("word").agg(F.min(F.struct("rank", "no", "key", "at", *MASKS, "before")).alias("h")).select("word", "h.*"), "heads")
+    on = (F.col("a.word") == F.col("b.word")) & (F.col("a.key") != F.col("b.key")) & passes("a", "b")
+    out = staged(paired(there.alias("a").join(bounded(heads, 128 + 8 * F.coalesce(F.size("before"), F.lit(0))).alias("b"), on)), "pairs")
+    drop_staged(heads)
+    return out
 
-def with_head(found: DataFrame) -> DataFrame:
-    """Classes and the earliest class with one of the same HEADS rarest words, where the filters pass."""
-    placed = postings(found.select("*", F.col("first.id").alias("id"), F.col("first.no").alias("no")), HEADS, "id", "no")
-    heads = placed.groupBy("word").agg(F.min(F.struct("id", "no", "key", "at", "rank", *MASKS, "before")).alias("h"), F.count("*").alias("k")).where("k > 1").select("word", "h.key", "h.at", "h.rank", *[f"h.{m}" for m in MASKS], "h.before")
-    return met(postings(found, HEADS), heads)
 
+def with_any(still: DataFrame, found: DataFrame, crowd: DataFrame, hot: int) -> DataFrame:
+    """Pairs of the lines in still and all earlier ones that share a prefix word and pass the filters.
 
-def with_any(some: DataFrame, found: DataFrame, hot: int) -> DataFrame:
-    """The classes in some and all not after them that share a prefix word with them and pass the filters."""
-    out, parts = None, []
+    Lines that share a crowded word are joined from still to found; for all other
+    words, which few lines have, found is joined with itself, so that both sides
+    are one shuffle.
+    """
+    words = bounded(crowd)
+    a, b = (postings(x, hot).join(words, "word", "left_semi").alias(n) for x, n in ((still, "a"), (found, "b")))
+    same = (F.col("a.word") == F.col("b.word")) & (F.col("a.key") != F.col("b.key"))
+    parts = [staged(paired(a.join(b, same & (F.col("a.rank") >= F.col("b.rank")) & passes("a", "b"))), "pairs")]
+    n, m = (F.shiftright(F.col(f"{x}.at"), 32) for x in "ab")
+    larger = (n > m) | ((n == m) & (F.col("a.key") > F.col("b.key")))
     for part in range(PASSES):
-        a, b = (postings(x, hot=hot).where(F.col("word").bitwiseAND(F.lit(PASSES - 1)) == part) for x in (some, found))
-        parts.append(staged(met(a, b), "pairs"))
-        release(found.sparkSession)
-        out = parts[-1] if out is None else out.union(parts[-1])
-    whole = staged(out.groupBy("key", "other").agg(F.first("apart").alias("apart")), "pairs")
+        mine = postings(found, hot).where(F.col("word").bitwiseAND(F.lit(PASSES - 1)) == part).join(words, "word", "left_anti")
+        parts.append(staged(paired(mine.alias("a").join(mine.alias("b"), same & larger & passes("a", "b"))), "pairs"))
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.union(p)
+    out = staged(every.distinct(), "pairs")
     drop_staged(*parts)
-    return whole
+    return out
 
 
 def nearest(pairs: DataFrame) -> DataFrame:
@@ -142,91 +217,94 @@ def nearest(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("key").agg(F.min_by("other", F.struct("apart", "other")).alias("other"))
 
 
-def joined_texts(docs: DataFrame, known: DataFrame, how: str) -> DataFrame:
-    """docs (id, th, text) with known (id, th, ...): by broadcast while known is small, else by a shuffle."""
-    known = known.withColumnsRenamed({"id": "known_id", "th": "known_th"})
-    small = known.count() <= BROADCAST_ROWS
-    on = docs["id"].eqNullSafe(known["known_id"]) & (docs["th"] == known["known_th"])
-    return docs.join(F.broadcast(known) if small else known, on, how).drop("known_id", "known_th")
-
-
-def verified(docs: DataFrame, found: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(key, key2) of the later line of every pair that is similar indeed."""
-    ends = pairs.select("key").union(pairs.select("other")).distinct()
-    where = found.join(ends, "key").select("key", "key2", "first")
-    by_text = staged(where.groupBy(F.col("first.id").alias("id"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct("key", "key2", F.col("first.no").alias("no"), "first")).alias("wanted")), "wanted")
-    texts = joined_texts(docs, by_text, "inner")
+def verified(docs: DataFrame, found: DataFrame, pairs: DataFrame, unique: bool = False) -> DataFrame:
+    """(key, key2, first) of the later line of every pair that is similar indeed. unique: no two rows of docs are equal."""
+    ends = staged(pairs.select("key").union(pairs.select("other")).distinct(), "ends")
+    where = found.join(bounded(ends), "key", "left_semi").select("key", "key2", "first", "first.id", "first.th", "first.no")
+    listed = staged(where.groupBy("id", "th").agg(F.collect_list(F.struct("key", "key2", "no", "first")).alias("wanted")), "wanted")
+    texts = joined_texts(docs, listed, "inner", "wanted", 112)
     picked = texts.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select("w.key", "w.key2", "w.first", F.get("lines", F.col("w.no")).alias("line"))
-    picked = picked.dropDuplicates(["key", "key2"])
-    words = staged(picked.select("key", "key2", "first", F.expr(f"array_distinct(array_remove(transform(split(line, '{BLANKS}'), w -> xxhash64(w)), xxhash64('')))").alias("words")), "words")
+    hashes = f"array_distinct(transform(array_remove({split('line')}, ''), w -> xxhash64(w)))"
+    picked = picked if unique else picked.dropDuplicates(["key", "key2"])
+    words = staged(picked.select("key", "key2", "first", F.expr(hashes).alias("words")), "words")
     other = words.select(F.col("key").alias("other"), F.col("key2").alias("other2"), F.col("first").alias("other_first"), F.col("words").alias("other_words"))
     both = pairs.join(words, "key").join(other, "other")
     shared = F.size(F.array_intersect("words", "other_words"))
     alike = both.where(shared >= SIMILAR * (F.size("words") + F.size("other_words") - shared) - 1e-9)
-    later = F.when(F.col("first") > F.col("other_first"), F.struct("key", "key2")).otherwise(F.struct(F.col("other").alias("key"), F.col("other2").alias("key2")))
+    later = F.when(F.col("first") > F.col("other_first"), F.struct("key", "key2", "first")).otherwise(F.struct(F.col("other").alias("key"), F.col("other2").alias("key2"), F.col("other_first").alias("first")))
     out = staged(alike.select(later.alias("x")).select("x.*").distinct(), "resolved")
-    drop_staged(by_text, words)
-    release(docs.sparkSession)
+    drop_staged(ends, listed, words)
     return out
 
 
-def removals(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+def removals(docs: DataFrame) -> DataFrame:
     """(id, th, gone): places of the removed lines of each text that has any.
 
-    Three rounds find the lines with a similar earlier one, each over the lines
-    that are still open: by the group's earliest line, by the likeliest candidate
-    of all, and by all candidates. So of n similar lines, n pairs are verified and
+    Lines equal to an earlier one are found by a grouping. Three rounds find the
+    lines with a similar earlier one, each over those that are still open: by the
+    earliest line with a crowded word of theirs, by the likeliest candidate of
+    all, and by all candidates. So of n similar lines, n pairs are verified and
     not n * n.
     """
-    counts = staged(bucket_counts(docs), "counts")
-    found = staged(classes(document_lines(docs), counts.scalar(), least), "classes")
-    release(docs.sparkSession)
-    near = verified(docs, found, heads := staged(with_head(found), "heads"))
-    still = staged(found.join(near, ["key", "key2"], "left_anti"), "still")
-    mean = counts.select(F.expr("aggregate(counts, 0L, (a, n) -> a + n)")).first()[0] // BUCKETS
-    pairs = with_any(still, found, HOT * mean + 256)
-    likely = verified(docs, found, best := staged(nearest(pairs), "nearest"))
-    rest = staged(pairs.join(likely.select("key").distinct(), "key", "left_anti").join(best, ["key", "other"], "left_anti"), "rest")
-    last = verified(docs, found, rest)
-    drop_staged(counts, heads, still, pairs, best, rest)
-    late = near.union(likely).union(last).withColumn("late", F.lit(True)).distinct()
-    marked = found.select("key", "key2", "first").join(late, ["key", "key2"], "left")
-    places = document_lines(docs).select("key", "key2", F.struct(F.col("id").isNull().alias("unnamed"), "id", "th", "no").alias("place"))
-    gone = places.join(marked, ["key", "key2"]).where("late or place > first")
-    out = staged(gone.groupBy("place.id", "place.th").agg(F.collect_set("place.no").alias("gone")), "gone")
-    drop_staged(found, near, likely, last)
-    release(docs.sparkSession)
+    unique = docs.groupBy("id", "th").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    counts, total = bucket_counts(docs)
+    hot = docs.sparkSession.range(1).select(count_class(F.lit(total // HOT + 256))).first()[0]
+    equal = copies(docs)
+    earlier = by_text(equal)
+    found = staged(classes(joined_texts(docs, earlier, "left", "gone"), counts.scalar()), "classes").withColumn("no", F.col("first.no"))
+    crowd = crowded(found)
+    heads = with_head(found, crowd, hot)
+    near = verified(docs, found, heads, unique)
+    done = bounded(staged(near.select("key", "key2"), "done"))
+    still = staged(found.join(done, ["key", "key2"], "left_anti"), "still")
+    pairs = with_any(still, found, crowd, hot)
+    opened = staged(pairs.join(done, "key", "left_anti"), "open")
+    likely = verified(docs, found, best := staged(nearest(opened), "nearest"), unique)
+    rest = staged(opened.join(likely.select("key").distinct(), "key", "left_anti").join(best, ["key", "other"], "left_anti"), "rest")
+    last = verified(docs, found, rest, unique)
+    similar = near.union(likely).union(last).select("first.id", "first.th", "first.no")
+    out = by_text(equal.union(similar))
+    drop_staged(counts, equal, earlier, found, crowd, heads, near, still, pairs, opened, best, likely, rest, last)
     return out
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with text_col less its removed lines, and two columns more: n_lines and n_removed.
 
     Rows keep their place even if all lines go; the text is then empty. A null
-    text stays null, with 0 lines. Lines without least different words stay,
-    blank ones always (least is 1 or more). Rows equal in id and text are one document and keep the
+    text stays null, with 0 lines. Lines without a word always stay. Rows equal in id and text are one document and keep the
     same lines; rows with a null id come after all others. Columns of docs named
     n_lines or n_removed are replaced.
     """
     rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.struct(*rest).alias("rest"))
-    gone = removals(source.select("id", "text", "th").where("text is not null"), least)
-    lines = F.split("text", "\n")
-    kept = F.expr("filter(lines, (x, i) -> not array_contains(gone, i))")
-    out = joined_texts(source, gone, "left").withColumn("lines", lines)
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    gone = removals(source.select("id", "text", "th").where("text is not null"))
+    out = joined_texts(source, gone, "left", "gone").withColumn("lines", F.split("text", "\n"))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.expr(f"transform({kept('lines', 'gone')}, i -> get(lines, i))"), "\n"))
     out = out.select("rest", text.alias("text"), F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))
     kinds = [F.col(f"rest.{c}") if c != text_col else F.col("text").alias(text_col) for c in docs.columns if c not in ("n_lines", "n_removed")]
     return out.select(*kinds, F.greatest("n_lines", F.lit(0)).cast("long").alias("n_lines"), F.greatest("n_removed", F.lit(0)).cast("long").alias("n_removed"))
 
 
-def has_line(text: str) -> Column:
-    """Whether a text has any line of LEAST_WORDS different words; null for a null text."""
-    return F.expr(f"exists(split({text}, '\\n'), line -> size(array_distinct(array_remove(split(line, '{BLANKS}'), ''))) >= {LEAST_WORDS})")
+def has_word(text: str) -> Column:
+    """Whether a text has any word; null for a null text."""
+    return F.col(text).rlike("[^\\x20\\x09-\\x0D]")
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_lines, n_removed, text_hash) of every row after line dedup of all lines with a word."""
-    return deduplicated(docs, id_col, text_col, 1).select(id_col, "n_lines", "n_removed", F.xxhash64(text_col).alias("text_hash"))
-
-
+    """(id, n_lines, n_removed, text_md5) of every row after line dedup."""
+    return deduplicated(docs, id_col, text_col).select(id_col, "n_lines", "n_removed", F.md5(F.col(text_col).cast("binary")).alias("text_md5"))
+
+
+#: The same for tables of unique ids: lines that share a rare word are compared.
+SQL = f"""with t as (select doc_id, text, string_split(text, chr(10)) as lines from documents),
+l as (select doc_id, unnest(lines) as line, generate_subscripts(lines, 1) as no from t),
+c as (select line, min(row(doc_id, no)) as place, list_distinct(list_filter(string_split_regex(any_value(line), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) as words from l group by line),
+w as (select *, len(words) as n from c where len(words) > 0),
+u as (select line, n, unnest(words) as word from w), f as (select word, count(*) as df from u group by word),
+p as (select line, word from (select line, n, word, row_number() over (partition by line order by df, word) as i from u join f using (word)) where i <= n - ceil({SIMILAR} * n - 1e-9) + 1),
+q as (select distinct a.line as a, b.line as b from p a join p b on a.word = b.word and a.line <> b.line),
+late as (select distinct x.line from q join w x on x.line = q.a join w y on y.line = q.b and y.place < x.place where len(list_intersect(x.words, y.words)) * {1 + SIMILAR} >= {SIMILAR} * (x.n + y.n) - 1e-9),
+k as (select l.doc_id, l.no, l.line, coalesce(len(w.words) > 0 and (row(l.doc_id, l.no) <> w.place or late.line is not null), false) as gone from l left join w on w.line = l.line left join late on late.line = l.line),
+o as (select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_removed, coalesce(string_agg(line, chr(10) order by no) filter (where not gone), '') as text from k group by doc_id)
+select t.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_removed, 0) as n_removed, case when t.text is not null then md5(o.text) end as text_md5 from t left join o on o.doc_id = t.doc_id"""

@@ -6,8 +6,8 @@ character without a piece becomes its bytes' pieces. Decoding joins the pieces,
 bytes included, and turns markers back into spaces.
 
 No piece holds a marker after another character, so a text falls apart before
-each marker run and its parts are independent. Equal parts are encoded once for
-each worker; new parts of a batch go through the trie together, a step of the
+each marker run and its parts are independent. Equal parts are encoded once in
+each partition; new parts of a batch go through the trie together, a step of the
 trie and of the Viterbi recursion being one NumPy operation over all of them.
 """
 
@@ -21,13 +21,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import lean
 from .token_counts import vocabulary_path
 
 VOCABULARY = "piece_bpe_32k.model"
 MARK = "▁"
 #: How far an unknown character scores below the worst piece.
 PENALTY = 10.0
-#: Parts a worker remembers; bytes of parts that go through the trie together; longer parts go alone.
+#: Parts remembered in a partition; bytes of parts that go through the trie together; longer parts go alone.
 REMEMBERED, TOGETHER, ALONE = 1 << 18, 1 << 16, 96
 #: Characters encoded at a time and rows in an output batch.
 PIECE, ROWS = 1 << 20, 256
@@ -296,6 +297,7 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text
     kept = docs.drop(ids_col)
     at = kept.columns.index(text_col)
 
+    @lean
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(vocabulary)
         for batch in found:
@@ -305,6 +307,7 @@ def encoded(docs: DataFrame, vocabulary: str = VOCABULARY, text_col: str = "text
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
                 part = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, ids_col])
+        coder.known.clear()
 
     fields = [T.StructField(f.name, f.dataType) for f in kept.schema]
     return kept.mapInArrow(batches, T.StructType([*fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False))]))
@@ -315,6 +318,7 @@ def decoded(df: DataFrame, vocabulary: str = VOCABULARY, ids_col: str = "piece_i
     kept = df.drop(out_col)
     at = kept.columns.index(ids_col)
 
+    @lean
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = loaded(vocabulary)
         for batch in found:

@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import connected_components, drop_staged, staged
+from .common import connected_components, drop_staged, lean, staged
 
 RADIUS = 3
 SHINGLE = 3
@@ -58,6 +58,7 @@ def fingerprint(text: bytes | None) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp): the signed 64-bit fingerprint of every row's whole text; null and empty texts have 0."""
 
+    @lean
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             texts = batch.column(1).cast(pa.binary())
@@ -82,6 +83,7 @@ def first_triple(x: F.Column) -> F.Column:
     return first
 
 
+@lean
 def block_edges(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges inside one bounded pair of blocks: for each fingerprint its linked partner with the smallest value.
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Text bytes handled at a time; one longer text is a piece of its own.
-PIECE_BYTES = 1 << 21
+PIECE_BYTES = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -37,14 +37,15 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 to base ** (n - 1) modulo 2 ** 64."""
+    """base ** 0 to base ** (n - 1) modulo 2 ** 64; kept for later calls as far as a piece of texts needs them."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 16)
+        size = max(n, PIECE_BYTES + 1)
         have = np.full(size, np.uint64(base % (1 << 64)), np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        _powers[base] = have
+        if size == PIECE_BYTES + 1:
+            _powers[base] = have
     return have[:n]
 
 

@@ -18,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .common import lean
+
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 #: Words whose counts a worker remembers before it starts anew.
@@ -221,6 +223,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "d
     columns are ignored.
     """
 
+    @lean
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary_path(vocabulary)).count
         for batch in found:
@@ -238,6 +241,7 @@ def prefix_counts(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "
     With it no later question encodes anything: see tokens_of_prefix and fitting_prefix.
     """
 
+    @lean
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(vocabulary_path(vocabulary))
         for batch in found:

@@ -12,13 +12,16 @@ MARGIN. The rules decide where one fits, the host's verdict elsewhere.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import drop_staged, staged
+from .common import bounded, drop_staged, staged
 
-#: Part of a score that follows links, steps at most, change at which it rests, share that makes a seed, and what blocks.
-DAMPING, STEPS, SETTLED, SEED_SHARE, MARGIN = 0.85, 20, 1e-6, 0.5, 0.1
+#: Part of a score that follows links, weight of all walks that are left out, share that makes a seed, and what blocks.
+DAMPING, SETTLED, SEED_SHARE, MARGIN = 0.85, 1e-6, 0.5, 0.1
+#: Tables of walks that are held before they are summed.
+FOLDED = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: An absolute or protocol-relative link of a page.
 LINK = "(?i)<a\\s[^>]*?href\\s*=\\s*[\"']?\\s*((?:https?:)?//[^\"'>\\s]+)"
@@ -67,30 +70,34 @@ def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
 def spread(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(host, score): personalised PageRank of seeds (host, weight) over edges (src, dst, w), times the seeds' total weight.
 
-    What has no way on, or sits on hosts without links, goes back to the seeds.
-    Only totals reach the driver; each step is staged.
+    What has no way on, or sits on hosts without links, goes back to the seeds, so
+    the scores are those of walks that end there, scaled to the seeds' total. Walks
+    are followed one link at a time, until all longer ones together weigh less than
+    SETTLED; as each link passes on a part of DAMPING, that always comes. Only
+    totals reach the driver; each step is staged.
     """
     total = seeds.agg(F.sum("weight")).first()[0]
     if not total:
         return seeds.select("host", F.col("weight").cast("double").alias("score")).limit(0)
     out = edges.groupBy("src").agg(F.sum("w").alias("out"))
     flow = staged(edges.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("p")), "flow")
-    start = seeds.select("host", F.col("weight").cast("double").alias("weight"))
-    now, change = staged(start.select("host", F.col("weight").alias("score")), "scores"), None
-    for _ in range(STEPS):
-        came = flow.join(now, flow.src == now.host).groupBy("dst").agg(F.sum(F.col("p") * F.col("score")).alias("came"))
-        came = staged(came.select(F.col("dst").alias("host"), (DAMPING * F.col("came")).alias("came")), "came")
-        moved = came.agg(F.sum("came")).first()[0] or 0.0
-        both = came.select("host", "came", F.lit(0.0).alias("weight")).union(start.select("host", F.lit(0.0), "weight"))
-        after = both.groupBy("host").agg((F.sum("came") + F.sum("weight") * (1 - moved / total)).alias("score"))
-        after = staged(after, "scores")
-        gone = now.select("host", (-F.col("score")).alias("score")).union(after).groupBy("host").agg(F.abs(F.sum("score")).alias("d"))
-        change = gone.agg(F.sum("d")).first()[0]
-        drop_staged(now, came)
-        now = after
-        if change <= SETTLED * total:
-            break
-    return now
+    summed = lambda frames: staged(reduce(DataFrame.union, frames).groupBy("host").agg(F.sum("score").alias("score")), "scores")
+    last, rest = staged(seeds.select("host", F.col("weight").cast("double").alias("score")), "walks"), total
+    found = [last]
+    while rest * DAMPING / (1 - DAMPING) > SETTLED:
+        came = flow.join(last, flow.src == last.host).groupBy("dst").agg((DAMPING * F.sum(F.col("p") * F.col("score"))).alias("score"))
+        before, last = last, staged(came.select(F.col("dst").alias("host"), "score"), "walks")
+        if not any(before is f for f in found):
+            drop_staged(before)
+        rest = last.agg(F.sum("score")).first()[0] or 0.0
+        found.append(last)
+        if len(found) > FOLDED:
+            whole = summed(found)
+            drop_staged(*found[:-1])
+            found = [whole]
+    whole = summed(found)
+    drop_staged(flow, *found)
+    return whole.withColumn("score", F.col("score") * (total / whole.agg(F.sum("score")).first()[0]))
 
 
 def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -111,9 +118,11 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "pag
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")
     trust = spread(edges, shares.where(F.col("allow") >= SEED_SHARE).select("host", F.col("allow").alias("weight")))
     distrust = spread(back, shares.where(F.col("block") >= SEED_SHARE).select("host", F.col("block").alias("weight")))
+    drop_staged(shares, edges)
     both = trust.select("host", F.col("score").alias("t"), F.lit(0.0).alias("d")).union(distrust.select("host", F.lit(0.0), "score"))
     scores = both.groupBy("host").agg(F.sum("t").alias("trust"), F.sum("d").alias("distrust"))
-    out = ruled.join(scores.withColumnRenamed("host", "scored"), F.col("host") == F.col("scored"), "left")
+    scores = staged(scores.where("trust <> 0 or distrust <> 0"), "scores")
+    out = ruled.join(bounded(scores, 80 + F.octet_length("host")).withColumnRenamed("host", "scored"), F.col("host") == F.col("scored"), "left")
     trust, distrust = F.coalesce("trust", F.lit(0.0)), F.coalesce("distrust", F.lit(0.0))
     verdict = F.coalesce("ruled", F.when(distrust - trust >= MARGIN, "block").otherwise("allow"))
     return out.select(id_col, "host", "path", "rule", verdict.alias("verdict"), trust.alias("trust"), distrust.alias("distrust"))

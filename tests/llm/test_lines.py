@@ -1,17 +1,19 @@
 import re
 
+import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
-from tecflow.llm import lines
+from tecflow.llm import common, lines, queries
 
 
-def plain(rows, similar=0.8, least=5):
+def plain(rows, similar=0.8):
     """Brute force over all pairs of lines. rows: (id, text) in order of place."""
     sets, where = [], []
     for d, (_, t) in enumerate(rows):
         for k, line in enumerate((t or "").split("\n")):
             words = set(re.findall(r"[^\x20\x09-\x0D]+", line))
-            if len(words) >= least:
+            if words:
                 sets.append(words)
                 where.append((d, k))
     gone = set()
@@ -70,16 +72,48 @@ def test_repeated_rows_null_ids_and_no_rows(spark):
 
 
 def test_texts_are_joined_by_a_shuffle_beyond_the_bound(spark, monkeypatch):
-    monkeypatch.setattr(lines, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     rows = corpus(30, 3)
     got = sorted((r.doc_id, r.text, r.n_removed) for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == plain(rows)
 
 
-def test_short_lines_take_part_in_the_query(spark):
+def test_short_lines_take_part(spark):
     rows = [*corpus(40, 6), (900, "Les.\nAnd ornd.\nunique here\n\n"), (901, "Les.\n \nornd. And\na a a a\na"), (902, "one two three four\n" + "four three two one " * 30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    want = plain(rows, least=1)
+    want = plain(rows)
     assert sorted((r.doc_id, r.n_removed) for r in lines.digest(docs).collect()) == [(i, n) for i, _, n in want]
-    assert sorted((r.doc_id, r.text) for r in lines.deduplicated(docs, least=1).collect()) == [(i, t) for i, t, _ in want]
+    assert sorted((r.doc_id, r.text) for r in lines.deduplicated(docs).collect()) == [(i, t) for i, t, _ in want]
     assert dict((i, n) for i, _, n in want)[901] == 3
+
+
+def test_crowded_and_hot_words(spark, monkeypatch):
+    """Every path of the join gives the same lines: all words crowded and hot, or none."""
+    rng = np.random.default_rng(8)
+    few = [f"v{i}" for i in range(14)]
+    rows = [(i, "\n".join(" ".join(rng.choice(few, int(rng.integers(3, 12)), replace=False)) for _ in range(4))) for i in range(60)] + [(100 + i, t) for i, t in corpus(30, 9)]
+    want = plain(rows)
+    for crowd, sampled, hot in ((1, 1, 1 << 30), (1 << 30, 8, 1 << 30), (2, 1, 1 << 14)):
+        monkeypatch.setattr(lines, "CROWD", crowd)
+        monkeypatch.setattr(lines, "SAMPLED", sampled)
+        monkeypatch.setattr(lines, "HOT", hot)
+        monkeypatch.setattr(lines, "count_class", (lambda n: F.lit(0).cast("smallint")) if hot > 1 << 20 else lines.count_class)
+        assert sorted((r.doc_id, r.text, r.n_removed) for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == want
+
+
+def test_odd_texts_and_ids(spark):
+    """Very many lines, other blanks and separators, text ids and ids of several texts."""
+    long = "\n".join(f"line {i % 700} of some" for i in range(20_000))
+    rows = [("a", long), ("a", "tab\there  now"), ("b", "here\x0b tab now\r"), ("c", long + "\nnew words only here")]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {(r.doc_id, r.n_lines): r.n_removed for r in lines.deduplicated(docs).collect()}
+    assert got == {("a", 20_000): 19_300, ("a", 1): 0, ("b", 1): 1, ("c", 20_001): 20_000}
+
+
+def test_query_equals_sql(spark):
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet'")
+    want = sorted(con.execute(lines.SQL).fetchall())
+    got = sorted((r.doc_id, r.n_lines, r.n_removed, r.text_md5) for r in queries.op2_line_dedup(spark, folder).collect())
+    assert got == want and sum(r[2] for r in want) > 100

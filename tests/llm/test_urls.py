@@ -78,7 +78,7 @@ def test_equals_brute_force(spark):
     want = plain(pages)
     key = lambda r: (str(r[0]), r[1], r[2])
     for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
-        assert a[:5] == b[:5] and abs(a[5] - b[5]) < 2e-3 and abs(a[6] - b[6]) < 2e-3
+        assert a[:5] == b[:5] and abs(a[5] - b[5]) < 2e-4 and abs(a[6] - b[6]) < 2e-4
     assert any(r[3] is None and r[4] == "block" for r in want) and any(r[5] > 0 for r in want)
 
 
@@ -86,3 +86,23 @@ def test_no_links_no_seeds_no_rows(spark):
     df = spark.createDataFrame([(1, "http://a.info/x", "<p>")], "page_id long, url string, html string")
     assert urls.judged(df).first().verdict == "allow"
     assert urls.judged(df.limit(0)).count() == 0
+
+
+def test_walks_are_followed_until_they_settle(spark):
+    """Two hosts that link to each other, and a chain of 40 hosts reached from 1,000 seeds, against plain iteration."""
+    ring = {("a", "b"): 1, ("b", "a"): 3}
+    chain = {(f"c{i}", f"c{i + 1}"): 1 for i in range(40)} | {(f"s{i}", "c0"): 2 for i in range(1000)}
+    for links, weights in ((ring, {"a": 1.0}), (chain, {f"s{i}": 0.5 for i in range(1000)})):
+        edges = spark.createDataFrame([(a, b, w) for (a, b), w in links.items()], "src string, dst string, w long")
+        seeds = spark.createDataFrame(list(weights.items()), "host string, weight double")
+        got = {r.host: r.score for r in urls.spread(edges, seeds).collect()}
+        want = plain_spread(links, weights)
+        assert got.keys() == want.keys() and max(abs(got[h] - want[h]) for h in want) < 2e-6
+    assert want["c21"] > 0.1
+
+
+def test_clashing_columns_and_long_pages(spark):
+    html = "<a href=//far.example.org/fr/>x</a>" * 20_000
+    df = spark.createDataFrame([(1, "http://n.info/x", html, 1.0, "v"), (1, "http://n.info/x", html, 2.0, "w"), (2, "http://far.example.org/fr/", None, 3.0, None)], "page_id long, url string, html string, trust double, verdict string")
+    got = sorted((r.page_id, r.verdict, r.rule) for r in urls.judged(df).collect())
+    assert got == [(1, "allow", None), (1, "allow", None), (2, "allow", "org/fr/")]
