@@ -1,11 +1,17 @@
 """LM scoring by cross-entropy difference of two matched bigram models.
 
 Target and background models know every word of all documents, whatever its
-count, and have one smoothing. Counts of bigrams, contexts and words are Spark
-tables keyed by 64-bit word hashes, of no set size; a second pass joins every
-document's distinct bigrams to their costs. A token costs
--ln p(word | word before); a document's score is the mean over its tokens of
-target cost less background cost, so lower means nearer to the target.
+count, and have one smoothing. A token costs -ln p(word | word before); a
+document's score is the mean over its tokens of target cost less background
+cost, so lower means nearer to the target. What a document adds to a model is
+taken off before that model judges it, so that neither knows it by heart: its
+own bigrams, contexts, words and length.
+
+Every document's distinct bigrams are dealt out by their second word, where sums
+over bigram and word are windows of one shuffle, and then meet the count of
+their first word. Words and bigrams that make up a part of all tokens of one in
+SHARE or more are few, whatever the size of the corpus: their counts are
+broadcast and their rows dealt out by salt, so no task holds all of them.
 """
 
 from __future__ import annotations
@@ -15,12 +21,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import textnum as tn
-from .common import drop_staged, release, staged
+from .common import bounded, drop_staged, lean, staged
 
-#: Parts, by the word before, in which bigrams are counted and joined: the tables and shuffles of one part are on disk at a time.
+#: Parts, by the second word, in which bigrams are joined: the shuffle of one part is on disk at a time.
 PASSES = 4
 #: Stands before a text's first word.
 START = np.uint64(0x5851F42D4C957F2D)
@@ -28,8 +34,8 @@ START = np.uint64(0x5851F42D4C957F2D)
 BIGRAM, ADDED = 0.6, 0.5
 #: Counted keys a worker holds before it hands them on, and rows in a batch that it hands on.
 HELD, ROWS = 1 << 19, 1 << 16
-#: Target ids that are broadcast at most; more are joined by a shuffle.
-BROADCAST_IDS = 500_000
+#: What occurs once in SHARE tokens, and FEW times at least, is broadcast: at most SHARE words and as many bigrams. Salts their rows are dealt out by.
+SHARE, FEW, SALTS = 1 << 16, 1_000, 256
 
 
 class Tally:
@@ -61,144 +67,161 @@ class Tally:
             yield whole.slice(at, ROWS)
 
 
-def vocabulary(counts: DataFrame, size: int) -> np.ndarray:
-    """Sorted hashes of the words whose count reaches the least one that at most size words reach.
-
-    Counts are put in classes by size first, so that one small table shows where to cut.
-    """
-    step = F.floor(F.log2("n") * 64).cast("int")
-    classes = sorted(counts.groupBy(step.alias("c")).agg(F.count("*").alias("k")).collect(), key=lambda r: -r.c)
-    total, cut = 0, None
-    for r in classes:
-        if total + r.k > size:
-            break
-        total, cut = total + r.k, r.c
-    if cut is None:
-        return np.zeros(0, np.uint64)
-    return np.sort(counts.where(step >= cut).select("word").toPandas()["word"].to_numpy(np.int64).view(np.uint64))
-
-
-def word_ids(found: tn.Words, known: np.ndarray) -> np.ndarray:
-    """Place of each word in the vocabulary; len(known) for the unknown word."""
-    if not len(known):
-        return np.zeros(len(found.hash), np.int64)
-    at = np.searchsorted(known, found.hash).clip(max=len(known) - 1)
-    return np.where(known[at] == found.hash, at, len(known))
-
-
-def bigrams(found: tn.Words, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word id, id before it, hash of the pair) of every token; a text's first word follows a start mark, id len(known) + 1."""
-    ids = word_ids(found, known)
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    heads = found.first[:-1]
-    before[heads[heads < found.first[1:]]] = len(known) + 1
-    pair = (before * (len(known) + 2) + ids).astype(np.uint64)
-    return ids, before, tn.mixed(pair + np.uint64(1))
-
-
-def pairs_of(found: tn.Words, groups: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(group, word before, word, count) of every distinct bigram of each group of tokens, for one part of the words before; a text's first word follows START."""
-    before = np.empty_like(found.hash)
+def befores(found: tn.Words) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of the word before every token, START for a text's first, and whether a token is its text's last."""
+    before, last = np.empty_like(found.hash), np.zeros(len(found.hash), bool)
     before[1:] = found.hash[:-1]
-    heads = found.first[:-1]
-    before[heads[heads < found.first[1:]]] = START
-    mine = np.flatnonzero(before % np.uint64(PASSES) == part)
-    groups, before, word = groups[mine], before[mine], found.hash[mine]
-    keys = tn.mixed(tn.mixed(before + tn.mixed(groups.astype(np.uint64) + np.uint64(1))) + word)
-    _, at, n = np.unique(keys, return_index=True, return_counts=True)
-    return groups[at], before[at], word[at], n
+    full = found.first[1:] > found.first[:-1]
+    before[found.first[:-1][full]] = START
+    last[found.first[1:][full] - 1] = True
+    return before, last
 
 
-def pair_counts(texts: DataFrame, part: int) -> DataFrame:
-    """(before, word, n, t): count of every bigram in texts (text, target), and its count in the target's."""
+def signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64), pa.int64())
 
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(word, wn, wt, cn, ct): count of every lower-cased word in texts (text, target), its count in the target's, and how often another word follows it in both; START is followed by each text's first word."""
+    names = ["word", "wn", "wt", "cn", "ct"]
+
+    @lean
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally(names, [pa.int64()] * 5)
         for batch in found:
             flags = batch.column(1).to_numpy()
             for piece in tn.pieces(batch.column(0)):
                 w = tn.words(piece, lower=True)
-                inside, before, word, n = pairs_of(w, flags[piece.first : piece.first + len(piece)][w.row], part)
-                columns = [before.view(np.int64), word.view(np.int64), n, n * inside]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["before", "word", "n", "t"])
+                inside, (_, last) = flags[piece.first : piece.first + len(piece)], befores(w)
+                seen, back = np.unique(w.hash, return_inverse=True)
+                of = inside[w.row]
+                counted = [np.bincount(back, x, len(seen)).astype(np.int64) for x in (np.ones(len(of)), of, ~last, of * ~last)]
+                tally.add(seen, *counted)
+                full = w.per_row() > 0
+                tally.add(np.array([START]), *(np.array([x]) for x in (0, 0, full.sum(), inside[full].sum())))
+                if tally.full():
+                    yield from tally.batches()
+        yield from tally.batches()
 
-    return texts.mapInArrow(batches, "before long, word long, n long, t long").groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    summed = texts.mapInArrow(batches, ", ".join(f"{n} long" for n in names)).groupBy("word").agg(*[F.sum(n).alias(n) for n in names[1:]])
+    return summed.where("wn > 0 or cn > 0")
 
 
-def text_pairs(texts: DataFrame, part: int) -> DataFrame:
-    """(th, before, word, k, head): every row's distinct bigrams and their counts; head is 1 once a row."""
+def frequent_pairs(texts: DataFrame, heads: list[int], words: list[int], least: int) -> DataFrame:
+    """(before, word, pn, pt): the bigrams of frequent words that occur least times or more; both lists have at most SHARE entries."""
+    first, second = (np.sort(np.array(x, np.int64).view(np.uint64)) for x in (heads, words))
 
+    def held(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+        return known[np.searchsorted(known, keys).clip(max=len(known) - 1)] == keys
+
+    @lean
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
-            for piece in tn.pieces(batch.column(1)):
-                row, before, word, k = pairs_of(w := tn.words(piece, lower=True), w.row, part)
-                columns = [before.view(np.int64), word.view(np.int64), k, before == START]
-                whole = pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + piece.first)), *(pa.array(c, pa.int64()) for c in columns)], ["th", "before", "word", "k", "head"])
-                for at in range(0, whole.num_rows, ROWS):
-                    yield whole.slice(at, ROWS)
+            flags = batch.column(1).to_numpy()
+            for piece in tn.pieces(batch.column(0)):
+                w = tn.words(piece, lower=True)
+                before, _ = befores(w)
+                both = np.flatnonzero(held(before, first) & held(w.hash, second))
+                keys, at, back = np.unique(tn.mixed(before[both]) + w.hash[both], return_index=True, return_inverse=True)
+                inside = flags[piece.first : piece.first + len(piece)][w.row[both]]
+                n, t = (np.bincount(back, x, len(keys)).astype(np.int64) for x in (np.ones(len(both)), inside))
+                yield pa.RecordBatch.from_arrays([signed(before[both][at]), signed(w.hash[both][at]), pa.array(n), pa.array(t)], ["before", "word", "n", "t"])
 
-    return texts.mapInArrow(batches, "th long, before long, word long, k long, head long")
+    counted = texts.mapInArrow(batches, "before long, word long, n long, t long").groupBy("before", "word")
+    return counted.agg(F.sum("n").alias("pn"), F.sum("t").alias("pt")).where(F.col("pn") >= least)
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, wn, wt): count of every lower-cased word in texts (text, target), and its count in the target's."""
+def text_pairs(texts: DataFrame, part: int) -> DataFrame:
+    """(th, target, before, word, k, kc, kw, size): every row's distinct bigrams with a second word of one part.
 
+    How often the bigram occurs in the row, how often a word follows the first
+    one, how often the second one occurs, and the row's tokens.
+    """
+    names = ["th", "target", "before", "word", "k", "kc", "kw", "size"]
+
+    @lean
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally(["word", "wn", "wt"], [pa.int64()] * 3)
         for batch in found:
-            flags = batch.column(1).to_numpy()
-            for piece in tn.pieces(batch.column(0)):
+            for piece in tn.pieces(batch.column(2)):
                 w = tn.words(piece, lower=True)
-                seen, back, n = np.unique(w.hash, return_inverse=True, return_counts=True)
-                tally.add(seen, n, np.bincount(back, flags[piece.first : piece.first + len(piece)][w.row], len(seen)).astype(np.int64))
-                if tally.full():
-                    yield from tally.batches()
-        yield from tally.batches()
+                before, last = befores(w)
+                salted = tn.mixed(w.row.astype(np.uint64) + np.uint64(1))
+                _, back, n = np.unique(tn.mixed(w.hash + salted), return_inverse=True, return_counts=True)
+                follow = np.bincount(back, ~last, len(n)).astype(np.int64)
+                kw, kc = n[back], np.ones(len(w.hash), np.int64)
+                kc[1:] = np.where(before[1:] == START, 1, follow[back[:-1]])
+                mine = np.flatnonzero(w.hash % np.uint64(PASSES) == part)
+                _, at, k = np.unique(tn.mixed(tn.mixed(before[mine] + salted[mine]) + w.hash[mine]), return_index=True, return_counts=True)
+                mine = mine[at]
+                rows = pa.array(w.row[mine] + piece.first)
+                counts = [pa.array(x.astype(np.int32)) for x in (k, kc[mine], kw[mine], w.per_row()[w.row[mine]])]
+                whole = pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), signed(before[mine]), signed(w.hash[mine]), *counts], names)
+                for at in range(0, whole.num_rows, ROWS):
+                    yield whole.slice(at, ROWS)
+
+    kinds = "th long, target int, before long, word long, k int, kc int, kw int, size int"
+    return texts.mapInArrow(batches, kinds)
 
-    return texts.mapInArrow(batches, "word long, wn long, wt long").groupBy("word").agg(F.sum("wn").alias("wn"), F.sum("wt").alias("wt"))
 
+def cost(pair: str, context: Column, share: str) -> Column:
+    return -F.log(BIGRAM * F.col(pair) / F.greatest(context, F.lit(1)) + (1 - BIGRAM) * F.col(share))
 
-def costs(texts: DataFrame, words: DataFrame, whole: list[float], part: int) -> DataFrame:
-    """(pair, c0, c1): cost of every bigram of one part of texts (text, target) under the background and the target model."""
-    pairs = staged(pair_counts(texts, part), "pairs")
-    release(texts.sparkSession)
-    contexts = pairs.groupBy("before").agg(F.sum("n").alias("cn"), F.sum("t").alias("ct"))
 
-    def cost(pair: str, context: str, word: str, total: float) -> Column:
-        estimate = F.col(pair) / F.greatest(F.col(context), F.lit(1))
-        return -F.log(BIGRAM * estimate + (1 - BIGRAM) * ((F.col(word) + ADDED) / total))
+def costs(texts: DataFrame, words: DataFrame, common: DataFrame, heads: DataFrame, pairs: DataFrame, totals: list[int], known: int, part: int) -> DataFrame:
+    """(th, target, k, head, c0, c1): sums over one part of the bigrams of rows of equal text: tokens, rows, and costs under both models.
 
-    both = pairs.join(words, "word").join(contexts, "before")
-    out = staged(both.select(F.xxhash64("before", "word").alias("pair"), cost("n", "cn", "wn", whole[0]).alias("c0"), cost("t", "ct", "wt", whole[1]).alias("c1")), "costs")
-    drop_staged(pairs)
-    release(texts.sparkSession)
-    return out
+    Only bigrams that another document has, after a word that isn't frequent, are
+    shuffled again, to meet the count of that word.
+    """
+    rows = text_pairs(texts, part).join(F.broadcast(common), "word", "left").join(F.broadcast(pairs), ["before", "word"], "left")
+    salt = F.when(F.col("pn").isNotNull(), F.pmod("th", F.lit(SALTS))).when(F.col("hn").isNotNull(), F.pmod(F.xxhash64("before"), F.lit(SALTS))).otherwise(F.lit(0))
+    dealt = rows.withColumn("salt", salt).repartition("word", "salt")
+    pair, word = Window.partitionBy("word", "salt", "before"), Window.partitionBy("word", "salt")
+    inside = F.col("k") * F.col("target")
+    sums = dealt.withColumns({"n": F.coalesce("pn", F.sum("k").over(pair)), "t": F.coalesce("pt", F.sum(inside).over(pair))})
+    sums = sums.withColumns({"wn": F.coalesce("hn", F.sum("k").over(word)), "wt": F.coalesce("ht", F.sum(inside).over(word))})
+    of = lambda c: F.col(c) * F.col("target")
+    whole = [F.lit(float(t)) + ADDED * (known + 1) for t in totals]  # one more word than known has a share
+    own = sums.select(
+        "th", "target", "k", "kc", F.when(F.col("before") == F.lit(int(START.view(np.int64))), 1).otherwise(0).alias("head"), (F.col("n") - F.col("k")).alias("n"), (F.col("t") - of("k")).alias("t"),
+        ((F.col("wn") - F.col("kw") + ADDED) / (whole[0] - F.col("size"))).alias("p0"), ((F.col("wt") - of("kw") + ADDED) / (whole[1] - of("size"))).alias("p1"),
+        "before",
+    ).join(F.broadcast(heads), "before", "left")
+    cold = (F.col("n") > 0) & F.col("cn").isNull()
+    # The others' bigram is no other document's, or the count of its first word is known: without one it doesn't matter.
+    warm = own.where(~cold).withColumns({"cn": F.coalesce("cn", F.lit(0)), "ct": F.coalesce("ct", F.lit(0))})
+    met = own.where(cold).drop("cn", "ct").join(words.select(F.col("word").alias("before"), "cn", "ct"), "before")
+    both = warm.unionByName(met)
+    c0, c1 = cost("n", F.col("cn") - F.col("kc"), "p0"), cost("t", F.col("ct") - of("kc"), "p1")
+    return both.groupBy("th", "target").agg(F.sum("k").alias("k"), F.sum("head").alias("head"), F.sum(F.col("k") * c0).alias("c0"), F.sum(F.col("k") * c1).alias("c1"))
 
 
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fits both models on docs and scores all of docs.
+    """(id, n_tokens, target_cost, background_cost, score) of every row of docs; both models are fitted on docs.
 
-    Without target documents the target model is uniform. Ids in target_ids that
-    are null or not in docs change nothing; repeated ones count once.
+    Costs are means over a row's tokens, null for texts without words. Without
+    other target documents the target model is uniform. Ids in target_ids that are
+    null or not in docs change nothing; repeated ones count once. Rows that repeat
+    count as often as they stand there; each is judged without itself alone.
     """
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col), text.alias("_text"), F.xxhash64(text).alias("th"))
     wanted = target_ids.toDF("wanted").where("wanted is not null").distinct().withColumn("target", F.lit(1))
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    flagged = rows.join(wanted, rows[id_col] == wanted["wanted"], "left")
-    texts = flagged.select("_text", F.coalesce("target", F.lit(0)).alias("target"))
+    flagged = rows.join(bounded(wanted, 24), rows[id_col] == wanted["wanted"], "left").withColumn("target", F.coalesce("target", F.lit(0)))
+    texts = flagged.select("_text", "target")
     words = staged(word_counts(texts), "words")
-    known, *totals = words.agg(F.count("*"), F.sum("wn"), F.sum("wt")).first()
-    whole = [float(x or 0) + ADDED * (known + 1) for x in totals]  # one more word than known has a share
-    th, sums = F.xxhash64("_text").alias("th"), []
-    for part in range(PASSES):
-        table = costs(texts, words, whole, part)
-        mine = text_pairs(rows.select(th, "_text"), part).select("th", F.xxhash64("before", "word").alias("pair"), F.col("k").cast("int").alias("k"), F.col("head").cast("int").alias("head"))
-        sum_of = [F.sum("k").alias("k"), F.sum("head").alias("head"), *(F.sum(F.col("k") * F.col(c)).alias(c) for c in ("c0", "c1"))]
-        sums.append(staged(mine.join(table, "pair").groupBy("th").agg(*sum_of), "sums"))
-        drop_staged(table)
-        release(docs.sparkSession)
-    # Rows of equal text are one group, head tells how many; their mean is that of each.
+    known, *totals = words.agg(F.count_if(F.col("wn") > 0), F.coalesce(F.sum("wn"), F.lit(0)), F.coalesce(F.sum("wt"), F.lit(0))).first()
+    least = totals[0] // SHARE + FEW
+    common = staged(words.where(F.col("wn") >= least).select("word", F.col("wn").alias("hn"), F.col("wt").alias("ht")), "common")
+    heads = staged(words.where(F.col("cn") >= least).select(F.col("word").alias("before"), "cn", "ct"), "heads")
+    firsts, seconds = ([r[0] for r in df.select(df.columns[0]).collect()] for df in (heads, common))
+    found = frequent_pairs(texts, firsts, seconds, least) if firsts and seconds else common.select(F.col("word").alias("before"), "word", F.col("hn").alias("pn"), F.col("ht").alias("pt")).limit(0)
+    pairs = staged(found, "frequent")
+    judged = flagged.select("th", "target", "_text")
+    parts = [staged(costs(judged, words, common, heads, pairs, totals, known, part), "sums") for part in range(PASSES)]
+    drop_staged(words, common, heads, pairs)
+    # Rows of equal text and target are one group; their mean is that of each.
     mean = lambda c: (F.sum(c) / F.sum("k")).alias(c)
-    scores = reduce(DataFrame.union, sums).groupBy("th").agg(F.expr("sum(k) div sum(head)").alias("n"), mean("c0"), mean("c1"))
-    out = rows.select(id_col, th).join(scores, "th", "left")
+    scores = reduce(DataFrame.union, parts).groupBy("th", "target").agg(F.expr("sum(k) div sum(head)").alias("n"), mean("c0"), mean("c1"))
+    out = flagged.select(id_col, "th", "target").join(scores, ["th", "target"], "left")
     return out.select(id_col, F.coalesce("n", F.lit(0)).cast("long").alias("n_tokens"), F.col("c1").alias("target_cost"), F.col("c0").alias("background_cost"), (F.col("c1") - F.col("c0")).alias("score"))

@@ -20,54 +20,66 @@ def tokens(text):
 
 
 def plain_scores(rows, target):
-    """Exact bigram models with all words known, no buckets."""
+    """Exact bigram models with all words known; each row is judged by what all other rows add to a model."""
     vocab = {w for _, t in rows for w in tokens(t)}
-    model = []
+
+    def counted(words):
+        return Counter(words), Counter(zip([None, *words], words)), Counter([None, *words[:-1]] if words else [])
+
+    models = []
     for inside in (lambda i: True, lambda i: i in target):
-        single, pair, context = Counter(), Counter(), Counter()
+        model = (Counter(), Counter(), Counter())
         for i, t in rows:
             if inside(i):
-                words = tokens(t)
-                single.update(words)
-                for h, w in zip([None, *words], words):
-                    pair[h, w] += 1
-                    context[h] += 1
-        model.append((single, pair, context))
+                for whole, own in zip(model, counted(tokens(t))):
+                    whole.update(own)
+        models.append((inside, model))
     out = []
     for i, t in rows:
         words, cost = tokens(t), [0, 0]
-        for k, (single, pair, context) in enumerate(model):
+        for k, (inside, model) in enumerate(models):
+            single, pair, context = (Counter(whole) for whole in model)
+            if inside(i):
+                for whole, own in zip((single, pair, context), counted(words)):
+                    whole.subtract(own)
             for h, w in zip([None, *words], words):
-                p1 = (single[w] + ce.ADDED) / (sum(single.values()) + ce.ADDED * (len(vocab) + 1))
+                p1 = (single[w] + ce.ADDED) / (single.total() + ce.ADDED * (len(vocab) + 1))
                 cost[k] -= math.log(ce.BIGRAM * pair[h, w] / max(1, context[h]) + (1 - ce.BIGRAM) * p1)
         out.append((i, len(words), *((cost[1] / len(words), cost[0] / len(words)) if words else (None, None))))
     return out
 
 
-def test_scores_equal_exact_models(spark):
+def test_scores_equal_exact_models(spark, monkeypatch):
     rows, target = corpus(), set(range(0, 90, 6))
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, score string")
     ids = spark.createDataFrame([(i,) for i in [*target, 0, None, 12345]], "doc_id long")
-    got = ce.cross_entropy_difference(docs, ids).collect()
     near = lambda x: None if x is None else round(x, 9)
-    assert sorted([(r.doc_id, r.n_tokens, near(r.target_cost), near(r.background_cost)) for r in got], key=str) == sorted([(i, n, near(a), near(b)) for i, n, a, b in plain_scores(rows, target)], key=str)
+    want = sorted([(i, n, near(a), near(b)) for i, n, a, b in plain_scores(rows, target)], key=str)
+    # Without frequent words, with some, and with all words and bigrams frequent.
+    for few, share in ((1000, 1 << 16), (20, 100), (0, 1 << 30)):
+        monkeypatch.setattr(ce, "FEW", few)
+        monkeypatch.setattr(ce, "SHARE", share)
+        got = ce.cross_entropy_difference(docs, ids).collect()
+        assert sorted([(r.doc_id, r.n_tokens, near(r.target_cost), near(r.background_cost)) for r in got], key=str) == want
     by_id = {r.doc_id: r.score for r in got}
     assert np.mean([by_id[i] for i in range(0, 90, 3)]) < np.mean([by_id[i] for i in range(1, 90, 3)])
 
 
-def test_vocabulary_keeps_only_the_most_frequent(spark):
-    counts = spark.createDataFrame([(w, n) for w, n in [(1, 100), (2, 50), (3, 50), (4, 7), (5, 1)]], "word long, n long")
-    assert ce.vocabulary(counts, 4).tolist() == [1, 2, 3, 4]
-    assert ce.vocabulary(counts, 2).tolist() == [1]
-    assert ce.vocabulary(counts.limit(0), 2).tolist() == []
-
-
-def test_first_tokens_follow_the_start_mark():
+def test_first_and_last_tokens():
     piece = next(iter(tn.pieces(pa.array(["", "a b", None, "b"]))))
     w = tn.words(piece, lower=True)
-    known = np.unique(w.hash)
-    ids, before, _ = ce.bigrams(w, known)
-    assert before.tolist() == [3, int(ids[0]), 3] and ids[1] == ids[2]
+    before, last = ce.befores(w)
+    assert before.tolist() == [ce.START, w.hash[0], ce.START] and last.tolist() == [False, True, True]
+
+
+def test_long_text_and_ties(spark):
+    """A long text beside short ones, and rows that differ in their target flag alone."""
+    long = " ".join(f"l{i % 977}" for i in range(50_000))
+    rows = [(1, long), (2, "l1 l2 l3"), (3, "l1 l2 l3"), (4, "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in ce.cross_entropy_difference(docs, spark.createDataFrame([(2,)], "doc_id long")).collect()}
+    for i, n, a, b in plain_scores(rows, {2}):
+        assert got[i].n_tokens == n and abs(got[i].target_cost - a) < 1e-9 and abs(got[i].background_cost - b) < 1e-9
 
 
 def test_empty_tables(spark):
@@ -80,16 +92,10 @@ def test_empty_tables(spark):
 def test_rare_words_and_all_bigrams_count(spark):
     """More words than 32,768, most of them rare, leave every count exact."""
     rng = np.random.default_rng(5)
-    rows = [(i, [f"w{k}" for k in rng.integers(0, 60_000, 2_000)]) for i in range(60)]
+    rows = [(i, " ".join(f"w{k}" for k in rng.integers(0, 60_000, 2_000))) for i in range(60)]
     target = set(range(0, 60, 7))
-    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in ce.cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()}
-    known = len({w for _, t in rows for w in t})
-    assert known > 1 << 15
-    for name, inside in (("background_cost", range(60)), ("target_cost", target)):
-        texts = [t for i, t in rows if i in inside]
-        single, pair, context = Counter(w for t in texts for w in t), Counter(x for t in texts for x in zip([None, *t], t)), Counter(h for t in texts for h in [None, *t[:-1]])
-        total = single.total() + ce.ADDED * (known + 1)
-        for i, t in rows:
-            cost = -sum(math.log(ce.BIGRAM * pair[h, w] / max(1, context[h]) + (1 - ce.BIGRAM) * (single[w] + ce.ADDED) / total) for h, w in zip([None, *t], t))
-            assert abs(getattr(got[i], name) - cost / len(t)) < 1e-9
+    assert len({w for _, t in rows for w in t.split()}) > 1 << 15
+    for i, _, a, b in plain_scores(rows, target):
+        assert abs(got[i].target_cost - a) < 1e-9 and abs(got[i].background_cost - b) < 1e-9
