@@ -1,23 +1,28 @@
-"""Benchmark decontamination: item-sized windows over shared shingles, exact verification.
-
-A benchmark item of n words is compared with windows of n words of a document by
-the weighted Jaccard similarity of their five-word shingles. What the shingles
-that a window shares with the item can reach at most is summed for all windows
-at once; where that is enough the similarity itself is computed. Fingerprints
-decide nothing: with uneven weights they lose similar pairs.
-
-A window can only be similar to an item if they share a shingle. Laying a shared
-shingle of both on each other aligns the item with one window. A window before
-(or after) all aligned ones holds no shared shingle that the first (last) aligned
-one doesn't hold, so the windows looked at are the aligned ones and all between
-two of them that lie at most an item apart; the others cannot be the best.
+"""Benchmark decontamination: SimHash of item-sized windows, a multi-index of Hamming blocks, exact verification.
+
+A benchmark item of n words is compared with windows of n words of a document.
+Item and window are bags of five-word shingles, each weighing as often as it
+stands there. A fingerprint has BITS bits; a bit is the sign of the sum of plus
+or minus one for every shingle, so sums over windows roll along a text. Two bags
+of weighted Jaccard similarity SIMILAR share 8 of 9 shingles, and their
+fingerprints differ in 15 % of the bits on average (19 of 128, deviation 4).
+
+The index cuts fingerprints into BLOCKS blocks. Fingerprints at most RADIUS bits
+apart are in some block at most as many bits apart as allowed() tells, as
+otherwise they would differ in more than RADIUS bits in all. For each block and
+each of its values the index lists the items so near to it: looking up a
+window's blocks finds all items within RADIUS, besides few others. Every such
+pair is then verified by its exact similarity.
+
+Only windows of which enough shingles are in any item at all can be similar to
+one, so only these are fingerprinted.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
@@ -26,15 +31,16 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textnum as tn
-from .common import rows_where
+from .common import lean, rows_where
 
 SHINGLE, SIMILAR = 5, 0.8
-#: Bits in which fingerprints that Index.within finds differ at most, and blocks of bits they are looked up by; matches don't depend on them.
-RADIUS, BLOCKS = 22, 8
+#: Bits of a fingerprint, blocks they are looked up by, and bits in which a window and an item differ at most.
+BITS, BLOCKS, RADIUS = 128, 8, 30
+WIDTH = BITS // BLOCKS
 #: Items indexed at a time; the documents are scanned once for each such part of the benchmark.
-ITEMS = 20_000
-#: Entries of the quick table that tells most shingles are in no item, and shingle bits held at a time.
-QUICK, HELD = 1 << 22, 1 << 15
+ITEMS = 4_000
+#: Entries of the quick table that tells most shingles are in no item; shingles whose bits are summed and pairs that are compared at a time.
+QUICK, HELD, PAIRS = 1 << 22, 1 << 14, 1 << 20
 
 #: Words here are runs of ASCII letters, digits and non-ASCII characters, in lower case: punctuation doesn't hide a copy.
 APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
@@ -45,182 +51,181 @@ def shingles(texts: tn.Texts) -> tuple[tn.Words, np.ndarray, np.ndarray]:
     return found, *tn.windows(found, SHINGLE)
 
 
-def simhash(hashes: np.ndarray, weights: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Fingerprints of runs hashes[first[i]:first[i + 1]]: a bit is set if the weight of shingles with it exceeds that of those without."""
-    out = []
-    at = 0
-    while at < len(first) - 1:
-        end = max(at + 1, int(np.searchsorted(first, first[at] + HELD, "right")) - 1)
-        h, w = hashes[first[at] : first[end]], weights[first[at] : first[end]]
-        signed = (np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).astype(np.float32) * 2 - 1) * w[:, None]
-        total = np.add.reduceat(signed, first[at:end] - first[at], axis=0)
-        out.append(np.packbits(total > 0, axis=1).view(np.uint64)[:, 0])
-        at = end
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def needed(a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
+    """Shingles that bags of a and b shingles at least share if they are similar."""
+    return np.ceil(SIMILAR / (1 + SIMILAR) * (a + b) - 1e-9).astype(np.int64)
+
+
+def signs(h: np.ndarray) -> np.ndarray:
+    """(shingles, BITS): plus or minus one by the bits of a shingle's hash."""
+    words = np.stack([h if k == 0 else tn.mixed(h + np.uint64(k)) for k in range(BITS // 64)], axis=1)
+    return np.unpackbits(words.view(np.uint8), axis=1).astype(np.int8) * 2 - 1
+
+
+def fingerprints(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """(runs, BITS // 64): fingerprints of the runs h[start:end], start in order: a bit is set if more shingles have it than not."""
+    out, at = np.zeros((len(start), BITS // 64), np.uint64), 0
+    while at < len(start):
+        to = max(at + 1, int(np.searchsorted(start, start[at] + HELD)))
+        low, high = start[at], end[at:to].max()
+        total = np.zeros((high - low + 1, BITS), np.int32)
+        np.cumsum(signs(h[low:high]), axis=0, out=total[1:])
+        for i in range(at, to, HELD):
+            j = min(to, i + HELD)
+            sums = total[end[i:j] - low] - total[start[i:j] - low]
+            out[i:j] = np.packbits(sums > 0, axis=1).view(np.uint64)
+        at = to
+    return out
+
+
+def block_values(prints: np.ndarray) -> np.ndarray:
+    """(prints, BLOCKS): the values of each fingerprint's blocks."""
+    return prints.view(np.uint16).astype(np.int64)
+
+
+def allowed() -> list[int]:
+    """Bits in which each block may differ: one more in every block would be more than RADIUS in all."""
+    spare = RADIUS - BLOCKS + 1
+    return [spare // BLOCKS + (b < spare % BLOCKS) for b in range(BLOCKS)]
+
+
+def near_values(bits: int) -> np.ndarray:
+    """What a block's value is combined with to give all values at most bits away."""
+    return np.array([sum(1 << b for b in some) for n in range(bits + 1) for some in combinations(range(WIDTH), n)], np.int64)
 
 
 @dataclass
 class Index:
-    """Items with at least SHINGLE words, longest postings first; all arrays but common grow with the part of the benchmark alone.
+    """Items with at least SHINGLE words; grows with the part of the benchmark alone.
 
-    keys: distinct shingles in order, df: items each is in; posting p of key k is
-    item[p] at offset[p], for post_first[k] <= p < post_first[k + 1]; sizes: words
-    of each item; common: shingles of more than one item of the whole benchmark, in
-    order, and the items each is in; prints: fingerprints; near[b][v]: items whose block b is close to v.
+    sizes: shingles of each item; keys: distinct shingles of all items, in order;
+    prints: fingerprints; lists: for each block, items near to each value, built
+    where they are first used: first[v] <= p < first[v + 1] are the places of value v.
     """
 
     ids: list
     sizes: np.ndarray
-    keys: np.ndarray
-    df: np.ndarray
-    post_first: np.ndarray
-    item: np.ndarray
-    offset: np.ndarray
     bags: list[Counter]
-    prints: np.ndarray
-    near: list[list[np.ndarray]]
+    keys: np.ndarray
     quick: np.ndarray
-    common: tuple[np.ndarray, np.ndarray]
-
-    def __post_init__(self):
-        self.weight = dict(zip(self.common[0].tolist(), (1 / self.common[1]).tolist(), strict=True))
-        self.totals = np.array([sum(n * self.weight.get(h, 1.0) for h, n in bag.items()) for bag in self.bags], np.float64)
+    prints: np.ndarray
+    lists: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
 
     @classmethod
-    def build(cls, ids: list, texts: list[str], common: tuple[np.ndarray, np.ndarray] | None = None) -> Index:
-        """common: that of the whole benchmark, where ids and texts are a part of it."""
-        kept_ids, sizes, runs = [], [], []
+    def build(cls, ids: list, texts: list[str]) -> Index:
+        kept, runs = [], []
         for piece in tn.pieces(pa.array(texts, pa.string())):
             found, at, h = shingles(piece)
             row = found.row[at]
             for r, n in enumerate(found.per_row()):
                 if n >= SHINGLE:
-                    kept_ids.append(ids[piece.first + r])
-                    sizes.append(int(n))
+                    kept.append(ids[piece.first + r])
                     runs.append(h[row == r])
-        lengths = np.array([len(r) for r in runs], np.int64)
-        all_h = np.concatenate(runs) if runs else np.zeros(0, np.uint64)
-        item = np.repeat(np.arange(len(runs)), lengths)
-        first = np.concatenate(([0], np.cumsum(lengths)))
-        offset = np.arange(len(all_h)) - np.repeat(first[:-1], lengths)
-        order = np.argsort(all_h, kind="stable")
-        keys, begin = np.unique(all_h[order], return_index=True)
-        post_first = np.append(begin, len(all_h))
-        df = np.array([len(np.unique(item[order][i:j])) for i, j in zip(post_first, post_first[1:], strict=False)], np.int64)
+        sizes = np.array([len(r) for r in runs], np.int64)
+        h = np.concatenate(runs) if runs else np.zeros(0, np.uint64)
+        end = np.cumsum(sizes)
         quick = np.zeros(QUICK, bool)
-        quick[(keys % np.uint64(QUICK)).astype(np.int64)] = True
-        out = cls(kept_ids, np.array(sizes, np.int64), keys, df, post_first, item[order], offset[order], [Counter(r.tolist()) for r in runs], np.zeros(0, np.uint64), [], quick, (keys[df > 1], df[df > 1]) if common is None else common)
-        out.prints = simhash(all_h, out.weights(all_h), first)
-        out.near = blocks(out.prints)
+        quick[(h % np.uint64(QUICK)).astype(np.int64)] = True
+        return cls(kept, sizes, [Counter(r.tolist()) for r in runs], np.unique(h), quick, fingerprints(h, end - sizes, end))
+
+    def known(self, h: np.ndarray) -> np.ndarray:
+        """Whether each shingle is in any item."""
+        out = self.quick[(h % np.uint64(QUICK)).astype(np.int64)]
+        maybe = np.flatnonzero(out)
+        if len(maybe):
+            out[maybe] = self.keys[np.searchsorted(self.keys, h[maybe]).clip(max=len(self.keys) - 1)] == h[maybe]
         return out
 
-    def weights(self, h: np.ndarray) -> np.ndarray:
-        """A shingle weighs 1 / (number of items it is in), and 1 in no item: what items have in common tells little."""
-        keys, df = self.common
-        if not len(keys):
-            return np.ones(len(h), np.float32)
-        at = np.searchsorted(keys, h).clip(max=len(keys) - 1)
-        return np.where(keys[at] == h, 1 / df[at], 1).astype(np.float32)
-
-    def within(self, fingerprint: int) -> np.ndarray:
-        """Items whose fingerprint is at most RADIUS bits away, all of them."""
-        width = 64 // BLOCKS
-        found = np.unique(np.concatenate([self.near[b][fingerprint >> (width * b) & ((1 << width) - 1)] for b in range(BLOCKS)]))
-        return found[np.bitwise_count(self.prints[found] ^ np.uint64(fingerprint)) <= RADIUS]
-
-
-def blocks(prints: np.ndarray) -> list[list[np.ndarray]]:
-    """For each block and each of its values, the items whose value there differs in at most RADIUS // BLOCKS bits."""
-    width = 64 // BLOCKS
-    flips = [sum(1 << b for b in some) for n in range(RADIUS // BLOCKS + 1) for some in combinations(range(width), n)]
+    def looked_up(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        if not self.lists:
+            item = np.arange(len(self.prints))
+            for value, bits in zip(block_values(self.prints).T, allowed(), strict=True):
+                flips = near_values(bits)
+                values = (value[:, None] ^ flips).ravel()
+                order = np.argsort(values, kind="stable")
+                first = np.searchsorted(values[order], np.arange((1 << WIDTH) + 1))
+                self.lists.append((first, np.repeat(item, len(flips))[order].astype(np.int32)))
+        return self.lists
+
+    def met(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (print, item) that the blocks bring together: all within RADIUS, and few others."""
+        pairs = []
+        for (first, items), value in zip(self.looked_up(), block_values(prints).T, strict=True):
+            n = first[value + 1] - first[value]
+            place = np.repeat(first[value] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            pairs.append(np.repeat(np.arange(len(prints)), n) * len(self.ids) + items[place])
+        both = np.unique(np.concatenate(pairs))
+        return both // len(self.ids), both % len(self.ids)
+
+    def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All (print, item) at most RADIUS bits apart."""
+        window, item = self.met(prints)
+        near = np.bitwise_count(prints[window] ^ self.prints[item]).sum(axis=1) <= RADIUS
+        return window[near], item[near]
+
+
+def windows(index: Index, found: tn.Words, at: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """(first shingle, shingles, item's shingles) of the windows of item size with enough known shingles to be similar to an item; a shorter text is one window."""
+    total = np.concatenate(([0], np.cumsum(index.known(h))))
+    hits = np.flatnonzero(np.diff(total))
+    if not len(hits):
+        return np.zeros((0, 3), np.int64)
+    row = found.row[at]
+    head, tail = np.searchsorted(row, row[hits]), np.searchsorted(row, row[hits], "right")
     out = []
-    for b in range(BLOCKS):
-        value = (prints >> np.uint64(width * b)).astype(np.int64) & ((1 << width) - 1)
-        order = np.argsort(value, kind="stable")
-        start = np.searchsorted(value[order], np.arange((1 << width) + 1))
-        lists = [order[start[v] : start[v + 1]] for v in range(1 << width)]
-        out.append([np.sort(np.concatenate([lists[v ^ f] for f in flips])) for v in range(1 << width)])
-    return out
-
-
-def similarity(a: Counter, b: Counter, weight: dict[int, float]) -> float:
-    """Weighted Jaccard similarity of two multisets of shingles."""
-    both = sum(min(n, b[h]) * weight.get(h, 1.0) for h, n in a.items() if h in b)
-    total = sum(n * weight.get(h, 1.0) for h, n in a.items()) + sum(n * weight.get(h, 1.0) for h, n in b.items())
-    return both / (total - both) if total > both else 1.0
-
-
-def candidates(index: Index, found: tn.Words, at: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Distinct (row, item, first word, words) of the windows whose shared shingles can make them similar to the item over which they lie."""
-    maybe = np.flatnonzero(index.quick[(h % np.uint64(QUICK)).astype(np.int64)])
-    if not len(maybe) or not len(index.keys):
-        return np.zeros((0, 4), np.int64)
-    key = np.searchsorted(index.keys, h[maybe]).clip(max=len(index.keys) - 1)
-    hit = index.keys[key] == h[maybe]
-    maybe, key = maybe[hit], key[hit]
-    n = index.post_first[key + 1] - index.post_first[key]
-    post = np.repeat(index.post_first[key] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    word = np.repeat(at[maybe], n)
-    row, size = found.row[word], index.sizes[index.item[post]]
-    head, tail = found.first[row], found.first[row + 1]
-    size = np.minimum(size, tail - head)
-    start = np.clip(word - index.offset[post], head, tail - size)
-    aligned = np.unique(np.stack([row, index.item[post], size, start], axis=1), axis=0)
-    row, item, size, start = aligned.T
-    step = np.ones(len(aligned), np.int64)
-    gap = start[1:] - start[:-1]
-    joined = (aligned[1:, :2] == aligned[:-1, :2]).all(axis=1) & (gap <= size[:-1])
-    step[:-1][joined] = gap[joined]
-    of = np.repeat(np.arange(len(aligned)), step)
-    start = start[of] + np.arange(len(of)) - (np.cumsum(step) - step)[of]
-    row, item, size = row[of], item[of], size[of]
-    # Weight of the window's shingles that the item holds, each as often as it stands there: no less than what both share.
-    span = len(found.hash) + 1
-    hits, back = np.unique(index.item[post] * span + word, return_index=True)
-    total = np.concatenate(([0], np.cumsum(np.repeat(index.weights(h[maybe]), n)[back], dtype=np.float64)))
-    most = total[np.searchsorted(hits, item * span + start + size - SHINGLE + 1)] - total[np.searchsorted(hits, item * span + start)]
-    own = np.concatenate(([0], np.cumsum(index.weights(h), dtype=np.float64)))
-    whole = own[np.searchsorted(at, start + size - SHINGLE + 1)] - own[np.searchsorted(at, start)] + index.totals[item]
-    able = most * (1 + SIMILAR) >= SIMILAR * whole - 1e-4
-    return np.unique(np.stack([row, item, start, size], axis=1)[able], axis=0)
+    for size in np.unique(index.sizes).tolist():
+        # A similar window lacks few shingles, so its first known one comes early.
+        early = size - int(needed(size, size))
+        whole = tail - head < size
+        places = (hits[~whole, None] - np.arange(early + 1)).ravel()
+        first = np.repeat(head[~whole], early + 1)
+        last = np.repeat(tail[~whole], early + 1) - size
+        start = np.unique(places[(places >= first) & (places <= last)])
+        start = start[total[start + size] - total[start] >= needed(size, size)]
+        out.append(np.stack([start, np.full(len(start), size), np.full(len(start), size)], axis=1))
+        short, one = np.unique(head[whole], return_index=True)
+        n = tail[whole][one] - short
+        able = total[short + n] - total[short] >= needed(n, size)
+        out.append(np.stack([short[able], n[able], np.full(able.sum(), size)], axis=1))
+    every = np.concatenate(out)
+    return every[np.argsort(every[:, 0], kind="stable")]
+
+
+def similarity(a: Counter, b: Counter) -> float:
+    """Weighted Jaccard similarity of two bags of shingles."""
+    both = sum(min(n, b[h]) for h, n in a.items() if h in b)
+    return both / (a.total() + b.total() - both)
 
 
 def matches(index: Index, texts: tn.Texts) -> dict[tuple[int, int], tuple[float, int, int]]:
     """(row, item) to (similarity, first word in the text, words) of the best window, the first one of several."""
-    found, at, h = shingles(texts)
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for row, item, word, size in candidates(index, found, at, h).tolist():
-        first = int(np.searchsorted(at, word))
-        s = similarity(Counter(h[first : first + size - SHINGLE + 1].tolist()), index.bags[item], index.weight)
-        if s >= SIMILAR and s > best.get((row, item), (0,))[0]:
-            best[row, item] = (s, word - int(found.first[row]), size)
+    if not len(index.ids):
+        return best
+    found, at, h = shingles(texts)
+    every = windows(index, found, at, h)
+    prints = fingerprints(h, every[:, 0], every[:, 0] + every[:, 1])
+    step = max(1, PAIRS // len(index.ids))
+    for low in range(0, len(every), step):
+        window, item = index.within(prints[low : low + step])
+        window += low
+        fits = index.sizes[item] == every[window, 2]
+        for w, k in zip(window[fits].tolist(), item[fits].tolist(), strict=True):
+            first, n, _ = every[w].tolist()
+            s = similarity(Counter(h[first : first + n].tolist()), index.bags[k])
+            row = int(found.row[at[first]])
+            if s >= SIMILAR - 1e-9 and s > best.get((row, k), (0,))[0]:
+                best[row, k] = (s, int(at[first] - found.first[row]), n + SHINGLE - 1)
     return best
 
 
-def shared_shingles(items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that more than one of items (item, text) holds, in order, and how many hold each."""
-
-    def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in found:
-            for piece in tn.pieces(batch.column(0)):
-                words, at, h = shingles(piece)
-                _, one = np.unique(np.stack([words.row[at].astype(np.uint64), h], axis=1), axis=0, return_index=True)
-                yield pa.RecordBatch.from_arrays([pa.array(h[one].view(np.int64))], ["h"])
-
-    seen = items.select("text").mapInArrow(batches, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").toPandas()
-    keys, n = seen["h"].to_numpy(np.int64).view(np.uint64), seen["n"].to_numpy(np.int64)
-    order = np.argsort(keys)
-    return keys[order], n[order]
-
-
 def indexes(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[Broadcast]:
     """The benchmark's parts of about ITEMS items, indexed and broadcast one after the other."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
     parts = max(1, -(-items.count() // ITEMS))
-    common = shared_shingles(items) if parts > 1 else None
     for part in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(Index.build([r.item for r in rows], [r.text for r in rows], common))
+        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Index.build([r.item for r in rows], [r.text for r in rows]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -236,6 +241,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     source, out = docs.select(id_col, F.col(text_col).cast("string")), None
     for shared in indexes(benchmark, item_col, item_text_col):
 
+        @lean
         def batches(found: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for batch in found:

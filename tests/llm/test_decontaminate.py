@@ -15,7 +15,6 @@ def grams(text):
 def plain_matches(docs, items):
     """Best weighted Jaccard similarity over all windows of an item's size."""
     bags = {i: grams(t) for i, t in items if grams(t)}
-    df = Counter(s for b in bags.values() for s in set(b))
     holders = defaultdict(set)
     for i, b in bags.items():
         for s in b:
@@ -27,10 +26,8 @@ def plain_matches(docs, items):
             n, want = len(bags[i]), Counter(bags[i])
             for j in range(max(1, len(run) - n + 1)):
                 have = Counter(run[j : j + n])
-                w = lambda s: 1 / df[s] if df[s] else 1
-                total = sum(max(have[s], want[s]) * w(s) for s in have | want)
-                value = sum(min(have[s], want[s]) * w(s) for s in have) / total
-                if value >= 0.8 and value > out.get((d, i), 0):
+                value = (have & want).total() / (have | want).total()
+                if value >= 0.8 - 1e-9 and value > out.get((d, i), 0):
                     out[d, i] = value
     return out
 
@@ -67,15 +64,62 @@ def test_all_and_only_similar_items_are_found():
         assert all(abs(got[k] - want[k]) < 1e-5 for k in want)
 
 
-def test_blocks_find_every_fingerprint_within_the_radius():
+def test_blocks_find_every_fingerprint_within_the_radius_and_few_others():
     rng = np.random.default_rng(2)
-    prints = rng.integers(0, 2**63, 300).astype(np.uint64)
-    index = dc.Index.build([], [])
-    index.prints, index.near = prints, dc.blocks(prints)
-    for p in prints[:40].tolist():
-        q = p ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(0, 23)), replace=False))
-        want = [i for i, x in enumerate(prints.tolist()) if (x ^ q).bit_count() <= dc.RADIUS]
-        assert index.within(q).tolist() == want
+    prints = rng.integers(0, 2**64, (300, 2), np.uint64)
+    index = dc.Index(list(range(300)), np.ones(300, np.int64), [], np.zeros(0, np.uint64), np.zeros(1, bool), prints)
+    whole = [int.from_bytes(p.tobytes(), "little") for p in prints]
+    asked = []
+    for p in whole[:60]:
+        asked.append(p ^ sum(1 << int(b) for b in rng.choice(128, int(rng.integers(0, 35)), replace=False)))
+    got = index.within(np.array([np.frombuffer(q.to_bytes(16, "little"), np.uint64) for q in asked]))
+    want = {(k, i) for k, q in enumerate(asked) for i, x in enumerate(whole) if (x ^ q).bit_count() <= dc.RADIUS}
+    assert set(zip(*(x.tolist() for x in got))) == want and len(want) > 40
+    # Of fingerprints that have nothing to do with each other the blocks bring few together.
+    other = rng.integers(0, 2**64, (400, 2), np.uint64)
+    assert len(index.met(other)[0]) < 0.1 * len(other) * len(prints)
+
+
+def test_recall_of_the_radius():
+    """How many of the pairs at a similarity the radius keeps: the figures in the README."""
+    rng = np.random.default_rng(3)
+    for similar, least in ((0.80, 0.985), (0.85, 0.998), (0.90, 0.999)):
+        both, found = 0, 0
+        for n in (9, 18, 36, 90):
+            shared = int(np.ceil(similar / (1 + similar) * 2 * n - 1e-9))
+            for _ in range(500):
+                core = rng.integers(0, 2**64, shared, np.uint64)
+                a, b = (np.concatenate((core, rng.integers(0, 2**64, n - shared, np.uint64))) for _ in range(2))
+                prints = dc.fingerprints(np.concatenate((a, b)), np.array([0, n]), np.array([n, 2 * n]))
+                both += 1
+                found += np.bitwise_count(prints[0] ^ prints[1]).sum() <= dc.RADIUS
+        print(similar, found / both)
+        assert found >= least * both
+
+
+def test_rolling_sums_equal_plain_fingerprints(monkeypatch):
+    rng = np.random.default_rng(4)
+    h = rng.integers(0, 2**64, 400, np.uint64)
+    start = np.sort(rng.integers(0, 380, 200))
+    end = np.minimum(400, start + rng.integers(1, 60, 200))
+    bits = dc.signs(h).astype(int)
+    want = [np.packbits(bits[i:j].sum(axis=0) > 0).view(np.uint64).tolist() for i, j in zip(start, end)]
+    for held in (1, 50, 1 << 14):
+        monkeypatch.setattr(dc, "HELD", held)
+        assert dc.fingerprints(h, start, end).tolist() == want
+
+
+def test_an_item_that_stands_ten_times_and_very_long_texts():
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in rng.integers(0, 10**6, 60)]
+    items = [(i, " ".join(words)) for i in range(10)]
+    index = dc.Index.build([i for i, _ in items], [t for _, t in items])
+    copy = list(words)
+    copy[55] = "changed"
+    long = [f"x{k}" for k in rng.integers(0, 10**6, 300_000)]
+    text = " ".join(long[:250_000] + copy + long[250_000:])
+    got = dc.matches(index, next(iter(tn.pieces(pa.array([text, "", None])))))
+    assert {i for _, i in got} == set(range(10)) and {w for _, w, _ in got.values()} <= set(range(249_994, 250_001))
 
 
 def test_operator_on_tables(spark):
