@@ -5,7 +5,7 @@ logarithmic term counts times inverse document frequency, at length one. Each
 language has CLUSTERS centroids, found by spherical k-means on a bounded sample
 of its texts; document frequencies are counted over all texts to learn from. The
 language of the centroid with the greatest cosine wins. A text that lies far
-farther from its centroid than the language's own texts do is rejected.
+farther from its centroid than other texts of the language is rejected.
 """
 
 from __future__ import annotations
@@ -21,18 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from . import textnum as tn
-from .common import rows_where, staged
+from .common import bounded, drop_staged, lean, rows_where, staged
 from .toxicity import held_out
 
-SIZE, LONGEST, CLUSTERS, ROUNDS = 4096, 3, 4, 12
-#: Texts of each language that its centroids are fitted on at most: those with the smallest hash of their id.
-FITTED_ROWS = 512
-#: Ids of chosen texts that are broadcast at most.
-BROADCAST_IDS = 100_000
-#: A text is rejected below this part of the cosine that all but a hundredth of the language's sample reach.
-SLACK, QUANTILE = 0.5, 0.01
-#: Letters from which on this holds in full; a shorter text has few n-grams and so a small cosine with any centroid, and its floor falls with the root of its letters.
-FULL = 200
+SIZE, LONGEST, CLUSTERS, ROUNDS, LEAST_SHARE = 4096, 3, 4, 12, 0.1
+#: Texts of each language that its centroids are fitted on at most: those with the smallest hash, of this many bytes at most. Languages learned at most; more are an error.
+FITTED_ROWS, FITTED_BYTES, LANGUAGES = 512, 1 << 16, 1_000
+#: Every so many-th text of the sample is kept from the centroids and tells how near the language's texts come.
+CALIBRATED = 4
+#: A text is rejected below this part of the cosine that half of these texts reach, for its length: see reach.
+SLACK = 0.68
+#: Letters at which a text's cosine with its centroid is 0.7 of that of a very long one.
+HALF = 120
 UNDETERMINED = "und"
 #: Bytes and rows of texts whose dense vectors are held at a time.
 PIECE_BYTES, PIECE_ROWS = 1 << 19, 128
@@ -82,22 +82,33 @@ def vectors(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def clustered(x: np.ndarray, k: int = CLUSTERS) -> np.ndarray:
-    """Unit centroids of at most k clusters of unit vectors: starts far apart, then mean and reassign."""
-    centers = [x.mean(axis=0)]
-    centers = [x[np.argmax(x @ centers[0])]]
-    while len(centers) < min(k, len(x)):
-        centers.append(x[np.argmin(np.max(x @ np.array(centers).T, axis=1))])
-    c = np.array(centers)
-    for _ in range(ROUNDS):
+    """Unit centroids of at most k clusters of unit vectors.
+
+    Starts lie at even ranks of nearness to the mean of all; then mean and
+    reassign. A cluster of less than LEAST_SHARE of the vectors is given up, its
+    members go to the others: a few odd texts are no way to write a language.
+    """
+    k = min(k, len(x))
+    c = x[np.argsort(x @ x.mean(axis=0), kind="stable")[(2 * np.arange(k) + 1) * len(x) // (2 * k)]]
+    for step in range(2 * ROUNDS):
         at = np.argmax(x @ c.T, axis=1)
+        if step == ROUNDS:
+            n = np.bincount(at, minlength=len(c))
+            c = c[(n >= LEAST_SHARE * len(x)) | (n == n.max())]
+            at = np.argmax(x @ c.T, axis=1)
         c = np.array([x[at == j].mean(axis=0) if (at == j).any() else c[j] for j in range(len(c))])
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     return c.astype(np.float32)
 
 
+def reach(n_letters: np.ndarray) -> np.ndarray:
+    """Part of a very long text's cosine that texts of so many letters come to: few n-grams cover little of a centroid."""
+    return np.sqrt(n_letters / (n_letters + HALF))
+
+
 @dataclass
 class Model:
-    """languages[j] is the language of centroids[j]; floors[j] the least cosine that is not rejected."""
+    """languages[j] is the language of centroids[j]; floors[j] the least cosine of a very long text that is not rejected."""
 
     idf: np.ndarray
     languages: list[str]
@@ -108,6 +119,7 @@ class Model:
 def document_frequencies(texts: DataFrame) -> tuple[np.ndarray, int]:
     """How many of all texts have each n-gram bucket, and how many texts there are."""
 
+    @lean
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(SIZE, np.int64), 0
         for batch in found:
@@ -129,20 +141,28 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     source = source.where("lang is not null and text rlike '\\\\p{L}'")
     seen, n = document_frequencies(source)
     idf = (np.log((1 + n) / (1 + seen)) + 1).astype(np.float32)
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    picked = source.select("id", "lang", F.xxhash64("id").alias("h")).withColumn("at", F.row_number().over(order)).where(F.col("at") <= FITTED_ROWS)
-    chosen = staged(picked.select("id", "lang").distinct(), "chosen")
-    small = chosen.count() <= BROADCAST_IDS  # FITTED_ROWS for each language: bounded, unless there are very many of these
-    sample = source.join(F.broadcast(chosen) if small else chosen, ["id", "lang"])
+    source = source.withColumn("th", F.xxhash64("text")).withColumn("h", F.xxhash64("id", "th").bitwiseAND(F.lit((1 << 62) - 1)))
+    sizes = staged(source.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), "languages")
+    if sizes.count() > LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {LANGUAGES} values")
+    # So many small hashes are kept that a language has enough, and no task sees more than a few times as many.
+    share = F.least(F.lit(1.0), 8.0 * FITTED_ROWS / F.col("n"))
+    few = source.join(F.broadcast(sizes), "lang").where((F.col("h") <= share * float(1 << 62)) & (F.octet_length("text") <= FITTED_BYTES))
+    rows = few.select("lang", "h", "id", "th").distinct()
+    picked = rows.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy("h", "id", "th"))).where(F.col("at") <= FITTED_ROWS)
+    chosen = staged(picked.select("lang", "id", "th"), "chosen")
+    sample = source.join(bounded(chosen, 32 + F.octet_length("lang")), ["lang", "id", "th"]).dropDuplicates(["lang", "id", "th"])
 
     def centers(key: tuple, found: pd.DataFrame) -> pd.DataFrame:
-        texts = sorted(found["text"])
-        x = np.concatenate([vectors(counts(p)[0], idf) for p in tn.pieces(pa.array(texts, pa.string()), PIECE_BYTES, PIECE_ROWS)])
-        c = clustered(x)
-        floor = SLACK * float(np.quantile((x @ c.T).max(axis=1), QUANTILE))
+        counted = [counts(p) for p in tn.pieces(pa.array(sorted(found["text"]), pa.string()), PIECE_BYTES, PIECE_ROWS)]
+        x, n_letters = vectors(np.concatenate([c for c, _ in counted]), idf), np.concatenate([k for _, k in counted])
+        apart = np.arange(len(x)) % CALIBRATED == CALIBRATED - 1 if len(x) >= 4 * CALIBRATED else np.ones(len(x), bool)
+        c = clustered(x[~apart] if not apart.all() else x)
+        floor = SLACK * float(np.median((x[apart] @ c.T).max(axis=1) / reach(np.maximum(n_letters[apart], 1))))
         return pd.DataFrame({"lang": [key[0]] * len(c), "center": [row.tolist() for row in c], "floor": floor})
 
     rows = sample.groupBy("lang").applyInPandas(centers, "lang string, center array<float>, floor double").collect()
+    drop_staged(sizes, chosen)
     rows = sorted(rows, key=lambda r: (r.lang, r.center))
     return Model(idf, [r.lang for r in rows], np.array([r.center for r in rows], np.float32).reshape(-1, SIZE), np.array([r.floor for r in rows]))
 
@@ -156,7 +176,7 @@ def judged(column: pa.Array, m: Model) -> tuple[list[str], np.ndarray, np.ndarra
         best = near.argmax(axis=1)
         score = np.clip(near[np.arange(len(texts)), best], 0, 1).astype(np.float64)
         known = (n_letters > 0) & bool(m.languages)
-        floor = (m.floors[best] if len(m.languages) else 0) * np.sqrt(np.minimum(1, n_letters / FULL))
+        floor = (m.floors[best] if len(m.languages) else 0) * reach(n_letters)
         names += [m.languages[j] if ok else UNDETERMINED for j, ok in zip(best, known, strict=True)]
         scores.append(np.where(known, score, 0.0))
         rejects.append(~known | (score < floor))
@@ -166,12 +186,14 @@ def judged(column: pa.Array, m: Model) -> tuple[list[str], np.ndarray, np.ndarra
 def predicted(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, lang_pred, score, rejected) for every row's whole text.
 
-    score is the cosine with the nearest centroid. A null text, one without a
+    score is the cosine with the nearest centroid; of equal ones the language that
+    comes first in order. A null text, one without a
     letter, and any text under a model without languages is und, with score 0,
     and rejected. Rows are judged one by one; repeated and null ids stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             names, score, rejected = judged(batch.column(1), shared.value)
