@@ -17,10 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import textnum as tn
+from .common import lean
 
 BUCKETS, DIMENSIONS, SHORTEST, LONGEST = 1 << 16, 8, 3, 5
 #: Labelled rows the model is fitted on at most: those with the smallest hash of their id.
 FITTED_ROWS = 6_000
+#: Bytes of text that it is fitted on at most.
+FITTED_BYTES = 64 << 20
 EPOCHS, BATCH, RATE, SHRINK, SPREAD = 10, 32, 1.0, 1e-6, 0.01
 #: From this score on a text counts as toxic.
 THRESHOLD = 0.3
@@ -175,14 +178,22 @@ def held_out(id_col: str) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", limit: int = FITTED_ROWS) -> Model:
-    """Fits on at most limit labelled rows that are not held out; rows without id or label are left out."""
+    """Fits on at most limit labelled rows that are not held out, and at most FITTED_BYTES of text; rows without id or label are left out.
+
+    Rows of docs that are equal in id and text count once, however many there are.
+    """
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id is not null and label in (0, 1)")
-    rows = rows.where(~held_out("id")).orderBy(F.xxhash64("id"), "id", "label").limit(limit)
+    rows = rows.where(~held_out("id")).distinct().orderBy(F.xxhash64("id"), "id", "label").limit(limit)
     # At most limit rows of two numbers, so the broadcast is bounded.
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(rows), "id")
-    table = picked.select("id", "text", "label").toArrow()
-    order = np.lexsort((table["label"].to_numpy(), table["id"].to_numpy(zero_copy_only=False)))
-    table = table.take(pa.array(order))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    named = texts.join(F.broadcast(rows), "id").withColumn("th", F.xxhash64("text"))
+    sizes = named.groupBy("id", "th", "label").agg(F.max(F.coalesce(F.octet_length("text"), F.lit(0))).alias("size"))
+    picked = sizes.orderBy(F.xxhash64("id"), "id", "label", "th").limit(limit).toArrow()
+    fits = np.cumsum(picked["size"].to_numpy()) <= FITTED_BYTES
+    chosen = docs.sparkSession.createDataFrame(picked.filter(pa.array(fits)), sizes.schema).drop("size")
+    table = texts.withColumn("th", F.xxhash64("text")).join(F.broadcast(chosen), ["id", "th"]).dropDuplicates(["id", "th", "label"]).toArrow()
+    keys = [table["label"].to_numpy(), table["th"].to_numpy(), table["id"].to_numpy(zero_copy_only=False)]
+    table = table.take(pa.array(np.lexsort(keys)))
     return fitted(table["text"].to_pylist(), table["label"].to_numpy())
 
 
@@ -191,6 +202,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
 
+    @lean
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             p = scores(batch.column(1), shared.value)
