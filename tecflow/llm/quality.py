@@ -17,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from . import textnum as tn
+from .common import lean
 from .crossentropy import HELD, Tally
 
-#: Words that make a language's reference.
-COMMON = 100
+#: Words that make a language's reference, and languages at most; more are an error.
+COMMON, LANGUAGES = 100, 1_000
 #: Least observations for a histogram to be judged, and the farthest distance kept.
 MIN_CHARS, MIN_WORDS = 200, 100
 FAR_CHARS, FAR_WORDS = 0.30, 0.45
@@ -118,6 +119,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
     """
     source = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null")
 
+    @lean
     def first(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chars: dict[str, np.ndarray] = {}
         tallies: dict[str, Tally] = {}
@@ -137,6 +139,8 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         yield from words_of(tallies)
         yield as_batch([(x, 0, k, int(c)) for x, row in chars.items() for k, c in enumerate(row) if c], ["lang", "kind", "key", "n"])
 
+    if source.select("lang").distinct().limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"{lang_col} has more than {LANGUAGES} values")
     counted = source.select("text", "lang").mapInArrow(first, "lang string, kind int, key long, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
     ranked = counted.withColumn("at", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "key"))).where((F.col("at") <= max(COMMON, N_CLASSES)) & ((F.col("kind") == 0) | (F.col("at") <= COMMON)))
     found = ranked.select("lang", "kind", "key", "n").collect()
@@ -148,6 +152,7 @@ def references(docs: DataFrame, text_col: str = "text", lang_col: str = "lang")
         if r.kind == 0:
             chars[place[r.lang], r.key] = r.n
 
+    @lean
     def second(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, np.ndarray] = {}
         for batch in found:
@@ -222,6 +227,7 @@ def judged(docs: DataFrame, known: References, id_col: str = "doc_id", text_col:
     """
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
+    @lean
     def batches(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in found:
             for texts in tn.pieces(batch.column(1)):

@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -72,3 +73,55 @@ def test_words_spread_thinly_over_partitions_are_counted_whole(spark):
     docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), "doc_id long, text string, lang string")
     want = tn.words(next(tn.pieces(pa.array([" ".join(f"all{k}" for k in range(100))])))).hash
     assert quality.references(docs).words.tolist() == sorted(want.tolist())
+
+
+def plain_class(c):
+    if ord(c) >= 128:
+        return ("lead", c.encode()[0])
+    for kind, some in (("digit", "0123456789"), ("blank", " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f"), ("stop", ".,;:'\"!?-()")):
+        if c in some:
+            return kind
+    return c.lower() if c.isalpha() else "sign" if 32 <= ord(c) < 127 else "control"
+
+
+def plain_distance(a, b):
+    p, q = ({k: n / sum(x.values()) for k, n in x.items()} for x in (a, b))
+    keys = p.keys() | q.keys()
+    mid = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in keys}
+    part = lambda x: sum(v * math.log2(v / mid[k]) for k, v in x.items() if v)
+    return math.sqrt(min(1, max(0, (part(p) + part(q)) / 2)))
+
+
+def test_verdicts_equal_brute_force_in_any_partitioning(spark):
+    """All documents of a table, distances and verdict, from plain counters; the same in 1 and in 40 partitions."""
+    source = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    rows = [(r.doc_id, r.text, r.lang) for r in source.collect()] + [(9001, "¡" * 300 + " ¿qué? " * 60, None), (9002, "zz yy xx " * 60, "en")]
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    key = lambda w: int(tn.words(next(tn.pieces(pa.array([w])))).hash.view(np.int64)[0])
+    chars, common = {}, {}
+    for _, t, lang in rows:
+        if lang:
+            chars.setdefault(lang, Counter()).update(map(plain_class, t or ""))
+            common.setdefault(lang, Counter()).update(words(t))
+    known = set()
+    for n in common.values():
+        least = sorted(n.values(), reverse=True)[: quality.COMMON][-1]
+        known |= set(sorted((w for w, k in n.items() if k >= least), key=lambda w: (-n[w], key(w)))[: quality.COMMON])
+    kept = lambda n: Counter({w if w in known else None: 0 for w in n}) + Counter({}) if not n else sum((Counter({w if w in known else None: k}) for w, k in n.items()), Counter())
+    references = {lang: (chars[lang], kept(common[lang])) for lang in sorted(chars)}
+    want = {}
+    for i, t, _ in rows:
+        c, n = Counter(map(plain_class, t or "")), Counter(words(t))
+        by = {lang: (plain_distance(c, a) if c else 1, plain_distance(kept(n), b) if n else 1) for lang, (a, b) in references.items()}
+        enough = (c.total() >= quality.MIN_CHARS, n.total() >= quality.MIN_WORDS)
+        excess = {lang: max(d / far if e else 0 for d, far, e in zip(ds, (quality.FAR_CHARS, quality.FAR_WORDS), enough)) for lang, ds in by.items()}
+        best = min(excess, key=excess.get)
+        want[i] = (by[best][0] if enough[0] else None, by[best][1] if enough[1] else None, not plain(t)[5] and excess[best] <= 1)
+    for parts in (1, 40):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(parts)
+        got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+        assert len(got) == len(rows)
+        for i, (a, b, ok) in want.items():
+            r = got[i]
+            assert r.kept == ok and all((x is None) == (y is None) and (x is None or abs(x - y) < 1e-9) for x, y in ((r.char_distance, a), (r.word_distance, b))), (i, r, want[i])
+    assert {ok for *_, ok in want.values()} == {True, False}
