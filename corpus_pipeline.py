@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tecflow.llm import decontaminate, language, lines, pieces, simhash
-from tecflow.llm.common import staged, table
+from tecflow.llm.common import drop_staged, staged, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,9 +14,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that equal or are similar to earlier ones; those that this leaves without a full line of their own go."""
+    """Documents without lines that equal or are similar to earlier ones; those that this leaves without a word go."""
     found = lines.deduplicated(docs)
-    return found.where((F.col("n_removed") == 0) | lines.has_line("text")).select(docs.columns)
+    return found.where((F.col("n_removed") == 0) | lines.has_word("text")).select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,5 +43,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = staged(stage(spark, docs, sf_dir), f"stage-{i}")
+        before, docs = docs, staged(stage(spark, docs, sf_dir), f"stage-{i}")
+        drop_staged(before)
     return docs
