@@ -173,4 +173,4 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with a null id stay.
     """
     found = near_duplicates(docs, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct()
-    return docs.join(found, docs[id_col] == F.col("gone"), "left_anti")
+    return docs.join(found, docs[id_col] == found["gone"], "left_anti")
