@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import crossentropy, decontaminate, language, lines, pieces, quality, simhash, token_counts, toxicity, urls
+from . import crossentropy, decontaminate, language, lines, pieces, quality, simhash, token_counts, toxicity, transducer, urls
 from .common import table
 
 
@@ -54,8 +54,12 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judged(table(spark, sf_dir, "pages"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_line_dedup, op3_token_counts, op4_decontaminate, op5_lm_score, op6_quality_rules, op7_pieces, op8_toxicity, op9_simhash, op10_url_filter)}
+    return {f.__name__: f for f in (op1_language, op2_line_dedup, op3_token_counts, op4_decontaminate, op5_lm_score, op6_quality_rules, op7_pieces, op8_toxicity, op9_simhash, op10_url_filter, op11_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
