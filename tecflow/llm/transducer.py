@@ -29,8 +29,8 @@ from .common import lean
 from .token_counts import PrefixCounter, stretches, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: States of the machine that a worker keeps, words whose ids it keeps and their longest length in bytes, ids decoded at a time.
-STATES, REMEMBERED, SHORT, TOGETHER = 1 << 17, 1 << 17, 48, 1 << 18
+#: What a worker keeps: states of the machine, words of at most SHORT bytes and their ids, pairs of tokens. Ids decoded at a time.
+STATES, WORDS, SHORT, REMEMBERED, TOGETHER = 1 << 17, 1 << 19, 48, 1 << 18, 1 << 18
 
 #: An unfinished guess: tokens since the last agreed one, bytes of the token that is being read.
 Guess = tuple[tuple[int, ...], bytes]
@@ -181,7 +181,7 @@ class Words(dict):
             ids.byteswap()
         ids = ids.tobytes()
         if len(data) <= SHORT:
-            if len(self) >= REMEMBERED:
+            if len(self) >= WORDS:
                 self.clear()
             self[word] = ids
         return ids
@@ -220,6 +220,8 @@ class Decoder:
                 state = UTF8[state][byte] if state >= 0 else -1
             self.known[rank], self.whole[rank] = True, state == 0  # whole: starts and ends between characters
         self.token = pa.array(tokens, pa.large_binary())
+        #: For bytes held and a token after them: whole characters, bytes held then, state.
+        self.steps: dict[tuple[bytes, int], tuple[bytes, bytes, int]] = {}
         self.start()
 
     def start(self) -> None:
@@ -254,16 +256,23 @@ class Decoder:
         torn = np.flatnonzero(~self.whole[ids])
         if not len(torn) and not self.held:
             return bytes(data)
-        out, at = [], 0
-        while at < len(ids):
-            if self.held or not self.whole[ids[at]]:
-                until = at + 1
-                out.append(self.read(data[ends[at] : ends[until]]))
-            else:
-                k = int(np.searchsorted(torn, at))
-                until = int(torn[k]) if k < len(torn) else len(ids)
-                out.append(data[ends[at] : ends[until]])
-            at = until
+        out, at, n, ends = [], 0, len(ids), ends - ends[0]
+        for k in ([0] if self.held else []) + torn.tolist():
+            if k < at:
+                continue
+            if k > at:
+                out.append(data[ends[at] : ends[k]])
+            at = k
+            while at < n and (self.held or not self.whole[ids[at]]):
+                step = (self.held, int(ids[at]))
+                if step not in self.steps:
+                    if len(self.steps) >= REMEMBERED:
+                        self.steps.clear()
+                    self.steps[step] = self.read(data[ends[at] : ends[at + 1]]), self.held, self.state
+                written, self.held, self.state = self.steps[step]
+                out.append(written)
+                at += 1
+        out.append(data[ends[at] :])
         return b"".join(out)
 
     def end(self) -> bytes:
