@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import crossentropy, decontaminate, language, lines, pieces, quality, simhash, token_counts, toxicity, transducer, urls
+from . import centroids, crossentropy, decontaminate, language, lines, manifest, pieces, quality, simhash, token_counts, toxicity, transducer, urls
 from .common import table
 
 
@@ -58,9 +58,17 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transducer.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_line_dedup, op3_token_counts, op4_decontaminate, op5_lm_score, op6_quality_rules, op7_pieces, op8_toxicity, op9_simhash, op10_url_filter, op11_byte_bpe)}
+    return {f.__name__: f for f in (op1_language, op2_line_dedup, op3_token_counts, op4_decontaminate, op5_lm_score, op6_quality_rules, op7_pieces, op8_toxicity, op9_simhash, op10_url_filter, op11_byte_bpe, op12_centroids, op13_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": lines.SQL}
+    return {"op2_line_dedup": lines.SQL, "op12_centroids": centroids.SQL, "op13_manifest": manifest.SQL}
