@@ -19,14 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset a new one is set on one machine, and on a cluster it is an error."""
+    """The folder named by spark.checkpoint.dir, or else the context's; where neither is set a new one becomes the context's on one machine, and on a cluster it is an error."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="tecflow-")
         spark.sparkContext.setCheckpointDir(known)
-        spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
 
 
