@@ -24,8 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not known:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        known = "file://" + tempfile.mkdtemp(prefix="tecflow-")
-        spark.sparkContext.setCheckpointDir(known)
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tecflow-"))
+        known = spark.sparkContext.getCheckpointDir()
     return known.rstrip("/")
 
 
