@@ -56,6 +56,29 @@ def side_by_side(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([np.concatenate((r, np.full(size.max() - len(r), r[-1]))) for r in rows]), size
 
 
+#: Values that series side by side may have with their padding, in parts of what they have without, and for which that doesn't matter.
+PADDED, SMALL = 2, 1 << 14
+
+
+def by_length(rows: list[np.ndarray], program: Callable[[list[np.ndarray]], list[np.ndarray]]) -> list[np.ndarray]:
+    """program over bands of series of like length: padding at most doubles a band, or stays small."""
+    out: list[np.ndarray] = [np.empty(0)] * len(rows)
+    order = sorted(range(len(rows)), key=lambda k: len(rows[k]))
+    at = 0
+    while at < len(order):
+        end, held = at, 0
+        while end < len(order):
+            size = len(rows[order[end]])
+            if end > at and size * (end + 1 - at) > max(SMALL, PADDED * (held + size)):
+                break
+            held, end = held + size, end + 1
+        band = order[at:end]
+        for k, r in zip(band, program([rows[k] for k in band]), strict=True):
+            out[k] = r
+        at = end
+    return out
+
+
 def filtered(b: np.ndarray, a: np.ndarray, x: np.ndarray, memory: np.ndarray) -> np.ndarray:
     """Filters all rows of x at once, one step of time after the other; memory: (rows, len(a) - 1)."""
     out, z = np.empty_like(x), memory.copy()
@@ -133,7 +156,7 @@ def band_filtered(df: DataFrame, keys: Names, order: Names, value: str, low: flo
     def program(series: list[np.ndarray]) -> list[np.ndarray]:
         found = [np.full((len(x), 1), np.nan) for x in series]
         able = [k for k, x in enumerate(series) if len(x) > least and np.isfinite(x).all()]
-        done = zero_phase(b, a, [without_trend(series[k][:, 0], 3) for k in able], [min(3 * len(a), len(series[k]) - 1) for k in able])
+        done = by_length([without_trend(series[k][:, 0], 3) for k in able], lambda band: zero_phase(b, a, band, [min(3 * len(a), len(x) - 1) for x in band]))
         for k, y in zip(able, done, strict=True):
             found[k][:, 0] = y
         return found
@@ -195,7 +218,7 @@ def kalman_levels(series: list[np.ndarray], process: float, noise: float) -> lis
 
 def kalman(df: DataFrame, keys: Names, order: Names, value: str, process: float, noise: float) -> DataFrame:
     """df with level and variance of each series."""
-    return by_series(df, keys, order, [value], ["level", "variance"], lambda series: kalman_levels(series, process, noise))
+    return by_series(df, keys, order, [value], ["level", "variance"], lambda series: by_length(series, lambda band: kalman_levels(band, process, noise)))
 
 
 def trimmed_fit(x: np.ndarray, y: np.ndarray, scatter: float = 3.0, rounds: int = 10) -> np.ndarray:

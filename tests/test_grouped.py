@@ -104,3 +104,19 @@ def test_outliers_leave_the_fit():
     y[[5, 40]] += 50
     keep = P.trimmed_fit(x, y)
     assert not keep[5] and not keep[40] and keep.sum() == 58
+
+
+def test_one_long_and_many_short_series_need_no_more_room():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    series = [rng.normal(size=(n, 1)) for n in [1] * 8000 + [8000] + [3] * 50]
+    program = lambda band: P.kalman_levels(band, 1.0, 4.0)
+    tracemalloc.start()
+    got = P.by_length(series, program)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20
+    for k in (0, 7999, 8000, 8001, 8050):
+        assert np.array_equal(got[k], program([series[k]])[0])
+    assert P.by_length([], program) == []
