@@ -166,7 +166,7 @@ def chao_wet(temperature_k: Column, vapour_hpa: Column, lapse_k_m: float = 0.006
     return 1.63e2 * F.pow(vapour_hpa, 1.23) / F.pow(temperature_k, 2) + 2.05e2 * lapse_k_m * F.pow(vapour_hpa, 1.46) / F.pow(temperature_k, 3)
 
 
-def continued_fraction(elevation: Column, a: float, b: float, c: float) -> Column:
+def continued_fraction(elevation: Column, a: Column | float, b: Column | float, c: Column | float) -> Column:
     """The usual mapping of zenith delays, one at the zenith."""
     s = F.sin(elevation)
     return (1 + a / (1 + b / (1 + c))) / (s + a / (s + b / (s + c)))

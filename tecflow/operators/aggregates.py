@@ -133,3 +133,26 @@ def dilution(df: DataFrame, keys: Names, east: Column, north: Column, up: Column
     clock = 1 / F.col("sats") + sum((mean[a] * mean[b] * inverse[a + b] * (1 if a == b else 2) for a, b in pairs), F.lit(0.0))
     ok = (F.col("sats") >= 4) & (F.abs(det) > 1e-12)
     return sums.select(*keys, "sats", F.when(ok, F.sqrt(position)).alias("pdop"), F.when(ok, F.sqrt(clock)).alias("tdop"), F.when(ok, F.sqrt(position + clock)).alias("gdop"))
+
+
+def counted(df: DataFrame, keys: Names, conditions: dict[str, Column], total: str | None = None) -> DataFrame:
+    """For each of keys the rows for which each condition holds, and with total all rows; a null condition does not hold."""
+    counts = [F.count_if(c).alias(name) for name, c in conditions.items()]
+    return df.groupBy(*keys).agg(*([F.count("*").alias(total)] if total else []), *counts)
+
+
+def present(df: DataFrame, keys: Names, values: dict[str, Column]) -> DataFrame:
+    """For each of keys 1 where any row has a value, else 0; zero and NaN stand for a missing measurement, false for no."""
+    there = lambda c: F.coalesce((c.cast("double") != 0) & ~F.isnan(c.cast("double")), F.lit(False))
+    return df.groupBy(*keys).agg(*[F.max(there(c).cast("long")).alias(name) for name, c in values.items()])
+
+
+def bounding_box(df: DataFrame, keys: Names, lat: str, lon: str, margin: float = 5.0) -> DataFrame:
+    """For each of keys south, north, west and east of its places with a margin in degrees, within the globe; not for places on both sides of the date line."""
+    low, high = (lambda c, x: F.greatest(F.min(c) - margin, F.lit(x))), (lambda c, x: F.least(F.max(c) + margin, F.lit(x)))
+    return df.groupBy(*keys).agg(low(lat, -90).alias("south"), high(lat, 90).alias("north"), low(lon, -180).alias("west"), high(lon, 180).alias("east"))
+
+
+def matrix(df: DataFrame, row: str, column: str, columns: list, value: str) -> DataFrame:
+    """One line for each row and one column for each listed column; values of the same cell are added, missing cells are null."""
+    return df.groupBy(row).agg(*[F.sum(F.when(F.col(column) == c, F.col(value))).alias(str(c)) for c in columns])

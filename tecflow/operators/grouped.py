@@ -53,7 +53,7 @@ def steady_state(b: np.ndarray, a: np.ndarray) -> np.ndarray:
 def side_by_side(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Series as the rows of one array, filled up with their last values, and their lengths."""
     size = np.array([len(r) for r in rows])
-    return np.stack([np.concatenate((r, np.full(size.max() - len(r), r[-1]))) for r in rows]), size
+    return np.stack([np.concatenate((r, np.repeat(r[-1:], size.max() - len(r), axis=0))) for r in rows]), size
 
 
 #: Values that series side by side may have with their padding, in parts of what they have without, and for which that doesn't matter.
@@ -202,6 +202,67 @@ def arcs_by_feedback(df: DataFrame, keys: Names, order: Names, lane: str, geomet
     return df.groupBy(*keys).applyInPandas(one, T.StructType([*df.schema.fields, T.StructField(out, T.LongType())]))
 
 
+def restarted_slips(series: list[np.ndarray], waves: tuple[float, float], back: int, drift: float) -> list[np.ndarray]:
+    """(slip, cycles 1, cycles 2) by row, of many arcs at once: wide lane (cycles), geometry-free phase (m) and elevation (degrees) of each row.
+
+    Sums from the arc's start give mean and deviation of any stretch, so that a step
+    of time needs no look back but where each arc's stretch begins.
+    """
+    x, size = side_by_side([np.column_stack([s[:, 0] - s[:, 0].mean(), s[:, 1:]]) for s in series])
+    lane, free, elevation = x[..., 0], x[..., 1], x[..., 2]
+    rows, n = lane.shape
+    one = np.concatenate((np.zeros((rows, 1)), np.cumsum(lane, axis=1)), axis=1)
+    two = np.concatenate((np.zeros((rows, 1)), np.cumsum(lane * lane, axis=1)), axis=1)
+    each, start, out = np.arange(rows), np.zeros(rows, int), np.zeros((rows, n, 3))
+
+    def stretch(first: np.ndarray, end: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """Mean and deviation of rows first to end."""
+        count = end - first
+        total, square = one[each, end] - one[each, first], two[each, end] - two[each, first]
+        mean = total / np.maximum(count, 1)
+        return mean, np.sqrt(np.maximum(square - total * mean, 0) / np.maximum(count - 1, 1))
+
+    noise = (2 * (0.0027**2 + 0.0017**2)) ** 0.5
+    for i in range(1, n):
+        first = np.maximum(start, i - back)
+        mean, spread = stretch(first, i)
+        young = start == i - 1
+        spread = np.where(young, stretch(start, i + 1)[1], spread)
+        off = np.maximum(np.abs(mean - lane[:, i]), 1) > 5 * spread
+        leap = np.abs(free[:, i - 1] - free[:, i]) > 4 * np.maximum(noise * (1 + 10 * np.exp(-elevation[:, i] / 10)), 0.15) + drift
+        slip = ((off & (stretch(start, size)[1] > 0.6)) | leap) & (i < size)
+        a, b = lane[:, i - 1] - lane[:, i], free[:, i - 1] - free[:, i]
+        n1 = (b - waves[1] * a) / (waves[0] - waves[1])
+        cycles = np.rint(np.column_stack([n1, n1 - a]))
+        out[:, i, 0] = slip
+        out[:, i, 1:] = np.where((slip & (cycles != 0).all(axis=1))[:, None], cycles, 0)
+        start = np.where(slip, i, start)
+    return [r[:n] for r, n in zip(out, size, strict=True)]
+
+
+def slips_with_restart(df: DataFrame, keys: Names, order: Names, lane: str, free: str, elevation: str, phases: Names, waves: tuple[float, float], back: int = 30, drift: float = 5 * 30 / 3600) -> DataFrame:
+    """df with slip, and fixed1 and fixed2, the phases (m) with the whole cycles of all slips so far of their arc (keys) added.
+
+    A slip is a jump of the geometry-free phase over 0.6 m, or more where noise at that
+    elevation and drift allow it; or a wide lane off the mean of up to back rows by over five
+    deviations, and by a cycle at least, where the rest of the arc scatters over 0.6. After a slip
+    means and deviations start anew. Both lane and geometry-free jump give the cycles; where one
+    of them is zero the phases stay. lane is in cycles, elevation in degrees. An arc
+    with a value missing is left as it is.
+    """
+
+    def program(series: list[np.ndarray]) -> list[np.ndarray]:
+        found = [np.zeros((len(x), 3)) for x in series]
+        able = [k for k, x in enumerate(series) if np.isfinite(x).all()]
+        for k, y in zip(able, by_length([series[k] for k in able], lambda band: restarted_slips(band, waves, back, drift)), strict=True):
+            found[k] = y
+        return [np.column_stack([y[:, 0], np.cumsum(y[:, 1:], axis=0)]) for y in found]
+
+    done = by_series(df, keys, order, [lane, free, elevation], ["_slip", "_n1", "_n2"], program)
+    fixed = {f"fixed{k}": F.col(p) + F.col(f"_n{k}") * wave for k, (p, wave) in enumerate(zip(phases, waves, strict=True), 1)}
+    return done.withColumns({"slip": F.col("_slip") > 0, **fixed}).drop("_slip", "_n1", "_n2")
+
+
 def kalman_levels(series: list[np.ndarray], process: float, noise: float) -> list[np.ndarray]:
     """(level, variance) by row of a random walk seen in noise, for many series at once; gaps only predict."""
     x, size = side_by_side([s[:, 0] for s in series])

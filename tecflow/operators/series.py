@@ -208,3 +208,44 @@ def dense(df: DataFrame, keys: Names, epoch: str, first: int, last: int) -> Data
     """df with a row for every epoch from first to last of every key, so that row frames span equal times."""
     axis = df.select(*keys).distinct().withColumn(epoch, F.explode(F.sequence(F.lit(first), F.lit(last))))
     return axis.join(df, [*keys, epoch], "left")
+
+
+def slips_of_three(df: DataFrame, keys: Names, order: Names, phases: Names, codes: Names, carriers: tuple[float, float, float], lane_noise: float = 0.25, phase_noise: float = 0.01, limit: float = 16.0) -> DataFrame:
+    """Cycle slips on three carriers against the row before: slip1, slip2, slip3 (whole cycles) and cost, and of phases fixed1, fixed2, fixed3 (m), freed of all slips so far.
+
+    Both wide lanes of phases less codes give the differences of the slips, the
+    differences of phases their sizes. Around the rounded lanes all nine pairs of
+    whole numbers are tried, and the one is taken whose four jumps lie nearest, in
+    squares of lane_noise (cycles) and phase_noise (m). cut says that none lies
+    within limit: no slip is repaired there, and the arc ends. Keys include the arc;
+    without a row before, or with a null, slips are zero and cost is null.
+    """
+    light = 299792458.0
+    f, wave = carriers, [light / c for c in carriers]
+    w = along(keys, order)
+
+    def lane(i: int, j: int) -> Column:
+        phase = (f[i] * F.col(phases[i]) - f[j] * F.col(phases[j])) / (f[i] - f[j])
+        code = (f[i] * F.col(codes[i]) + f[j] * F.col(codes[j])) / (f[i] + f[j])
+        return (phase - code) * ((f[i] - f[j]) / light)
+
+    combined = {"_a": lane(0, 1), "_b": lane(1, 2), "_g": F.col(phases[0]) - F.col(phases[1]), "_h": F.col(phases[0]) - F.col(phases[2])}
+    rows = df.withColumns(combined)
+    rows = rows.withColumns({n: F.col(n) - F.lag(n).over(w) for n in combined})
+    a, b, g, h = (F.col(n) for n in combined)
+
+    def tried(da: int, db: int) -> Column:
+        one, two = F.rint(a) + da, F.rint(b) + db
+        n1 = F.rint((g - wave[1] * one) / (wave[0] - wave[1]))
+        n2, n3 = n1 - one, n1 - one - two
+        square = lambda x, noise: (x / noise) * (x / noise)
+        off = square(a - one, lane_noise) + square(b - two, lane_noise) + square(g - wave[0] * n1 + wave[1] * n2, phase_noise) + square(h - wave[0] * n1 + wave[2] * n3, phase_noise)
+        return F.struct(off.alias("cost"), n1.cast("long").alias("n1"), n2.cast("long").alias("n2"), n3.cast("long").alias("n3"))
+
+    whole = a.isNotNull() & b.isNotNull() & g.isNotNull() & h.isNotNull()
+    rows = rows.withColumn("_best", F.when(whole, F.array_min(F.array(*[tried(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]))))
+    rows = rows.withColumn("cost", F.col("_best.cost")).withColumn("cut", F.coalesce(F.col("cost") > limit, F.lit(False)))
+    rows = rows.withColumns({f"slip{k}": F.when(F.col("cut") | F.col("cost").isNull(), 0).otherwise(F.col(f"_best.n{k}")).cast("long") for k in (1, 2, 3)})
+    so_far = running(keys, order)
+    rows = rows.withColumns({f"fixed{k + 1}": F.col(phases[k]) - F.sum(f"slip{k + 1}").over(so_far) * wave[k] for k in range(3)})
+    return rows.drop(*combined, "_best")

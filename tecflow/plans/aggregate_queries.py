@@ -114,7 +114,9 @@ def station_fold(spark, sf_dir):
 @query("select cast(ts as date)::varchar as day, cast(hour(ts) as bigint) as hour, count_if(value > 245)::bigint as visible, count(distinct user_id) as seen from events group by all")
 def visible_count(spark, sf_dir):
     e = events(spark, sf_dir)
-    return e.groupBy(F.col("ts").cast("date").cast("string").alias("day"), F.hour("ts").cast("long").alias("hour")).agg(F.count_if(F.col("value") > 245).alias("visible"), F.countDistinct("user_id").alias("seen"))
+    e = e.select(F.col("ts").cast("date").cast("string").alias("day"), F.hour("ts").cast("long").alias("hour"), "user_id", "value")
+    seen = A.counted(e.select("day", "hour", "user_id").distinct(), ["day", "hour"], {}, "seen")
+    return A.counted(e, ["day", "hour"], {"visible": F.col("value") > 245}).join(seen, ["day", "hour"])
 
 
 @query("""with n as (select user_id, event_type, count(*) as n from events group by all)
@@ -138,7 +140,8 @@ def range_compress(spark, sf_dir):
 @query("""select user_id, max(event_type = 'error')::bigint as has_error, max(value > 480)::bigint as has_peak, min(value) as low, max(value) as high from events group by all""")
 def system_presence(spark, sf_dir):
     e = events(spark, sf_dir)
-    return e.groupBy("user_id").agg(F.max((F.col("event_type") == "error").cast("long")).alias("has_error"), F.max((F.col("value") > 480).cast("long")).alias("has_peak"), F.min("value").alias("low"), F.max("value").alias("high"))
+    flags = A.present(e, ["user_id"], {"has_error": F.col("event_type") == "error", "has_peak": F.col("value") > 480})
+    return flags.join(e.groupBy("user_id").agg(F.min("value").alias("low"), F.max("value").alias("high")), "user_id")
 
 
 @query("""with s as (select n_regionkey as region, (s_suppkey * 37) % 180 - 90 as lat, (s_suppkey * 73) % 360 - 180 as lon from supplier join nation on s_nationkey = n_nationkey)
@@ -146,24 +149,23 @@ select cast(region as bigint) as region, greatest(min(lat) - 5, -90) as south, l
 def bounding_box(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     s = s.select(F.col("n_regionkey").cast("long").alias("region"), ((F.col("s_suppkey") * 37) % 180 - 90).alias("lat"), ((F.col("s_suppkey") * 73) % 360 - 180).alias("lon"))
-    least, most = lambda c, x: F.greatest(F.min(c) - 5, F.lit(x)), lambda c, x: F.least(F.max(c) + 5, F.lit(x))
-    return s.groupBy("region").agg(least("lat", -90).alias("south"), most("lat", 90).alias("north"), least("lon", -180).alias("west"), most("lon", 180).alias("east"))
+    return A.bounding_box(s, ["region"], "lat", "lon")
 
 
 @query("select event_type, count(*) as n, count_if(value > 100)::bigint as high, count_if(value is null)::bigint as missing, sum(case when user_id % 2 = 0 then 1 else 0 end)::bigint as even from events group by all")
 def scan_summary(spark, sf_dir):
     e = events(spark, sf_dir)
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 100).alias("high"), F.count_if(F.col("value").isNull()).alias("missing"), F.sum(F.when(F.col("user_id") % 2 == 0, 1).otherwise(0)).alias("even"))
+    return A.counted(e, ["event_type"], {"high": F.col("value") > 100, "missing": F.col("value").isNull(), "even": F.col("user_id") % 2 == 0}, "n")
 
 
-@query("""select event_type, count(*) as n from events group by all having count(case when value > 480 then 1 end) > 10""")
+@query("""select event_type, count(*) as n from events group by all having count(case when value > 100 then 1 end) > 10""")
 def acceptance(spark, sf_dir):
-    return events(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"), F.count(F.when(F.col("value") > 480, 1)).alias("k")).where("k > 10").select("event_type", "n")
+    return A.counted(events(spark, sf_dir), ["event_type"], {"k": F.col("value") > 100}, "n").where("k > 10").select("event_type", "n")
 
 
 @query("""with r as (select l_suppkey, l_linenumber, sum(l_extendedprice) as v from lineitem group by all)
 select l_suppkey, round(sum(case when l_linenumber = 1 then v end), 2) as c1, round(sum(case when l_linenumber = 2 then v end), 2) as c2, round(sum(case when l_linenumber = 3 then v end), 2) as c3 from r group by all""")
 def epoch_matrix(spark, sf_dir):
     """The pivot behind fixed-width matrices: rows of one key, a column for each listed satellite."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").pivot("l_linenumber", [1, 2, 3]).agg(F.sum("l_extendedprice"))
+    li = A.matrix(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_linenumber", [1, 2, 3], "l_extendedprice")
     return li.select("l_suppkey", *[F.round(str(k), 2).alias(f"c{k}") for k in (1, 2, 3)])

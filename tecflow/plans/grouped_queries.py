@@ -60,3 +60,10 @@ def orbit_spline(spark, sf_dir):
     t = series(spark, sf_dir).select("event_id", F.lit("G01").alias("sat"), (F.col("event_id") * 83 % 86400).cast("double").alias("s"))
     anchors = spark.range(0, 97).select(F.lit("G01").alias("sat"), (F.col("id") * 900.0).alias("s"), (F.sin(F.col("id") * 900 / 5000.0) * 2e7).alias("x"))
     return P.splined(t, anchors, ["sat"], "s", ["x"], 900.0).select("event_id", rounded("x", "x", 3), rounded("x_rate", "x_rate", 5))
+
+
+@query()
+def slip_restart(spark, sf_dir):
+    """Slips and repaired phases with means that start anew after a slip; held against plain loops in the tests."""
+    df = series(spark, sf_dir).withColumns({"lane": F.col("value") / 25, "free": F.col("value") / 200, "elevation": F.lit(45.0), "l1": F.col("value") / 10, "l2": F.col("value") / 12})
+    return P.slips_with_restart(df, ["user_id"], ["ts", "event_id"], "lane", "free", "elevation", ["l1", "l2"], (0.19029, 0.24421)).select("event_id", "slip", F.round("fixed1", 6).alias("fixed1"), F.round("fixed2", 6).alias("fixed2"))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions import corrections as C, geometry as G, signal as X
+from ..functions import corrections as C, geometry as G, signal as X, troposphere as Z
 from ..operators import grouped as P, joins as J, series as S
 
 Names = Sequence[str]
@@ -57,7 +57,9 @@ def model_terms(states: DataFrame, pressure_hpa: float = 1013.25, order: Names =
     """states (of satellite_states, with mjd, the modified Julian date of t) with elevation, azimuth and the model's terms in metres; rows without a state go.
 
     range_m, clock_m, relativity_m, troposphere_m (slant, hydrostatic), bending_m,
-    tide_m, and windup, the wind-up angle in radians, which runs on along arc.
+    tide_m, and windup, the wind-up angle in radians, which runs on along arc. Columns
+    dry_a and dry_c (of troposphere.site_days) give the mapping of the dry delay,
+    pressure_hpa the pressure, where they are there and not null.
     """
     rows = states.where("sx is not null and clock_s is not null")
     lat, lon, height = G.geodetic(*vector("r"))
@@ -70,12 +72,16 @@ def model_terms(states: DataFrame, pressure_hpa: float = 1013.25, order: Names =
     north = (-F.sin("_lat") * F.cos("_lon"), -F.sin("_lat") * F.sin("_lon"), F.cos("_lat"))
     west = (F.sin("_lon"), -F.cos("_lon"), F.lit(0.0))
     sight = C.unit(C.plus(r, s, -1.0))
-    dry = C.zenith_dry(F.lit(pressure_hpa), F.col("_lat"), F.col("_height"))
+    pressure = F.coalesce(F.col("pressure_hpa"), F.lit(pressure_hpa)) if "pressure_hpa" in states.columns else F.lit(pressure_hpa)
+    dry = C.zenith_dry(pressure, F.col("_lat"), F.col("_height"))
+    slant = C.slant_delay(F.col("elevation"), dry, F.lit(0.0))
+    if "dry_a" in states.columns:
+        slant = F.coalesce(Z.dry_factor(F.col("elevation"), F.col("dry_a"), F.col("dry_c"), F.col("_height")) * dry, slant)
     terms = {
         "range_m": C.length(C.plus(s, r, -1.0)),
         "clock_m": -F.col("clock_s") * X.LIGHT,
         "relativity_m": -X.LIGHT * C.relativistic_clock(s, v),
-        "troposphere_m": F.when(F.col("elevation") > 0, C.slant_delay(F.col("elevation"), dry, F.lit(0.0))).otherwise(0.0),
+        "troposphere_m": F.when(F.col("elevation") > 0, slant).otherwise(0.0),
         "bending_m": C.bending(s, r),
         "tide_m": C.dot(C.body_tide(r, F.col("_lat"), sun, moon), sight),
         "_angle": C.windup_angle(s, sun, r, north, west),

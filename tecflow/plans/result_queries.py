@@ -27,10 +27,10 @@ def result_filters(spark, sf_dir):
     return R.reportable(R.matching(results(spark, sf_dir), {"system": "GLO", "metric": None}, {"station": "r"})).select("result_id")
 
 
-@query("select event_id from events where epoch(ts) % 86400 between 3600 and 40000 and (epoch(ts) % 86400 - 3600) % 4 = 0")
+@query("select event_id from events where floor(epoch(ts)) % 86400 between 3600 and 40000 and (floor(epoch(ts)) % 86400 - 3600) % 4 = 0")
 def time_slice(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    second = F.pmod(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6, F.lit(86400.0))
+    second = F.pmod(F.unix_seconds(F.col("ts").cast("timestamp")), F.lit(86400))
     return R.between(e, second, 3600, 40000, 4).select("event_id")
 
 

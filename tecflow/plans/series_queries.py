@@ -214,3 +214,43 @@ def roti_chain(spark, sf_dir):
     df = S.sliding_deviation(df, KEYS, ORDER, "rot", out="roti")
     df = S.arcs(df, KEYS, ORDER, F.col("roti").isNotNull())
     return shown(S.capped(S.without_anomalies(df, KEYS, ORDER, "roti", 100.0, 10), "roti", 500.0), "roti")
+
+
+F3 = (1575.42e6, 1227.60e6, 1176.45e6)
+LANES = {k: repr(v).replace("e+", "e") for k, v in {"w1": 299792458.0 / F3[0], "w2": 299792458.0 / F3[1], "w3": 299792458.0 / F3[2]}.items()}
+#: Phases and codes of three carriers from an event: slips where its number divides by 9, noise that both engines see.
+THREE = {
+    "n1": "floor(value) % 5 * case when event_id % 9 = 0 then 1 else 0 end", "n2": "floor(value / 3) % 4 * case when event_id % 9 = 0 then 1 else 0 end", "n3": "floor(value / 7) % 3 * case when event_id % 9 = 0 then 1 else 0 end",
+    "base": "20000.0e0 + event_id % 97", "delay": "0.002e0 * (event_id % 5)", "noise": "0.02e0 * (event_id % 11 - 5)",
+}
+
+
+def three_sql() -> str:
+    a, b, c = F3
+    light = 299792458.0
+    lane = lambda i, j: f"(({F3[i]} * l{i + 1} - {F3[j]} * l{j + 1}) / {F3[i] - F3[j]} - ({F3[i]} * c{i + 1} + {F3[j]} * c{j + 1}) / {F3[i] + F3[j]}) * {(F3[i] - F3[j]) / light!r}"
+    given = ", ".join(f"{text} as {name}" for name, text in THREE.items())
+    sums = ", ".join(f"sum(n{k}) over ({W} rows unbounded preceding) as s{k}" for k in (1, 2, 3))
+    return f"""with e as (select event_id, user_id, ts, cast(value as double) as value from events), g as (select *, {given} from e), s as (select *, {sums} from g),
+o as (select *, base - delay + {LANES['w1']} * s1 as l1, base - delay * {(a / b) ** 2!r} + {LANES['w2']} * s2 as l2, base - delay * {(a / c) ** 2!r} + {LANES['w3']} * s3 as l3,
+base + delay + noise as c1, base + delay * {(a / b) ** 2!r} - noise as c2, base + delay * {(a / c) ** 2!r} + noise / 2 as c3 from s),
+k as (select *, {lane(0, 1)} as la, {lane(1, 2)} as lb, l1 - l2 as lg, l1 - l3 as lh from o),
+d as (select *, la - lag(la) over ({W}) as a, lb - lag(lb) over ({W}) as b, lg - lag(lg) over ({W}) as g, lh - lag(lh) over ({W}) as h from k),
+t as (select d.*, round_even(a, 0) + x as na, round_even(b, 0) + y as nb from d, range(-1, 2) as p(x), range(-1, 2) as q(y) where a is not null),
+u as (select *, round_even((g - {LANES['w2']} * na) / ({LANES['w1']} - {LANES['w2']}), 0) as m from t),
+v as (select *, pow((a - na) / 0.25e0, 2) + pow((b - nb) / 0.25e0, 2) + pow((g - {LANES['w1']} * m + {LANES['w2']} * (m - na)) / 0.01e0, 2) + pow((h - {LANES['w1']} * m + {LANES['w3']} * (m - na - nb)) / 0.01e0, 2) as cost from u),
+m as (select event_id, min(struct_pack(cost := cost, m := m, na := na, nb := nb)) as best from v group by event_id)
+select event_id, coalesce(best.cost > 16, false) as cut, cast(case when best.cost <= 16 then best.m else 0 end as bigint) as slip1, cast(case when best.cost <= 16 then best.m - best.na else 0 end as bigint) as slip2,
+cast(case when best.cost <= 16 then best.m - best.na - best.nb else 0 end as bigint) as slip3 from e left join m using (event_id)"""
+
+
+@query(three_sql())
+def slip_three(spark, sf_dir):
+    """Slips on three carriers by the search over whole numbers."""
+    e = events(spark, sf_dir).withColumn("value", F.col("value").cast("double")).withColumns({name: F.expr(text).cast("double") for name, text in THREE.items()})
+    w, so_far = [299792458.0 / f for f in F3], S.running(KEYS, ORDER)
+    e = e.withColumns({f"s{k}": F.sum(f"n{k}").over(so_far) for k in (1, 2, 3)})
+    slow = [1.0, (F3[0] / F3[1]) ** 2, (F3[0] / F3[2]) ** 2]
+    e = e.withColumns({f"l{k + 1}": F.col("base") - F.col("delay") * slow[k] + w[k] * F.col(f"s{k + 1}") for k in range(3)})
+    e = e.withColumns({f"c{k + 1}": F.col("base") + F.col("delay") * slow[k] + F.col("noise") * (1.0, -1.0, 0.5)[k] for k in range(3)})
+    return S.slips_of_three(e, KEYS, ORDER, ["l1", "l2", "l3"], ["c1", "c2", "c3"], F3).select("event_id", "cut", "slip1", "slip2", "slip3")

@@ -120,3 +120,81 @@ def test_one_long_and_many_short_series_need_no_more_room():
     for k in (0, 7999, 8000, 8001, 8050):
         assert np.array_equal(got[k], program([series[k]])[0])
     assert P.by_length([], program) == []
+
+
+def plain_restart(lane, free, elevation, w1, w2, back=30, drift=5 * 30 / 3600):
+    """One arc, row after row, with means and deviations taken anew each time."""
+    n, start, slips, n1, n2 = len(lane), 0, [False], [0], [0]
+    noise = np.sqrt(2 * (0.0027**2 + 0.0017**2))
+    for i in range(1, n):
+        first = start if i - 30 < start else i - back
+        mean = np.mean(lane[first:i])
+        spread = np.std(lane[start : i + 1], ddof=1) if i - 2 < start else np.std(lane[first:i], ddof=1)
+        off = max(abs(mean - lane[i]), 1) > 5 * spread
+        leap = abs(free[i - 1] - free[i]) > 4 * max(noise * (1 + 10 * np.exp(-elevation[i] / 10)), 0.15) + drift
+        rest = lane[start:]
+        slip = bool((off and len(rest) > 1 and np.std(rest, ddof=1) > 0.6) or leap)
+        a, b = lane[i - 1] - lane[i], free[i - 1] - free[i]
+        one, two = np.rint(np.linalg.solve([[1, -1], [w1, -w2]], [a, b]))
+        fix = slip and one != 0 and two != 0
+        slips.append(slip)
+        n1.append(n1[-1] + (one if fix else 0))
+        n2.append(n2[-1] + (two if fix else 0))
+        start = i if slip else start
+    return slips, n1, n2
+
+
+def test_slips_with_restart_equal_plain_loops(spark):
+    rng, rows, want, w1, w2 = np.random.default_rng(9), [], {}, 0.19029, 0.24421
+    for k, n in enumerate([1, 2, 3, 40, 40, 90, 200]):
+        slip = rng.random(n) < 0.05
+        c1, c2 = np.cumsum(slip * rng.integers(-6, 7, n)), np.cumsum(slip * rng.integers(-6, 7, n))
+        l1, l2 = w1 * c1 + rng.normal(0, 0.002, n), w2 * c2 + rng.normal(0, 0.002, n)
+        lane, el = c1 - c2 + rng.normal(0, 0.2, n), rng.uniform(5, 85, n)
+        want[k] = (*plain_restart(lane, l1 - l2, el, w1, w2), l1, l2)
+        rows += [(k, i, *map(float, (lane[i], l1[i] - l2[i], el[i], l1[i], l2[i]))) for i in range(n)]
+    rows += [(50, 0, 1.0, None, 9.0, 1.0, 2.0), (50, 1, 99.0, 5.0, 9.0, 1.5, 2.5)]
+    df = spark.createDataFrame(rows, "arc int, t int, lane double, free double, elevation double, l1 double, l2 double").repartition(5)
+    found = 0
+    for r in P.slips_with_restart(df, ["arc"], ["t"], "lane", "free", "elevation", ["l1", "l2"], (w1, w2)).collect():
+        if r.arc == 50:
+            assert not r.slip and (r.fixed1, r.fixed2) == (r.l1, r.l2)
+            continue
+        slips, n1, n2, l1, l2 = want[r.arc]
+        found += r.slip
+        assert r.slip == slips[r.t]
+        assert abs(r.fixed1 - l1[r.t] - n1[r.t] * w1) < 1e-9 and abs(r.fixed2 - l2[r.t] - n2[r.t] * w2) < 1e-9
+    assert found > 8
+
+
+def test_slips_of_three_carriers_are_found_and_mended(spark):
+    from tecflow.operators import series as S
+
+    rng, f = np.random.default_rng(10), (1575.42e6, 1227.60e6, 1176.45e6)
+    wave, rows, truth = [299792458.0 / x for x in f], [], {}
+    for arc in range(6):
+        total = np.zeros(3, int)
+        for t in range(60):
+            step = rng.integers(-9, 10, 3) if t and rng.random() < 0.1 else np.zeros(3, int)
+            if t == 30 and arc == 2:
+                step = np.array([50, -40, 7])
+            total = total + step
+            base, iono = 2e7 + 300 * t, 3 + 0.002 * t
+            phase = [base - iono * (f[0] / x) ** 2 + w * n + rng.normal(0, 0.002) for x, w, n in zip(f, wave, total, strict=True)]
+            code = [base + iono * (f[0] / x) ** 2 + rng.normal(0, 0.05) for x in f]
+            truth[arc, t] = tuple(int(x) for x in step)
+            rows.append((arc, t, *map(float, phase), *map(float, code)))
+    rows += [(9, 0, 1.0, 2.0, 3.0, 1.0, 2.0, 3.0), (9, 1, None, 2.0, 3.0, 1.0, 2.0, 3.0), (9, 2, 1.0, 2.0, 3.0, 1.0, 2.0, 3.0), (10, 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), (10, 1, 0.1, 0.05, 0.0, 0.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "arc int, t int, l1 double, l2 double, l3 double, c1 double, c2 double, c3 double")
+    got = {(r.arc, r.t): r for r in S.slips_of_three(df, ["arc"], ["t"], ["l1", "l2", "l3"], ["c1", "c2", "c3"], f, limit=12.0).collect()}
+    for key, step in truth.items():
+        r = got[key]
+        assert not r.cut and (r.slip1, r.slip2, r.slip3) == step, key
+        assert (r.cost is None) == (key[1] == 0)
+    for arc in range(6):
+        first = got[arc, 0]
+        for t in range(60):
+            free = lambda r: (r.fixed1 - r.fixed2, r.fixed1 - r.fixed3)
+            assert all(abs(x - y) < 0.15 for x, y in zip(free(got[arc, t]), free(first), strict=True))
+    assert all(got[9, t].cost is None and got[9, t].slip1 == 0 and not got[9, t].cut for t in range(3))
+    assert got[10, 1].cut and got[10, 1].slip1 == 0 and got[10, 1].fixed1 == 0.1
