@@ -1,7 +1,8 @@
 """RINEX 2 and 3 observation files as one row per satellite and epoch.
 
-A file is one task's work: it is read whole through Spark's own reader, so any
-store Spark knows will do, and parsed in a grouped-map of batches.
+Files are read through Spark's own readers, so any store Spark knows will do.
+read_observations takes a file as one task's work; read_epochs cuts files of
+version 3 at their epochs, so that one large file is the work of many tasks.
 """
 
 from __future__ import annotations
@@ -179,6 +180,72 @@ def read_observations(spark: SparkSession, paths: str | list[str], systems: str
     return files(spark, paths).mapInPandas(parse, OBSERVATIONS)
 
 
+#: Headers that are broadcast at most, and bytes they may have; salts that epochs are dealt out by beyond that.
+HEADERS_SENT, HEADER_BYTES, SALTS = 200_000, 32 << 20, 64
+
+
+def epoch_blocks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(path, start, value): the text of each epoch of version 3, from behind its mark to before the next one; what is before the first one is the header. start: byte at which the piece of the file begins that it was read with."""
+    lines = spark.read.option("lineSep", "\n>").option("recursiveFileLookup", "true").text(paths)
+    return lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+
+
+def layouts(blocks: DataFrame, systems: str) -> DataFrame:
+    """(path, station, places) of the files of epoch_blocks: for each of systems the place of each of ROLES among its values, -1 for none."""
+
+    def parse(found: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in found:
+            rows = []
+            for path, text in zip(pdf["path"], pdf["value"], strict=True):
+                h = Header(iter(text.splitlines()))
+                places = {s: [h.places(s).get(r, -1) for r in ROLES] for s in systems if h.of(s)}
+                if h.modern:
+                    rows.append((path, h.station or base_name(path)[:4].upper(), places))
+            yield pd.DataFrame(rows, columns=["path", "station", "places"])
+
+    schema = "path string, station string, places map<string, array<int>>"
+    return blocks.where((F.col("start") == 0) & F.contains("value", F.lit("END OF HEADER"))).mapInPandas(parse, schema)
+
+
+def read_epochs(spark: SparkSession, paths: str | list[str], systems: str = "GREC", since: str | None = None, until: str | None = None, step: int = 30) -> DataFrame:
+    """OBSERVATIONS of files of version 3, as read_observations gives them, cut into pieces of spark.sql.files.maxPartitionBytes.
+
+    A task holds an epoch at a time. Epochs before since and from until on (times as
+    text) and other systems go before their values are read. Epochs with an event
+    flag, and files of other versions, give no rows. Headers come from the files' first pieces; if
+    there are few they are broadcast, otherwise epochs meet them by file and a salt.
+    """
+    blocks = epoch_blocks(spark, paths)
+    line = F.transform(F.split("value", "\n"), lambda x: F.rtrim(x))
+    parts = F.split(F.trim(F.substring(F.get("l", F.lit(0)), 2, 27)), " +")
+    part = lambda k: F.get(parts, F.lit(k)).try_cast("int")
+    flag, many = F.coalesce(F.trim(F.substring(F.get("l", F.lit(0)), 31, 1)).try_cast("int"), F.lit(0)), F.trim(F.substring(F.get("l", F.lit(0)), 32, 3)).try_cast("int")
+    rows = blocks.where(~F.contains("value", F.lit("END OF HEADER"))).select("path", line.alias("l")).where(flag <= 1)
+    second = F.round(F.get(parts, F.lit(5)).try_cast("double"), 6)
+    rows = rows.select("path", F.try_make_timestamp_ntz(*map(part, range(5)), F.lit(0)).alias("ts"), second.alias("second"), F.slice("l", F.lit(2), F.greatest(many, F.lit(0))).alias("l"))
+    rows = rows.withColumn("ts", F.timestamp_add("MICROSECOND", F.round(F.col("second") * 1e6).cast("long"), F.col("ts"))).where("ts is not null")
+    for bound, keep in ((since, lambda t: F.col("ts") >= t), (until, lambda t: F.col("ts") < t)):
+        if bound is not None:
+            rows = rows.where(keep(F.lit(bound).cast("timestamp_ntz")))
+    rows = rows.select("path", "ts", F.explode(F.filter("l", lambda x: F.contains(F.lit(systems), F.substring(x, 1, 1)) & (F.trim(x) != ""))).alias("v"))
+
+    heads = layouts(blocks, systems)
+    files_, size = heads.agg(F.count("*"), F.sum(F.length("path") + 64 * F.size("places"))).first()
+    if files_ <= HEADERS_SENT and (size or 0) <= HEADER_BYTES:
+        rows = rows.join(F.broadcast(heads), "path")
+    else:
+        salted = heads.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["path", "_salt"])
+    sat = F.replace(F.substring("v", 1, 3), F.lit(" "), F.lit("0"))
+    rows = rows.withColumns({"sat": sat, "at": F.col("places")[F.substring("v", 1, 1)]}).where("at is not null")
+    value = lambda k: F.nullif(F.trim(F.substr(F.col("v"), 4 + 16 * F.get("at", F.lit(k)), F.lit(14))).try_cast("double"), F.lit(0.0))
+    of_day = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.extract(F.lit("SECOND"), F.col("ts")).cast("double")
+    return rows.select(
+        "station", F.substring("sat", 1, 1).alias("system"), "sat", F.substring("sat", 2, 2).try_cast("int").alias("prn"), "ts", (F.rint(of_day / step) + 1).cast("long").alias("epoch"),
+        *[F.when(F.get("at", F.lit(k)) >= 0, value(k)).alias(role) for k, role in enumerate(ROLES)],
+    )
+
+
 def header_row(path: str, text: str) -> tuple:
     h = Header(iter(text.splitlines()))
     known = {k: v for k, v in h.types.items() if k in PRIORITIES or k == "*"}
