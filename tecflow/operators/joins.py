@@ -79,8 +79,15 @@ def interpolated(targets: DataFrame, anchors: DataFrame, keys: Names, time: str,
     return joined.select(*[joined[c] for c in targets.columns], *[weighted(v).alias(v) for v in values])
 
 
-def bracketed(targets: DataFrame, anchors: DataFrame, keys: Names, time: str, value: str) -> DataFrame:
-    """targets with value interpolated on the straight line between the anchors around them; beyond the ends, null."""
+def bracketed(targets: DataFrame, anchors: DataFrame, keys: Names, time: str, value: str, step: float | None = None) -> DataFrame:
+    """targets with value interpolated on the straight line between the anchors around them; beyond the ends, null.
+
+    Without step all rows of a key are one window. With step only its anchors are: the
+    span between two of them is listed under every stretch of step that it reaches, and
+    a target meets its span by equality, so that a key may have any number of targets.
+    """
+    if step is not None:
+        return spanned(targets, anchors, keys, time, value, step)
     rows = targets.select(*targets.columns, F.lit(None).cast("double").alias("_v"), F.lit(1).alias("_side"))
     fill = [F.col(c) if c in (*keys, time) else F.lit(None).cast(targets.schema[c].dataType).alias(c) for c in targets.columns]
     both = rows.unionByName(anchors.select(*fill, F.col(value).alias("_v"), F.lit(0).alias("_side")))
@@ -93,6 +100,20 @@ def bracketed(targets: DataFrame, anchors: DataFrame, keys: Names, time: str, va
     return near.select(*targets.columns, F.when(F.col("_b.t") == F.col(time), F.col("_b.v")).otherwise(line).alias(value))
 
 
+def spanned(targets: DataFrame, anchors: DataFrame, keys: Names, time: str, value: str, step: float) -> DataFrame:
+    """bracketed, by spans between anchors; of anchors at one time any counts."""
+    w = Window.partitionBy(*[f"_of_{k}" for k in keys]).orderBy("_t")
+    known = anchors.where(F.col(time).isNotNull()).select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col(time).alias("_t"), F.col(value).alias("_v")).dropDuplicates([*[f"_of_{k}" for k in keys], "_t"])
+    spans = known.withColumns({"_u": F.lead("_t").over(w), "_w": F.lead("_v").over(w)})
+    number = lambda t: F.floor(F.col(t) / step).cast("long")
+    spans = spans.withColumn("_k", F.explode(F.sequence(number("_t"), F.coalesce(number("_u"), number("_t")))))
+    at = targets.withColumn("_at", number(time))
+    inside = (F.col(time) >= F.col("_t")) & F.coalesce(F.col(time) < F.col("_u"), F.col(time) == F.col("_t"))
+    met = at.join(spans, [*[at[k] == spans[f"_of_{k}"] for k in keys], at["_at"] == spans["_k"], inside], "left")
+    line = F.col("_v") + (F.col("_w") - F.col("_v")) * (F.col(time) - F.col("_t")) / (F.col("_u") - F.col("_t"))
+    return met.select(*[at[c] for c in targets.columns], F.when(F.col("_t") == F.col(time), F.col("_v")).otherwise(line).alias(value))
+
+
 def station_pairs(df: DataFrame, station: str, on: Names, values: Names) -> DataFrame:
     """Values of every two stations that share the columns on, the smaller name first."""
     a = df.select(*on, F.col(station).alias("station_a"), *[F.col(v).alias(f"{v}_a") for v in values])

@@ -97,7 +97,7 @@ select event_id, round(b.v + (a.v - b.v) * (epoch(ts) - b.t) / (a.t - b.t), 4) +
 def clock_interp(spark, sf_dir):
     e = events(spark, sf_dir).select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"), "value")
     anchors = e.where("event_id % 4 = 0").select("user_id", "t", F.col("value").alias("v"))
-    return J.bracketed(e.where("event_id % 4 <> 0").select("event_id", "user_id", "t"), anchors, ["user_id"], "t", "v").select("event_id", rounded("v", "v", 4))
+    return J.bracketed(e.where("event_id % 4 <> 0").select("event_id", "user_id", "t"), anchors, ["user_id"], "t", "v", 86400.0).select("event_id", rounded("v", "v", 4))
 
 
 @query("""with s as (select user_id as k, avg(value) as ns from events where user_id % 3 = 0 group by all), r as (select event_type as k, avg(value) as ns from events where event_type < 'm' group by all)

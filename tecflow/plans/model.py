@@ -30,13 +30,16 @@ def satellite_states(obs: DataFrame, orbits: DataFrame, clocks: DataFrame, stati
     orbits: keys, t, x_km, y_km, z_km; clocks: keys, t, bias_s; stations: station,
     x, y, z (m). Rows whose satellite has no orbit or clock around their time have
     null states. A clock is looked up at the approximate time of transmission and,
-    before the first one, at that of reception.
+    before the first one, at that of reception. Satellites are looked up within their
+    keys: with a day among them, give each day's orbits and clocks those of its
+    neighbours' edges too, or the day's first and last rows stay null. However many
+    stations see a satellite, its rows need no common task.
     """
     travel = F.when(F.col(code) > 0, F.col(code) / X.LIGHT).otherwise(TRAVEL)
     rows = obs.withColumn("_sent", F.col("t") - travel)
     known = clocks.where("bias_s is not null").select(*keys, F.col("t").alias("_sent"), F.col("bias_s").alias("_b"))
-    rows = J.bracketed(rows, known, keys, "_sent", "_b").withColumnRenamed("_b", "_first")
-    rows = J.bracketed(rows, known.withColumnRenamed("_sent", "t"), keys, "t", "_b")
+    rows = J.bracketed(rows, known, keys, "_sent", "_b", step).withColumnRenamed("_b", "_first")
+    rows = J.bracketed(rows, known.withColumnRenamed("_sent", "t"), keys, "t", "_b", step)
     rows = rows.withColumn("clock_s", F.coalesce("_first", "_b")).withColumn("_sent", F.col("_sent") - F.col("clock_s")).drop("_first", "_b")
     anchors = orbits.select(*keys, F.col("t").alias("_sent"), *[(F.col(f"{c}_km") * 1000).alias(f"_{c}") for c in "xyz"])
     rows = P.splined(rows, anchors, keys, "_sent", ["_x", "_y", "_z"], step)
