@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, Window, functions as F
 
-from ..operators import positioning as P
+from ..operators import ambiguities as A, positioning as P
 from .registry import query, rounded, table
 
 
@@ -80,3 +80,28 @@ def slant_filter(spark, sf_dir):
         observed(off, -delay, amb + small).alias("phase1"), observed(off, -delay * F.col("ratio"), amb * 2 - small).alias("phase2"),
     )
     return P.filtered_positions(rows).select("event_id", "used", *[F.round(c, 5).alias(c) for c in P.RESULTS])
+
+
+#: Ambiguities of three satellites whose errors go along u: covariance 0.02 on the diagonal and u u'.
+ALONG = (0.5, 0.4, -0.3)
+
+
+def fixed_sql() -> str:
+    """The nearest of all whole vectors around the rounded ones; the inverse of the covariance is known in closed form."""
+    d = "abc"
+    length = sum(u * u for u in ALONG) / 0.02
+    quadratic = f"(({' + '.join(f'pow({c} - n{c}, 2)' for c in d)}) / 0.02e0 - pow({' + '.join(f'({u}e0) * ({c} - n{c})' for u, c in zip(ALONG, d, strict=True))}, 2) / {0.0004 * (1 + length)!r}e0)".replace("e-05e0", "e-5")
+    return f"""with e as (select user_id, max(value) / 7.0e0 as a, min(value) / 3.0e0 + 0.3 as b, avg(value) / 11.0e0 as c from events group by user_id),
+r as (select e.*, round_even(a, 0) + x as na, round_even(b, 0) + y as nb, round_even(c, 0) + z as nc from e, range(-4, 5) as p(x), range(-4, 5) as q(y), range(-4, 5) as s(z)),
+q as (select user_id, na, nb, nc, {quadratic} as d from r),
+m as (select user_id, min(struct_pack(d := d, na := na, nb := nb, nc := nc)) as best from q group by user_id)
+select user_id, t.name, cast(case t.name when 'A' then best.na when 'B' then best.nb else best.nc end as bigint) as fixed from m, (values ('A'), ('B'), ('C')) as t(name)"""
+
+
+@query(fixed_sql())
+def fixed_ambiguities(spark, sf_dir):
+    """Whole numbers nearest in the metric of the covariance, by reduction and search."""
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg((F.max("value") / 7.0).alias("a"), (F.min("value") / 3.0 + 0.3).alias("b"), (F.avg("value") / 11.0).alias("c"))
+    covariance = [u * w + (0.02 if i == j else 0.0) for i, u in enumerate(ALONG) for j, w in enumerate(ALONG)]
+    groups = e.select("user_id", F.array(*map(F.lit, "ABC")).alias("names"), F.array("a", "b", "c").alias("values"), F.array(*map(F.lit, covariance)).alias("covariance"))
+    return A.fixed(groups, ["user_id"], 0.0).select("user_id", "name", "fixed")
