@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("series_queries", "geometry_queries", "aggregate_queries", "join_queries", "grouped_queries", "index_queries", "result_queries", "positioning_queries", "broadcast_queries", "troposphere_queries")
+MODULES = ("series_queries", "geometry_queries", "aggregate_queries", "join_queries", "grouped_queries", "index_queries", "result_queries", "positioning_queries", "broadcast_queries", "troposphere_queries", "orientation_queries")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
