@@ -179,3 +179,15 @@ def slant_delay(elevation: Column, dry_m: Column, wet_m: Column, dry: tuple[floa
 def davis_dry(pressure_hpa: Column, lat: Column, height_m: Column) -> Column:
     """Hydrostatic zenith delay with the constant of the revised refractivity."""
     return 0.0022768 * pressure_hpa / (1 - 0.0026 * F.cos(2 * lat) - 0.00028 * height_m / 1000)
+
+
+def pattern_value(grid: Column, zenith_from: Column, zenith_step: Column, azimuth_step: Column, zenith_deg: Column, azimuth_deg: Column) -> Column:
+    """Value of an antenna pattern (of read_patterns) between its four nodes; beyond the zeniths it has, that at the last one."""
+    around = F.when(azimuth_step > 0, F.round(360 / azimuth_step) + 1).otherwise(1).cast("int")
+    n = (F.size(grid) / around).cast("int")
+    z = F.least(F.greatest((zenith_deg - zenith_from) / zenith_step, F.lit(0.0)), (n - 1).cast("double"))
+    a = F.when(azimuth_step > 0, F.pmod(azimuth_deg, F.lit(360.0)) / azimuth_step).otherwise(0.0)
+    i, j = F.floor(z).cast("int"), F.floor(a).cast("int")
+    u, v = z - i, a - j
+    node = lambda row, column: F.get(grid, F.least(row, around - 1) * n + F.least(column, n - 1))
+    return (1 - v) * ((1 - u) * node(j, i) + u * node(j, i + 1)) + v * ((1 - u) * node(j + 1, i) + u * node(j + 1, i + 1))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import geometry as G, names as N, signal as X
+from ..functions import corrections, geometry as G, names as N, signal as X
 from .registry import query, rounded, table
 
 #: A supplier stands for a station: its place follows from its key.
@@ -213,3 +213,15 @@ def fixed_width(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.format_string("%11.5f", "value").alias("text"))
 
 
+
+
+@query("""with e as (select event_id, event_id * 7 % 1000 / 10.0e0 as z, event_id * 13 % 7200 / 10.0e0 - 360 as a from events),
+k as (select *, least(greatest(z / 5, 0), 18) as zz, (a - 360 * floor(a / 360)) / 30 as aa from e),
+n as (select *, floor(zz) as i, floor(aa) as j, zz - floor(zz) as u, aa - floor(aa) as v from k),
+p as (select *, i * i / 10 as p0, least(i + 1, 18) * least(i + 1, 18) / 10 as p1, j % 12 * 2 as q0, (j + 1) % 12 * 2 as q1 from n)
+select event_id, round((1 - v) * (q0 + (1 - u) * p0 + u * p1) + v * (q1 + (1 - u) * p0 + u * p1), 6) as value from p""")
+def antenna_pattern(spark, sf_dir):
+    """A grid of 19 zeniths by 13 azimuths, looked up between its nodes."""
+    grid = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(12)), lambda j: F.transform(F.sequence(F.lit(0), F.lit(18)), lambda i: i * i / 10.0 + j % 12 * 2)))
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 7 % 1000 / 10.0).alias("z"), (F.col("event_id") * 13 % 7200 / 10.0 - 360).alias("a"), grid.alias("grid"))
+    return e.select("event_id", rounded(corrections.pattern_value(F.col("grid"), F.lit(0.0), F.lit(5.0), F.lit(30.0), F.col("z"), F.col("a")), "value"))

@@ -93,21 +93,32 @@ def model_terms(states: DataFrame, pressure_hpa: float = 1013.25, order: Names =
     return S.unwrapped(rows, arc, order, "_angle", "windup").drop("_angle", "_lat", "_lon", "_height", "_tt", *[f"_moon{c}" for c in "xyz"]).withColumnsRenamed({f"_sun{c}": f"sun_{c}" for c in "xyz"})
 
 
+PATTERN = ("grid_mm", "zenith_from", "zenith_step", "azimuth_step")
+
+
 def antenna_terms(terms: DataFrame, satellites: DataFrame, receivers: DataFrame) -> DataFrame:
-    """terms with antenna1_m and antenna2_m, what the offsets of both antennas add on each carrier; where an offset isn't known, nothing.
+    """terms with antenna1_m and antenna2_m, what both antennas add on each carrier; where an offset or a pattern isn't known, nothing.
 
     satellites: sat, band (1 or 2), x, y, z (m, satellite axes); receivers: station,
     band, north, east, up (m, antenna offset and the header's height, east and
-    north together).
+    north together). Both may have the columns PATTERN of read_patterns: a satellite's is
+    taken by the angle off its nadir, without azimuth; a receiver's by zenith and azimuth.
     """
     out = terms
     for band in (1, 2):
-        a = satellites.where(F.col("band") == band).select("sat", *[F.col(c).alias(f"_a{c}") for c in "xyz"])
-        b = receivers.where(F.col("band") == band).select("station", *[F.col(c).alias(f"_{c}") for c in ("north", "east", "up")])
-        out = out.join(F.broadcast(a), "sat", "left").join(F.broadcast(b), "station", "left")  # some hundred satellites, some thousand stations
-        sat = C.antenna_offset(vector("s"), vector("sun_"), vector("r"), vector("_a"))
-        out = out.withColumn(f"antenna{band}_m", F.coalesce(sat, F.lit(0.0)) + F.coalesce(shifted(F.col("_north"), F.col("_east"), F.col("_up")), F.lit(0.0)))
-        out = out.drop("_ax", "_ay", "_az", "_north", "_east", "_up")
+        sides = []
+        for table, key, names in ((satellites, "sat", ("x", "y", "z")), (receivers, "station", ("north", "east", "up"))):
+            more = [c for c in PATTERN if c in table.columns]
+            sides.append((table.where(F.col("band") == band).select(key, *[F.col(c).alias(f"_{key}_{c}") for c in (*names, *more)]), key, bool(more)))
+        for side, key, _ in sides:
+            out = out.join(side, key, "left")
+        sat = C.antenna_offset(vector("s"), vector("sun_"), vector("r"), vector("_sat_"))
+        total = F.coalesce(sat, F.lit(0.0)) + F.coalesce(shifted(*[F.col(f"_station_{c}") for c in ("north", "east", "up")]), F.lit(0.0))
+        nadir = F.degrees(F.acos(F.least(C.dot(C.unit(vector("s")), C.unit(C.plus(vector("s"), vector("r"), -1.0))), F.lit(1.0))))
+        for (_, key, known), zenith, azimuth in zip(sides, (nadir, 90 - F.degrees("elevation")), (F.lit(0.0), F.degrees("azimuth")), strict=True):
+            if known:
+                total = total + F.coalesce(C.pattern_value(*[F.col(f"_{key}_{c}") for c in PATTERN], zenith, azimuth) / 1000, F.lit(0.0))
+        out = out.withColumn(f"antenna{band}_m", total).select(*terms.columns, *[f"antenna{k}_m" for k in range(1, band + 1)])
     return out
 
 

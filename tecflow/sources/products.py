@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
@@ -88,6 +89,55 @@ def antennas(text: str) -> Iterator[tuple]:
             yield (kind, key, serial, band, *offset, pattern)
 
 
+PATTERNS = T.StructType(
+    [T.StructField(n, T.StringType()) for n in ("kind", "key", "serial", "frequency")] + [T.StructField(n, T.DateType()) for n in ("since", "until")]
+    + [T.StructField(n, T.DoubleType()) for n in ("zenith_from", "zenith_step", "azimuth_step")] + [T.StructField("grid_mm", T.ArrayType(T.DoubleType()))]
+)
+
+
+def day_of(line: str) -> date | None:
+    try:
+        return date(*map(int, line.split()[:3]))
+    except (TypeError, ValueError):
+        return None
+
+
+def patterns(text: str) -> Iterator[tuple]:
+    """Rows of PATTERNS, one for each antenna and frequency: grid_mm has the values by zenith (a satellite's: nadir), azimuth after azimuth from 0 to 360; azimuth_step is 0 where there is but one row for all."""
+    head: dict[str, object] = {}
+    band, rows, plain = None, [], []
+    for line in text.splitlines():
+        label = line[60:].strip()
+        if label == "START OF ANTENNA":
+            head = {"since": None, "until": None, "azimuth": 0.0, "zenith": (0.0, 0.0, 5.0)}
+        elif label == "TYPE / SERIAL NO":
+            name, serial = line[:20].strip(), line[20:40].strip()
+            satellite = len(serial) == 3 and serial[0] in "GRECJIS" and serial[1:].isdigit()
+            head |= {"kind": "satellite" if satellite else "receiver", "key": serial if satellite else name, "serial": serial}
+        elif label == "DAZI":
+            head["azimuth"] = float(line[2:8])
+        elif label == "ZEN1 / ZEN2 / DZEN":
+            head["zenith"] = tuple(float(line[i : i + 6]) for i in (2, 8, 14))
+        elif label in ("VALID FROM", "VALID UNTIL"):
+            head["since" if label == "VALID FROM" else "until"] = day_of(line[:60])
+        elif label == "START OF FREQUENCY":
+            band, rows, plain = line[3:6].strip(), [], []
+        elif label == "END OF FREQUENCY" and "kind" in head:
+            around = round(360 / head["azimuth"]) + 1 if head["azimuth"] else 0
+            whole = bool(around) and len(rows) == around and len({len(r) for r in rows}) == 1
+            grid = [x for r in rows for x in r] if whole else plain
+            if grid:
+                yield (head["kind"], head["key"], head["serial"], band, head["since"], head["until"], head["zenith"][0], head["zenith"][2], head["azimuth"] if whole else 0.0, grid)
+            band = None
+        elif band and line[:8].strip() == "NOAZI":
+            plain = [float(x) for x in line[8:].split()]
+        elif band and not label.startswith("NORTH") and (parts := line.split()) and len(parts) > 2:
+            try:
+                rows.append([float(x) for x in parts[1:]])
+            except ValueError:
+                continue
+
+
 LOADING = T.StructType([T.StructField("station", T.StringType()), T.StructField("coefficients", T.ArrayType(T.ArrayType(T.DoubleType())))])
 
 
@@ -119,6 +169,15 @@ def parsed(spark: SparkSession, paths: str | list[str], parse, schema: T.StructT
     return files(spark, paths).mapInPandas(batches, schema)
 
 
+def read_patterns(spark: SparkSession, paths: str | list[str], on: date | None = None) -> DataFrame:
+    """PATTERNS of antenna files; with on, those valid on that day."""
+    found = parsed(spark, paths, patterns, PATTERNS)
+    if on is None:
+        return found
+    day = F.lit(on)
+    return found.where((F.col("since").isNull() | (F.col("since") <= day)) & (F.col("until").isNull() | (F.col("until") >= day)))
+
+
 def read_antennas(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return parsed(spark, paths, antennas, ANTENNAS)
 
