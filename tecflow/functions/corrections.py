@@ -102,14 +102,22 @@ def receiver_offset(north_m: Column, east_m: Column, up_m: Column, elevation: Co
     return north_m * F.cos(elevation) * F.cos(azimuth) + east_m * F.cos(elevation) * F.sin(azimuth) + up_m * F.sin(elevation)
 
 
+def dipole(a: Vector, b: Vector, sight: Vector, sign: float) -> Vector:
+    """Effective dipole of crossed antennas a and b, seen along sight."""
+    return plus(plus(a, sight, -dot(sight, a)), cross(sight, b), sign)
+
+
+def dipole_angle(sent: Vector, received: Vector, sight: Vector) -> Column:
+    """Radians from one dipole to the other about sight, in (-pi, pi]."""
+    angle = F.acos(F.greatest(F.least(dot(sent, received) / (length(sent) * length(received)), F.lit(1.0)), F.lit(-1.0)))
+    return F.when(dot(sight, cross(sent, received)) < 0, -angle).otherwise(angle)
+
+
 def windup_angle(satellite: Vector, to_sun: Vector, receiver: Vector, north: Vector, west: Vector) -> Column:
     """Radians between the effective dipoles of both antennas, in (-pi, pi]; see operators.series.unwrapped."""
     x, y, _ = satellite_axes(satellite, to_sun)
     k = unit(plus(receiver, satellite, -1.0))
-    effective = lambda a, b, sign: plus(plus(a, k, -dot(k, a)), cross(k, b), sign)
-    ds, dr = effective(x, y, -1.0), effective(north, west, 1.0)
-    angle = F.acos(F.greatest(F.least(dot(ds, dr) / (length(ds) * length(dr)), F.lit(1.0)), F.lit(-1.0)))
-    return F.when(dot(k, cross(ds, dr)) < 0, -angle).otherwise(angle)
+    return dipole_angle(dipole(x, y, k, -1.0), dipole(north, west, k, 1.0), k)
 
 
 def solid_tide(site: Vector, body: Vector, body_gm: float) -> Vector:
@@ -127,11 +135,15 @@ LOVE_2, SHIDA_2, LOVE_LAT, SHIDA_LAT, LOVE_3, SHIDA_3, SUN_MASS, MOON_MASS, EQUA
 
 def body_tide(site: Vector, lat: Column, to_sun: Vector, to_moon: Vector) -> Vector:
     """Displacement of a site by the tides of Sun and Moon to degree 2, with numbers that change with latitude, and of the Moon to degree 3."""
+    return tide_of_units(unit(site), lat, (unit(to_sun), length(to_sun)), (unit(to_moon), length(to_moon)))
+
+
+def tide_of_units(r: Vector, lat: Column, sun: tuple[Vector, Column], moon: tuple[Vector, Column]) -> Vector:
+    """body_tide from unit vectors, and the distances (m) of Sun and Moon."""
     turn = 3 * F.pow(F.sin(lat), 2) - 1
     love, shida = LOVE_2 + LOVE_LAT * turn, SHIDA_2 + SHIDA_LAT * turn
-    r, out = unit(site), (F.lit(0.0),) * 3
-    for body, mass in ((to_sun, SUN_MASS), (to_moon, MOON_MASS)):
-        b, far = unit(body), length(body)
+    out = (F.lit(0.0),) * 3
+    for (b, far), mass in ((sun, SUN_MASS), (moon, MOON_MASS)):
         c = dot(r, b)
         across = plus(b, r, -c)
         two = mass * EQUATOR**4 / F.pow(far, 3)

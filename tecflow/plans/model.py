@@ -24,6 +24,11 @@ def vector(prefix: str) -> C.Vector:
     return tuple(F.col(f"{prefix}{c}") for c in "xyz")
 
 
+def held(df: DataFrame, **vectors: C.Vector) -> DataFrame:
+    """df with vectors as columns _name_x, _name_y and _name_z, so that what is made of them doesn't repeat them."""
+    return df.withColumns({f"_{name}_{c}": v for name, parts in vectors.items() for c, v in zip("xyz", parts, strict=True)})
+
+
 def satellite_states(obs: DataFrame, orbits: DataFrame, clocks: DataFrame, stations: DataFrame, keys: Names = KEYS, code: str = "c1", step: float = 900.0) -> DataFrame:
     """obs (station, keys, t, code) with clock_s, the satellite's place sx, sy, sz (m) and speed vx, vy, vz (m/s) at transmission, in the frame at reception, and the station's rx, ry, rz.
 
@@ -70,27 +75,32 @@ def model_terms(states: DataFrame, pressure_hpa: float = 1013.25, order: Names =
     for name, body in (("sun", C.sun), ("moon", C.moon)):
         rows = rows.withColumns(dict(zip([f"_{name}{c}" for c in "xyz"], body(F.col("_tt")), strict=True)))
     s, v, r, sun, moon = vector("s"), vector("v"), vector("r"), vector("_sun"), vector("_moon")
-    el, az = G.elevation_azimuth(*G.local(F.col("_lat"), F.col("_lon"), *C.plus(s, r, -1.0)))
-    rows = rows.withColumns({"elevation": el, "azimuth": az})
+    at = lambda name: vector(f"_{name}_")
     north = (-F.sin("_lat") * F.cos("_lon"), -F.sin("_lat") * F.sin("_lon"), F.cos("_lat"))
     west = (F.sin("_lon"), -F.cos("_lon"), F.lit(0.0))
-    sight = C.unit(C.plus(r, s, -1.0))
+    rows = rows.withColumns({"range_m": C.length(C.plus(s, r, -1.0)), "_sun_far": C.length(sun), "_moon_far": C.length(moon)})
+    local = G.local(F.col("_lat"), F.col("_lon"), *C.plus(s, r, -1.0))
+    rows = held(rows, sight=C.scaled(C.plus(r, s, -1.0), 1 / F.col("range_m")), down=C.unit(C.scaled(s, -1.0)), sun=C.unit(C.plus(sun, s, -1.0)), up=C.unit(r), solar=C.scaled(sun, 1 / F.col("_sun_far")), lunar=C.scaled(moon, 1 / F.col("_moon_far")), north=north, west=west, local=local)
+    el, az = G.elevation_azimuth(*at("local"))
+    rows = held(rows.withColumns({"elevation": el, "azimuth": az}), across=C.unit(C.cross(at("down"), at("sun"))))
+    rows = held(rows, ahead=C.cross(at("across"), at("down")))
+    rows = held(rows, sent=C.dipole(at("ahead"), at("across"), at("sight"), -1.0), received=C.dipole(at("north"), at("west"), at("sight"), 1.0), tide=C.tide_of_units(at("up"), F.col("_lat"), (at("solar"), F.col("_sun_far")), (at("lunar"), F.col("_moon_far"))))
     pressure = F.coalesce(F.col("pressure_hpa"), F.lit(pressure_hpa)) if "pressure_hpa" in states.columns else F.lit(pressure_hpa)
-    dry = C.zenith_dry(pressure, F.col("_lat"), F.col("_height"))
-    slant = C.slant_delay(F.col("elevation"), dry, F.lit(0.0))
+    rows = rows.withColumn("_dry", C.zenith_dry(pressure, F.col("_lat"), F.col("_height")))
+    slant = C.slant_delay(F.col("elevation"), F.col("_dry"), F.lit(0.0))
     if "dry_a" in states.columns:
-        slant = F.coalesce(Z.dry_factor(F.col("elevation"), F.col("dry_a"), F.col("dry_c"), F.col("_height")) * dry, slant)
+        slant = F.coalesce(Z.dry_factor(F.col("elevation"), F.col("dry_a"), F.col("dry_c"), F.col("_height")) * F.col("_dry"), slant)
     terms = {
-        "range_m": C.length(C.plus(s, r, -1.0)),
         "clock_m": -F.col("clock_s") * X.LIGHT,
         "relativity_m": -X.LIGHT * C.relativistic_clock(s, v),
         "troposphere_m": F.when(F.col("elevation") > 0, slant).otherwise(0.0),
         "bending_m": C.bending(s, r),
-        "tide_m": C.dot(C.body_tide(r, F.col("_lat"), sun, moon), sight),
-        "_angle": C.windup_angle(s, sun, r, north, west),
+        "tide_m": C.dot(at("tide"), at("sight")),
+        "_angle": C.dipole_angle(at("sent"), at("received"), at("sight")),
     }
-    rows = rows.withColumns(terms)
-    return S.unwrapped(rows, arc, order, "_angle", "windup").drop("_angle", "_lat", "_lon", "_height", "_tt", *[f"_moon{c}" for c in "xyz"]).withColumnsRenamed({f"_sun{c}": f"sun_{c}" for c in "xyz"})
+    kept = [*states.columns, "elevation", "azimuth", "range_m", *terms]
+    rows = rows.withColumns(terms).select(*kept, *[F.col(f"_sun{c}").alias(f"sun_{c}") for c in "xyz"])
+    return S.unwrapped(rows, arc, order, "_angle", "windup").drop("_angle")
 
 
 PATTERN = ("grid_mm", "zenith_from", "zenith_step", "azimuth_step")
