@@ -102,3 +102,18 @@ def test_antenna_offsets(spark, states):
         sight = (STATION - s) / np.linalg.norm(STATION - s)
         lifted = -1.5 * (-s / np.linalg.norm(s)) @ sight
         assert abs(r.antenna2_m - lifted) < 1e-9 and abs(r.antenna1_m - lifted + 0.1 * math.sin(r.elevation)) < 1e-9
+
+
+def test_phase_index_end_to_end(spark, states):
+    """Phases made of the model and a swing in the pass band: states, terms, correction, removal and index together give the swing's own index."""
+    from tecflow.plans import indices as I
+
+    model = M.model_correction(M.model_terms(states.where("station = 'ABCD'"))).select("station", F.lit("2024-03-24").alias("date"), "sat", (F.col("t") / 30).cast("long").alias("epoch"), "t", "model1_m").cache()
+    swing = 0.05 * F.sin(2 * math.pi * F.col("t") / 150)
+    observed = model.select("station", "date", "sat", "epoch", (F.col("model1_m") + swing).alias("phase"))
+    wanted = model.select("station", "date", "sat", "epoch", swing.alias("phase"))
+    corrected = I.model_removed(observed, model, ["station", "date", "sat", "epoch"], "phase", "model1_m")
+    got, want = ({r.epoch: r.sigma_phi for r in I.phase_index(df, "phase").collect()} for df in (corrected, wanted))
+    assert len(got) == 600 and sum(v is not None for v in got.values()) > 500
+    assert all((got[k] is None) == (want[k] is None) and (got[k] is None or abs(got[k] - want[k]) < 1e-6) for k in got)
+    assert 0.02 < np.median([v for v in got.values() if v is not None]) < 0.05
