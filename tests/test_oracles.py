@@ -11,6 +11,9 @@ from tecflow.plans import registry
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
+#: Queries without rows on the smallest tables; they have some on larger ones.
+EMPTY_HERE = {"set_common"}
+
 
 @pytest.fixture(scope="module")
 def duck():
@@ -35,6 +38,6 @@ def test_query_equals_sql(spark, duck, name):
     got, want = registry.queries()[name](spark, SF).toPandas(), duck.execute(registry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     a, b = rows(got), rows(want)
-    assert len(a) == len(b) > 0
+    assert len(a) == len(b) and (a or name in EMPTY_HERE)
     for x, y in zip(a, b, strict=True):
         assert all(p == q or (isinstance(p, float) and isinstance(q, float) and math.isclose(p, q, abs_tol=2e-4)) for p, q in zip(x, y, strict=True)), (x, y)
