@@ -327,7 +327,7 @@ def filtered_positions(obs: DataFrame, station: str = "station", time: str = "t"
             values, names = pdf[list(FIELDS)].to_numpy(float), pdf[sat].fillna("").tolist()
             slips, who, when = pdf[slip].fillna(False).to_numpy(bool), pdf[station].tolist(), pdf[time].to_numpy(float)
             new = np.ones(len(pdf), bool)
-            new[1:] = [a != b for a, b in zip(who, who[1:])] | (when[1:] != when[:-1])
+            new[1:] = np.array([a != b for a, b in zip(who, who[1:])], bool) | (when[1:] != when[:-1])
             starts = np.flatnonzero(new)
             ends = np.append(starts[1:], len(pdf))
             out, used = np.full((len(pdf), len(RESULTS)), np.nan), np.zeros(len(pdf), bool)

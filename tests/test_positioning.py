@@ -167,6 +167,13 @@ def test_filter_of_odd_rows(spark):
     assert sum(r.used for r in got) == sum(v[9] for v in clean.values())
     assert P.filtered_positions(spark.createDataFrame([], SCHEMA)).count() == 0
 
+def test_filter_of_lone_rows(spark):
+    rows, _ = epochs(2, 1, 4, gross=False)
+    for lone in ([rows[0]], [*rows, (*rows[0][:1], 9000.0, *rows[0][2:])]):  # a partition's only row, and a last epoch of one row
+        got = P.filtered_positions(spark.createDataFrame(lone, SCHEMA), systems="GE").collect()
+        assert len(got) == len(lone)
+        assert [(r.used, r.dx) for r in got if r.t == lone[-1][1]] == [(False, None)]
+
 
 def codes(seed, stations=4, sats=9, spoil=True):
     rng = np.random.default_rng(seed)
