@@ -38,11 +38,11 @@ def present(x: Column) -> Column:
     return F.when((x != 0) & ~F.isnan(x), x)
 
 
-def all_or_none(*columns: Column) -> list[Column]:
-    """The columns, all null where any is missing."""
+def all_or_none(*columns: Column, zero_missing: bool = True) -> list[Column]:
+    """The columns, all null where any is missing: null, NaN and, with zero_missing, zero."""
     ok = F.lit(True)
     for c in columns:
-        ok = ok & present(c).isNotNull()
+        ok = ok & (present(c).isNotNull() if zero_missing else c.isNotNull() & ~F.isnan(c))
     return [F.when(ok, c) for c in columns]
 
 
