@@ -40,7 +40,8 @@ def stats(spark, sf_dir):
 
 @query(f"select user_id, event_type, round(least, 6) as least, round(most, 6) as most, round(mean, 6) as mean, round(p95, 6) as p95, round(missing, 6) as missing, cast(events as bigint) as events from ({STATS})")
 def result_stats(spark, sf_dir):
-    return stats(spark, sf_dir).select("user_id", "event_type", *[F.round(c, 6).alias(c) for c in ("least", "most", "mean", "p95", "missing")], "events")
+    """Values are rounded to nine digits first: a mean halfway between two of six digits goes up, whatever the last bit of its sum."""
+    return stats(spark, sf_dir).select("user_id", "event_type", *[F.round(F.round(c, 9), 6).alias(c) for c in ("least", "most", "mean", "p95", "missing")], "events")
 
 
 @query(f"select event_type, count(*) as results, round(min(least), 6) as least, round(max(most), 6) as most, round(avg(mean), 6) as mean, cast(sum(events) as bigint) as events, array_to_string(list_sort(list(distinct cast(user_id as varchar))), ',') as stations from ({STATS}) group by all")

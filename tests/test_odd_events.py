@@ -21,3 +21,16 @@ def both(spark, folder, name, rows):
 def test_zero_is_a_value_of_the_mask(spark, tmp_path):
     got, want = both(spark, tmp_path, "validity_masks", [(k, 1, "view", 0.0 if k % 2 else 5.0) for k in range(1, 100)])
     assert got == want and (1, 0.0, None, None) in got and (11, None, None, None) in got and (13, None, None, None) in got
+
+
+def test_mean_halfway_goes_up(spark, tmp_path):
+    rows, want, e = [], {}, 0
+    for u in range(40):
+        values = [(k * k * (u + 7) + 31 * k) % 20011 for k in range(127)]  # hundredths; of 128 with a sum of 4 modulo 8 the mean is halfway at six digits
+        values.append((4 - sum(values)) % 8)
+        want[u] = (2 * sum(values) * 10**4 + 128) // 256 / 1e6
+        for v in values:
+            e += 1 + ((e + 1) % 7 == 0)
+            rows.append((e, u, "view", v / 100))
+    got, _ = both(spark, tmp_path, "result_stats", rows)
+    assert {g[0]: g[4] for g in got} == want
