@@ -7,6 +7,7 @@ chain of them needs one shuffle and one sort. Missing values are null.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
@@ -116,15 +117,20 @@ def slips(df: DataFrame, keys: Names, order: Names, geometry: str, widelane: str
 
 
 def repaired(df: DataFrame, keys: Names, order: Names, geometry: str, widelane: str | None, slip: str, waves: tuple[float, float], arc: str = "arc", out: str = "repaired") -> DataFrame:
-    """Geometry-free combination less the whole cycles of all slips so far in its arc; without a wide lane, less the jumps themselves."""
+    """Geometry-free combination less the whole cycles of all slips so far in its arc; without a wide lane, less the jumps themselves.
+
+    The waves' difference is that of the numbers as written, as a jump of half a
+    cycle is rounded by its last bit.
+    """
     by = [*keys, arc]
     w, (first, second) = along(by, order), waves
+    apart = float(Decimal(repr(first)) - Decimal(repr(second)))
     jump = F.col(geometry) - F.lag(geometry).over(w)
     if widelane is None:
         step = jump
     else:
         lane = F.rint(F.col(widelane) - F.lag(widelane).over(w))
-        cycles = F.rint((jump - second * lane) / (first - second))
+        cycles = F.rint((jump - second * lane) / apart)
         step = cycles * first - (cycles - lane) * second
     marked = df.withColumn("_c", F.when(F.col(slip), F.coalesce(step, F.lit(0.0))).otherwise(0.0))
     return marked.withColumn(out, F.col(geometry) - F.sum("_c").over(running(by, order))).drop("_c")

@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import duckdb
+import pytest
 
 from tecflow.plans import registry
 
@@ -34,3 +35,15 @@ def test_mean_halfway_goes_up(spark, tmp_path):
             rows.append((e, u, "view", v / 100))
     got, _ = both(spark, tmp_path, "result_stats", rows)
     assert {g[0]: g[4] for g in got} == want
+
+
+@pytest.mark.parametrize("name", ["slip_repair", "slip_repair_simple"])
+def test_jumps_of_half_a_cycle(spark, tmp_path, name):
+    jumps = [d for d in range(5400, 50000) if (d - 24421 * round(d / 5000)) % 5392 == 2696]  # hundredths
+    rows, u = [], 0
+    for d in jumps:
+        for first in range(1, 2000, 37):
+            rows += [(2 * u, u, "view", first / 100), (2 * u + 1, u, "view", (first + d) / 100)]
+            u += 1
+    got, want = both(spark, tmp_path, name, rows)
+    assert jumps and len(got) == 2 * u and got == want
