@@ -6,6 +6,7 @@ data model bounds; groups are never whole tables.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -173,17 +174,19 @@ def split_arcs(lane: np.ndarray, geometry: np.ndarray, least: int, jump: float =
     it is thrown out. An arc of fewer than least rows is thrown out whole.
     """
     out, n, number, start = np.full(len(lane), -1), len(lane), 0, 0
+    lane, geometry = lane.tolist(), geometry.tolist()  # one value at a time: floats are far faster than items of arrays
     calm = lambda i, j, d: abs(lane[i] - lane[j]) <= d and abs(geometry[i] - geometry[j]) <= d
     while start < n:
         while start + 2 < n and not (calm(start, start + 1, jump) and calm(start + 1, start + 2, jump)):
             start += 1
         mean, square, count, k = lane[start], 0.0, 1, start + 1
         while k < n:
-            if count > 1 and not (abs(lane[k] - mean) < scatter * np.sqrt(square) + 1e-12 and abs(geometry[k] - geometry[k - 1]) < far):
+            if count > 1 and not (abs(lane[k] - mean) < scatter * math.sqrt(square) + 1e-12 and abs(geometry[k] - geometry[k - 1]) < far):
                 break
             count += 1
             before, mean = mean, mean + (lane[k] - mean) / count
-            square += ((lane[k] - before) ** 2 - square) / count
+            off = lane[k] - before
+            square += (off * off - square) / count
             k += 1
         if k - start >= least:
             out[start:k] = number
@@ -193,13 +196,12 @@ def split_arcs(lane: np.ndarray, geometry: np.ndarray, least: int, jump: float =
 
 
 def arcs_by_feedback(df: DataFrame, keys: Names, order: Names, lane: str, geometry: str, least: int = 10, out: str = "arc") -> DataFrame:
-    first = list(order)
+    """df with the arc numbers of split_arcs; keys: one series without gaps. Series are short and many, so a batch takes thousands of them."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(first)
-        return pdf.assign(**{out: split_arcs(pdf[lane].to_numpy(float), pdf[geometry].to_numpy(float), least)})
+    def program(series: list[np.ndarray]) -> list[np.ndarray]:
+        return [split_arcs(x[:, 0], x[:, 1], least)[:, None] for x in series]
 
-    return df.groupBy(*keys).applyInPandas(one, T.StructType([*df.schema.fields, T.StructField(out, T.LongType())]))
+    return by_series(df, keys, order, [lane, geometry], [out], program).withColumn(out, F.col(out).cast("long"))
 
 
 def restarted_slips(series: list[np.ndarray], waves: tuple[float, float], back: int, drift: float) -> list[np.ndarray]:

@@ -57,6 +57,21 @@ def test_arcs_split_at_slips():
     assert (P.split_arcs(np.tile([0.0, 0.1], 3), np.zeros(6), 10) == -1).all()
 
 
+def test_many_short_series_are_split_together(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k if k % 9 else None, i, float(rng.normal(0, 0.3) + 7 * (i > 6) * (k % 2)), float(rng.normal(0, 0.3)) if rng.random() > 0.02 else None) for k in range(300) for i in range(k % 14 + 1) if k % 9 or k == 9]
+    df = spark.createDataFrame(rows, "k long, i long, lane double, geometry double").repartition(5)
+    found = P.arcs_by_feedback(df, ["k"], ["i"], "lane", "geometry", 3)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInPandas" in plan  # a call for each series took most of the time
+    got = {(r.k, r.i): r.arc for r in found.collect()}
+    assert len(got) == len(rows) and found.schema["arc"].dataType.typeName() == "long"
+    for k in {r[0] for r in rows}:
+        x = np.array([r[2:] for r in rows if r[0] == k], float)
+        assert [got[k, i] for i in range(len(x))] == P.split_arcs(x[:, 0], x[:, 1], 3).tolist()
+    assert {-1, 0, 1} <= set(got.values())
+
+
 def test_kalman_settles_and_bridges_gaps():
     x = np.full(200, 5.0)
     x[50:60] = np.nan
