@@ -99,3 +99,24 @@ def test_rare_words_and_all_bigrams_count(spark):
     assert len({w for _, t in rows for w in t.split()}) > 1 << 15
     for i, _, a, b in plain_scores(rows, target):
         assert abs(got[i].target_cost - a) < 1e-9 and abs(got[i].background_cost - b) < 1e-9
+
+
+def test_bigrams_travel_in_groups(spark, monkeypatch):
+    """Bigrams are not shuffled and sorted row by row, and scores are exact whatever the groups are and however often rows are handed on."""
+    plans, staged = [], ce.staged
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return staged(df, name)
+
+    monkeypatch.setattr(ce, "staged", seen)
+    for name, value in (("FEW", 160), ("HELD", 40), ("GROUPS", 3), ("PASSES", 2)):
+        monkeypatch.setattr(ce, name, value)
+    rows, target = corpus(), set(range(0, 90, 6))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ce.cross_entropy_difference(docs, spark.createDataFrame([(i,) for i in target], "doc_id long")).collect()
+    near = lambda x: None if x is None else round(x, 9)
+    want = sorted([(i, n, near(a), near(b)) for i, n, a, b in plain_scores(rows, target)], key=str)
+    assert sorted([(r.doc_id, r.n_tokens, near(r.target_cost), near(r.background_cost)) for r in got], key=str) == want
+    sums = [plan for name, plan in plans if name == "sums"]
+    assert len(sums) == 2 and not any("Window" in plan for plan in sums)
