@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .common import bounded, drop_staged, staged
 
 SIMILAR = 0.8
-#: Hash buckets in which words are counted.
-BUCKETS = 1 << 18
+#: Hash buckets in which words are counted: as many as the fast map of an aggregation holds.
+BUCKETS = 1 << 16
 #: Parts, by word, in which lines are joined: the shuffle of one part is on disk at a time.
 PASSES = 2
 #: A word is crowded if it is in the prefixes of about CROWD * SAMPLED lines of one length: of CROWD of every SAMPLED-th line. Groups of similar lines have such words. What is crowded changes the work, never the result.
@@ -37,7 +37,7 @@ HOT = 1 << 14
 BLANKS = "[\\\\x20\\\\x09-\\\\x0D]+"
 #: Bits of a word's hash in the join, below the class of its count.
 BITS = 52
-#: From this many words on a line's bits are 128 in two masks, as 64 can't tell long lines apart; folded together they are the 64 of shorter lines.
+#: From this many words on a line's bits are 128, as 64 can't tell long lines apart. mask: the 64 of every line, or both halves folded together; mask2: one half of a long line.
 LONG = 90
 MASKS = ("mask", "mask2")
 
@@ -53,12 +53,17 @@ def count_class(n: Column) -> Column:
     return F.floor(F.log2(n + 1) * 32).cast("smallint")
 
 
+def bucket(word: str) -> str:
+    """SQL: the bucket in which a word is counted."""
+    return f"hash({word}) & {BUCKETS - 1}"
+
+
 def bucket_counts(texts: DataFrame) -> tuple[DataFrame, int]:
-    """One row, counts: array with the class of the number of words in each bucket, over all texts; and the number of words."""
+    """One row, counts: array with the class of the number of words in each bucket, over all texts, above the bits of a word's hash; and the number of words."""
     words = texts.select(F.explode(F.expr(split("text"))).alias("w")).where("w <> ''")
-    seen = staged(words.select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).groupBy("b").agg(F.count("*").alias("n")), "buckets")
+    seen = staged(words.select(F.expr(bucket("w")).cast("long").alias("b")).groupBy("b").agg(F.count("*").alias("n")), "buckets")
     every = seen.union(texts.sparkSession.range(BUCKETS).select(F.col("id"), F.lit(0).cast("bigint"))).groupBy("b").agg(F.sum("n").alias("n"))
-    rows = every.select(F.struct(F.col("b").cast("int").alias("b"), count_class(F.col("n")).alias("n")).alias("x"))
+    rows = every.select(F.struct("b", F.shiftleft(count_class(F.col("n")).cast("long"), BITS).alias("n")).alias("x"))
     counts = staged(rows.agg(F.sort_array(F.collect_list("x")).alias("x")).select(F.expr("transform(x, y -> y.n)").alias("counts")), "counts")
     total = seen.agg(F.sum("n")).first()[0] or 0
     drop_staged(seen)
@@ -105,10 +110,15 @@ def kept(lines: str, gone: str) -> str:
     return f"case when {gone} is null then {every} else array_except({every}, {gone}) end"
 
 
-def parity(keys: str, part: int | None = None) -> str:
-    """SQL: 64 bits of which every word flips one; with part, only the words of one of two parts do."""
-    bit = "shiftleft(1L, cast(k & 63 as int))"
-    return f"aggregate({keys}, 0L, (a, k) -> a ^ {bit if part is None else f'case when k & 64L = {64 * part}L then {bit} else 0L end'})"
+def parity(keys: str, half: bool = False) -> str:
+    """SQL: 64 bits of which every word flips one; with half, only the words of one of two halves do."""
+    return f"aggregate({keys}, 0L, (a, k) -> a ^ shiftleft({'shiftright(k, 6) & 1L' if half else '1L'}, cast(k & 63 as int)))"
+
+
+def flipped(a: str, b: str) -> tuple[Column, Column, Column]:
+    """Bits in which the masks of a and b differ: folded, and of each half."""
+    folded, half = (F.col(f"{a}.{m}").bitwiseXOR(F.col(f"{b}.{m}")) for m in MASKS)
+    return F.bit_count(folded), F.bit_count(folded.bitwiseXOR(half)), F.bit_count(half)
 
 
 def shortest_shared(n: str) -> str:
@@ -124,13 +134,13 @@ def classes(docs: DataFrame, counts: Column) -> DataFrame:
     """
     lines = docs.select("id", "th", "gone", F.split("text", "\n").alias("lines")).select("id", "th", "lines", F.explode(F.expr(kept("lines", "gone"))).alias("no"))
     lines = lines.select("id", "th", "no", F.get("lines", "no").alias("line")).where("line rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    ordered = f"shiftleft(cast(coalesce(get(counts, cast(xxhash64(w) & {BUCKETS - 1}L as int)), cast(0 as smallint)) as bigint), {BITS}) | (xxhash64(w) & {(1 << BITS) - 1}L)"
+    ordered = f"get(counts, {bucket('w')}) | shiftrightunsigned(xxhash64(w), {64 - BITS})"
     keys = f"sort_array(array_distinct(transform(array_remove({split('line')}, ''), w -> {ordered})))"
     rows = lines.select("*", counts.alias("counts")).select(F.xxhash64("line").alias("key"), F.xxhash64(F.lit(1), "line").alias("key2"), place().alias("first"), F.expr(keys).alias("keys"))
     n = "size(keys)"
     return rows.select(
         "key", "key2", "first", F.expr(n).alias("n"), F.expr(f"slice(keys, 1, {n} - {shortest_shared(n)} + 1)").alias("prefix"),
-        *[F.expr(f"case when {n} >= {LONG} then {parity('keys', part)} else {parity('keys') if part == 0 else '0L'} end").alias(m) for part, m in enumerate(MASKS)],
+        F.expr(parity("keys")).alias(MASKS[0]), F.expr(f"case when {n} >= {LONG} then {parity('keys', True)} else 0L end").alias(MASKS[1]),
     )
 
 
@@ -141,9 +151,9 @@ def passes(a: str, b: str) -> Column:
     # In whole numbers: what is shared is at least t / (1 + t) of n + m, and what is not at most the rest, (1 - t) / (1 + t).
     part, rest = (n + m) * round(1000 * SIMILAR), (n + m) * round(1000 * (1 - SIMILAR))
     least = lambda x: x * round(1000 * (1 + SIMILAR))
-    each = [F.col(f"{a}.{m}").bitwiseXOR(F.col(f"{b}.{m}")) for m in MASKS]
-    folded = least(F.bit_count(each[0].bitwiseXOR(each[1]))) <= rest
-    long = least(F.bit_count(each[0]) + F.bit_count(each[1])) <= rest
+    bits, *halves = flipped(a, b)
+    folded = least(bits) <= rest
+    long = least(halves[0] + halves[1]) <= rest
     apart_at = F.coalesce(~F.arrays_overlap(f"{a}.before", f"{b}.before"), F.lit(True))
     return (least(F.least(n - i, m - j)) >= part) & folded & ((F.least(n, m) < LONG) | long) & apart_at
 
@@ -166,7 +176,8 @@ def postings(found: DataFrame, hot: int, *also: str) -> DataFrame:
 
 def paired(pairs: DataFrame) -> DataFrame:
     """(key, other, apart) of joined postings a and b, the later line first; both ways where ranks don't tell. apart: bits in which their masks differ."""
-    apart = sum((F.bit_count(F.col(f"a.{m}").bitwiseXOR(F.col(f"b.{m}"))) for m in MASKS), F.lit(0))
+    _, *halves = flipped("a", "b")
+    apart = halves[0] + halves[1]
     one, two = (F.struct(F.col(f"{x}.key").alias("key"), F.col(f"{y}.key").alias("other")) for x, y in ("ab", "ba"))
     order = F.when(F.col("a.rank") > F.col("b.rank"), F.array(one)).when(F.col("a.rank") < F.col("b.rank"), F.array(two)).otherwise(F.array(one, two))
     return pairs.select(apart.alias("apart"), F.explode(order).alias("x")).select("x.key", "x.other", "apart").distinct()
@@ -178,9 +189,8 @@ def crowded(found: DataFrame) -> DataFrame:
     return staged(sample.select("n", F.explode("prefix").alias("word")).groupBy("word", "n").agg(F.count("*").alias("k")).where(F.col("k") >= CROWD).select("word").distinct(), "crowded")
 
 
-def with_head(found: DataFrame, crowd: DataFrame, hot: int) -> DataFrame:
-    """Pairs of a line and the earliest one with one of its crowded words, where the filters pass."""
-    there = postings(found, hot, "no").join(bounded(crowd), "word", "left_semi")
+def with_head(there: DataFrame) -> DataFrame:
+    """Pairs of a line and the earliest one with one of its crowded words, where the filters pass. there: postings of crowded words, with no."""
     heads = staged(there.groupBy("word").agg(F.min(F.struct("rank", "no", "key", "at", *MASKS, "before")).alias("h")).select("word", "h.*"), "heads")
     on = (F.col("a.word") == F.col("b.word")) & (F.col("a.key") != F.col("b.key")) & passes("a", "b")
     out = staged(paired(there.alias("a").join(bounded(heads, 128 + 8 * F.coalesce(F.size("before"), F.lit(0))).alias("b"), on)), "pairs")
@@ -188,15 +198,15 @@ def with_head(found: DataFrame, crowd: DataFrame, hot: int) -> DataFrame:
     return out
 
 
-def with_any(still: DataFrame, found: DataFrame, crowd: DataFrame, hot: int) -> DataFrame:
-    """Pairs of the lines in still and all earlier ones that share a prefix word and pass the filters.
+def with_any(done: DataFrame, there: DataFrame, found: DataFrame, crowd: DataFrame, hot: int) -> DataFrame:
+    """Pairs of lines and all earlier ones that share a prefix word and pass the filters.
 
-    Lines that share a crowded word are joined from still to found; for all other
-    words, which few lines have, found is joined with itself, so that both sides
-    are one shuffle.
+    By a crowded word (postings there) only lines whose key is not in done are
+    joined with all; for all other words, which few lines have, found is joined
+    with itself, so that both sides are one shuffle.
     """
     words = bounded(crowd)
-    a, b = (postings(x, hot).join(words, "word", "left_semi").alias(n) for x, n in ((still, "a"), (found, "b")))
+    a, b = there.join(done, "key", "left_anti").alias("a"), there.alias("b")
     same = (F.col("a.word") == F.col("b.word")) & (F.col("a.key") != F.col("b.key"))
     parts = [staged(paired(a.join(b, same & (F.col("a.rank") >= F.col("b.rank")) & passes("a", "b"))), "pairs")]
     n, m = (F.shiftright(F.col(f"{x}.at"), 32) for x in "ab")
@@ -253,18 +263,18 @@ def removals(docs: DataFrame) -> DataFrame:
     earlier = by_text(equal)
     found = staged(classes(joined_texts(docs, earlier, "left", "gone"), counts.scalar()), "classes").withColumn("no", F.col("first.no"))
     crowd = crowded(found)
-    heads = with_head(found, crowd, hot)
+    there = staged(postings(found, hot, "no").join(bounded(crowd), "word", "left_semi"), "there")
+    heads = with_head(there)
     near = verified(docs, found, heads, unique)
     done = bounded(staged(near.select("key", "key2"), "done"))
-    still = staged(found.join(done, ["key", "key2"], "left_anti"), "still")
-    pairs = with_any(still, found, crowd, hot)
+    pairs = with_any(done, there, found, crowd, hot)
     opened = staged(pairs.join(done, "key", "left_anti"), "open")
     likely = verified(docs, found, best := staged(nearest(opened), "nearest"), unique)
     rest = staged(opened.join(likely.select("key").distinct(), "key", "left_anti").join(best, ["key", "other"], "left_anti"), "rest")
     last = verified(docs, found, rest, unique)
     similar = near.union(likely).union(last).select("first.id", "first.th", "first.no")
     out = by_text(equal.union(similar))
-    drop_staged(counts, equal, earlier, found, crowd, heads, near, still, pairs, opened, best, likely, rest, last)
+    drop_staged(counts, equal, earlier, found, crowd, there, heads, near, pairs, opened, best, likely, rest, last)
     return out
 
 

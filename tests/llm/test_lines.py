@@ -117,3 +117,20 @@ def test_query_equals_sql(spark):
     want = sorted(con.execute(lines.SQL).fetchall())
     got = sorted((r.doc_id, r.n_lines, r.n_removed, r.text_md5) for r in queries.op2_line_dedup(spark, folder).collect())
     assert got == want and sum(r[2] for r in want) > 100
+
+
+def test_crowded_words_are_listed_once(spark, monkeypatch):
+    """Both joins by crowded words read one staged table; the passes list the other words."""
+    calls, listed = [], lines.postings
+
+    def counted(*args):
+        calls.append(args)
+        return listed(*args)
+
+    monkeypatch.setattr(lines, "postings", counted)
+    monkeypatch.setattr(lines, "CROWD", 1)
+    monkeypatch.setattr(lines, "SAMPLED", 1)
+    rows = corpus(20, 5)
+    got = sorted((r.doc_id, r.text, r.n_removed) for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == plain(rows)
+    assert len(calls) == 1 + lines.PASSES
