@@ -1,8 +1,8 @@
 """Line dedup: an exact set-similarity join of lines, in DataFrame operations only.
 
 A line's words are a set. Words are put in one order for all lines, rarest first:
-by the count of the hash bucket they fall in, counted over all texts, then by
-hash. For lines x and y of Jaccard similarity t or more:
+by the count of the hash bucket they fall in, counted over all lines but copies,
+then by hash. For lines x and y of Jaccard similarity t or more:
  - length: the smaller has at least t times the words of the larger;
  - prefix: some word is among the first |x| - ceil(t |x|) + 1 of both;
  - positional: after a shared word at places i and j, at most
@@ -10,7 +10,7 @@ hash. For lines x and y of Jaccard similarity t or more:
    at the first word shared this also holds the smaller line to a shorter prefix;
  - parity: each word flips one bit of a mask, so the masks of x and y differ in no
    more bits than words are in one of them alone.
-What passes is verified by the Jaccard similarity of all words, as 64-bit hashes. A line that equals or is similar
+What passes is verified by the Jaccard similarity of all words, as 64-bit hashes: these are staged once, and counts, order and verification read them there. A line that equals or is similar
 to an earlier line (by document id, then place) is removed, whether or not that
 line stays.
 
@@ -42,10 +42,14 @@ LONG = 90
 MASKS = ("mask", "mask2")
 
 
-def split(text: str) -> str:
-    """SQL: words of a text, some of them empty. Most texts have no other blanks than spaces and line ends, and need no pattern."""
-    other = " or ".join(f"contains({text}, chr({c}))" for c in (0x09, 0x0B, 0x0C, 0x0D))
-    return f"case when {other} then split({text}, '{BLANKS}') else split(replace({text}, '\\n', ' '), ' ') end"
+#: SQL: whether a line has a word. Most start with one, and need no pattern.
+WORDY = "(line >= '!' or line rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
+
+
+def split(line: str) -> str:
+    """SQL: words of a line, some of them empty. Most lines have no other blanks than spaces, and need no pattern."""
+    other = " or ".join(f"contains({line}, chr({c}))" for c in (0x09, 0x0B, 0x0C, 0x0D))
+    return f"case when {other} then split({line}, '{BLANKS}') else split({line}, ' ') end"
 
 
 def count_class(n: Column) -> Column:
@@ -54,15 +58,15 @@ def count_class(n: Column) -> Column:
 
 
 def bucket(word: str) -> str:
-    """SQL: the bucket in which a word is counted."""
-    return f"hash({word}) & {BUCKETS - 1}"
+    """SQL: the bucket in which a word, as a hash, is counted."""
+    return f"{word} & {BUCKETS - 1}L"
 
 
-def bucket_counts(texts: DataFrame) -> tuple[DataFrame, int]:
-    """One row, counts: array with the class of the number of words in each bucket, over all texts, above the bits of a word's hash; and the number of words."""
-    words = texts.select(F.explode(F.expr(split("text"))).alias("w")).where("w <> ''")
-    seen = staged(words.select(F.expr(bucket("w")).cast("long").alias("b")).groupBy("b").agg(F.count("*").alias("n")), "buckets")
-    every = seen.union(texts.sparkSession.range(BUCKETS).select(F.col("id"), F.lit(0).cast("bigint"))).groupBy("b").agg(F.sum("n").alias("n"))
+def bucket_counts(found: DataFrame) -> tuple[DataFrame, int]:
+    """One row, counts: array with the class of the number of words in each bucket, over all lines of found (words), above the bits of a word's hash; and the number of words."""
+    words = found.select(F.explode("words").alias("w"))
+    seen = staged(words.select(F.expr(bucket("w")).alias("b")).groupBy("b").agg(F.count("*").alias("n")), "buckets")
+    every = seen.union(found.sparkSession.range(BUCKETS).select(F.col("id"), F.lit(0).cast("bigint"))).groupBy("b").agg(F.sum("n").alias("n"))
     rows = every.select(F.struct("b", F.shiftleft(count_class(F.col("n")).cast("long"), BITS).alias("n")).alias("x"))
     counts = staged(rows.agg(F.sort_array(F.collect_list("x")).alias("x")).select(F.expr("transform(x, y -> y.n)").alias("counts")), "counts")
     total = seen.agg(F.sum("n")).first()[0] or 0
@@ -72,7 +76,7 @@ def bucket_counts(texts: DataFrame) -> tuple[DataFrame, int]:
 
 def placed(docs: DataFrame) -> DataFrame:
     """(id, th, no, key, key2): every line with a word of docs (id, text, th), and 128 bits that stand for it."""
-    rows = docs.select("id", "th", F.posexplode(F.split("text", "\n")).alias("no", "line")).where("line rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    rows = docs.select("id", "th", F.posexplode(F.split("text", "\n")).alias("no", "line")).where(WORDY)
     return rows.select("id", "th", "no", F.xxhash64("line").alias("key"), F.xxhash64(F.lit(1), "line").alias("key2"))
 
 
@@ -97,9 +101,9 @@ def by_text(places: DataFrame) -> DataFrame:
     return staged(places.groupBy("id", "th").agg(F.collect_set("no").alias("gone")), "gone")
 
 
-def joined_texts(docs: DataFrame, known: DataFrame, how: str, listed: str, width: int = 4) -> DataFrame:
-    """docs (id, th, text) with known (id, th, listed): by broadcast while known is small, else by a shuffle. width: bytes of an entry of listed."""
-    known = bounded(known, 48 + width * F.size(listed)).withColumnsRenamed({"id": "known_id", "th": "known_th"})
+def joined_texts(docs: DataFrame, known: DataFrame, how: str) -> DataFrame:
+    """docs (id, th, text) with known (id, th, gone): by broadcast while known is small, else by a shuffle."""
+    known = bounded(known, 48 + 4 * F.size("gone")).withColumnsRenamed({"id": "known_id", "th": "known_th"})
     on = docs["id"].eqNullSafe(F.col("known_id")) & (docs["th"] == F.col("known_th"))
     return docs.join(known, on, how).drop("known_id", "known_th")
 
@@ -111,8 +115,11 @@ def kept(lines: str, gone: str) -> str:
 
 
 def parity(keys: str, half: bool = False) -> str:
-    """SQL: 64 bits of which every word flips one; with half, only the words of one of two halves do."""
-    return f"aggregate({keys}, 0L, (a, k) -> a ^ shiftleft({'shiftright(k, 6) & 1L' if half else '1L'}, cast(k & 63 as int)))"
+    """SQL: 64 bits of which every word flips one; with half, only the words of one of two halves do, whose bit a constant array holds, as that takes fewer steps a word."""
+    if not half:
+        return f"aggregate({keys}, 0L, (a, k) -> a ^ shiftleft(1L, cast(k & 63 as int)))"
+    bits = ", ".join(["0L"] * 64 + [f"shiftleft(1L, {i})" for i in range(64)])
+    return f"aggregate({keys}, 0L, (a, k) -> a ^ get(array({bits}), k & 127))"
 
 
 def flipped(a: str, b: str) -> tuple[Column, Column, Column]:
@@ -126,17 +133,23 @@ def shortest_shared(n: str) -> str:
     return f"cast(ceil({SIMILAR}D * {n} - 1e-9D) as int)"
 
 
-def classes(docs: DataFrame, counts: Column) -> DataFrame:
-    """Lines of docs (id, th, text, gone) that are not gone: key, key2, first (place), n (words), prefix (in order), masks.
+def line_words(docs: DataFrame) -> DataFrame:
+    """Lines of docs (id, th, text, gone) that are not gone: key, key2, first (place), words (each once, as a hash of 64 bits)."""
+    lines = docs.select("id", "th", "gone", F.split("text", "\n").alias("lines")).select("id", "th", "lines", F.explode(F.expr(kept("lines", "gone"))).alias("no"))
+    lines = lines.select("id", "th", "no", F.get("lines", "no").alias("line")).where(WORDY)
+    words = f"array_remove(array_distinct(transform({split('line')}, w -> xxhash64(w))), xxhash64(''))"
+    return lines.select(F.xxhash64("line").alias("key"), F.xxhash64(F.lit(1), "line").alias("key2"), place().alias("first"), F.expr(words).alias("words"))
+
+
+def classes(words: DataFrame, counts: Column) -> DataFrame:
+    """Lines of words (line_words): key, key2, first (place), n (words), prefix (in order), masks.
 
     counts stands in a projection of its own that the optimizer folds into the
-    next one, so the table is looked into and not copied to every row.
+    next one, so the table is looked into and not copied to every row. An array
+    that can hold no null is sorted as plain numbers.
     """
-    lines = docs.select("id", "th", "gone", F.split("text", "\n").alias("lines")).select("id", "th", "lines", F.explode(F.expr(kept("lines", "gone"))).alias("no"))
-    lines = lines.select("id", "th", "no", F.get("lines", "no").alias("line")).where("line rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    ordered = f"get(counts, {bucket('w')}) | shiftrightunsigned(xxhash64(w), {64 - BITS})"
-    keys = f"sort_array(array_distinct(transform(array_remove({split('line')}, ''), w -> {ordered})))"
-    rows = lines.select("*", counts.alias("counts")).select(F.xxhash64("line").alias("key"), F.xxhash64(F.lit(1), "line").alias("key2"), place().alias("first"), F.expr(keys).alias("keys"))
+    ordered = f"coalesce(get(counts, {bucket('w')}) | shiftrightunsigned(w, {64 - BITS}), 0L)"
+    rows = words.select("*", counts.alias("counts")).select("key", "key2", "first", F.expr(f"sort_array(transform(words, w -> {ordered}))").alias("keys"))
     n = "size(keys)"
     return rows.select(
         "key", "key2", "first", F.expr(n).alias("n"), F.expr(f"slice(keys, 1, {n} - {shortest_shared(n)} + 1)").alias("prefix"),
@@ -227,23 +240,19 @@ def nearest(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("key").agg(F.min_by("other", F.struct("apart", "other")).alias("other"))
 
 
-def verified(docs: DataFrame, found: DataFrame, pairs: DataFrame, unique: bool = False) -> DataFrame:
-    """(key, key2, first) of the later line of every pair that is similar indeed. unique: no two rows of docs are equal."""
+def verified(lines: DataFrame, pairs: DataFrame, unique: bool = False) -> DataFrame:
+    """(key, key2, first) of the later line of every pair that is similar indeed. lines: of line_words; unique: no two of their texts are equal in id and text."""
     ends = staged(pairs.select("key").union(pairs.select("other")).distinct(), "ends")
-    where = found.join(bounded(ends), "key", "left_semi").select("key", "key2", "first", "first.id", "first.th", "first.no")
-    listed = staged(where.groupBy("id", "th").agg(F.collect_list(F.struct("key", "key2", "no", "first")).alias("wanted")), "wanted")
-    texts = joined_texts(docs, listed, "inner", "wanted", 112)
-    picked = texts.select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w")).select("w.key", "w.key2", "w.first", F.get("lines", F.col("w.no")).alias("line"))
-    hashes = f"array_distinct(transform(array_remove({split('line')}, ''), w -> xxhash64(w)))"
-    picked = picked if unique else picked.dropDuplicates(["key", "key2"])
-    words = staged(picked.select("key", "key2", "first", F.expr(hashes).alias("words")), "words")
+    picked = lines.join(bounded(ends), "key", "left_semi")
+    words = staged(picked if unique else picked.dropDuplicates(["key", "key2"]), "picked")
     other = words.select(F.col("key").alias("other"), F.col("key2").alias("other2"), F.col("first").alias("other_first"), F.col("words").alias("other_words"))
     both = pairs.join(words, "key").join(other, "other")
-    shared = F.size(F.array_intersect("words", "other_words"))
-    alike = both.where(shared >= SIMILAR * (F.size("words") + F.size("other_words") - shared) - 1e-9)
+    # In whole numbers, and with the intersection named once, as a filter works out every mention.
+    shared, all_words = F.size(F.array_intersect("words", "other_words")).cast("long"), (F.size("words") + F.size("other_words")).cast("long")
+    alike = both.where(shared * round(1000 * (1 + SIMILAR)) >= all_words * round(1000 * SIMILAR))
     later = F.when(F.col("first") > F.col("other_first"), F.struct("key", "key2", "first")).otherwise(F.struct(F.col("other").alias("key"), F.col("other2").alias("key2"), F.col("other_first").alias("first")))
     out = staged(alike.select(later.alias("x")).select("x.*").distinct(), "resolved")
-    drop_staged(ends, listed, words)
+    drop_staged(ends, words)
     return out
 
 
@@ -257,24 +266,26 @@ def removals(docs: DataFrame) -> DataFrame:
     not n * n.
     """
     unique = docs.groupBy("id", "th").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
-    counts, total = bucket_counts(docs)
-    hot = docs.sparkSession.range(1).select(count_class(F.lit(total // HOT + 256))).first()[0]
     equal = copies(docs)
     earlier = by_text(equal)
-    found = staged(classes(joined_texts(docs, earlier, "left", "gone"), counts.scalar()), "classes").withColumn("no", F.col("first.no"))
+    words = staged(line_words(joined_texts(docs, earlier, "left")), "words")
+    counts, total = bucket_counts(words)
+    hot = docs.sparkSession.range(1).select(count_class(F.lit(total // HOT + 256))).first()[0]
+    found = staged(classes(words, counts.scalar()), "classes").withColumn("no", F.col("first.no"))
     crowd = crowded(found)
     there = staged(postings(found, hot, "no").join(bounded(crowd), "word", "left_semi"), "there")
     heads = with_head(there)
-    near = verified(docs, found, heads, unique)
+    near = verified(words, heads, unique)
     done = bounded(staged(near.select("key", "key2"), "done"))
     pairs = with_any(done, there, found, crowd, hot)
+    drop_staged(counts, earlier, found, crowd, there)
     opened = staged(pairs.join(done, "key", "left_anti"), "open")
-    likely = verified(docs, found, best := staged(nearest(opened), "nearest"), unique)
+    likely = verified(words, best := staged(nearest(opened), "nearest"), unique)
     rest = staged(opened.join(likely.select("key").distinct(), "key", "left_anti").join(best, ["key", "other"], "left_anti"), "rest")
-    last = verified(docs, found, rest, unique)
+    last = verified(words, rest, unique)
     similar = near.union(likely).union(last).select("first.id", "first.th", "first.no")
     out = by_text(equal.union(similar))
-    drop_staged(counts, equal, earlier, found, crowd, there, heads, near, pairs, opened, best, likely, rest, last)
+    drop_staged(equal, words, heads, near, pairs, opened, best, likely, rest, last)
     return out
 
 
@@ -289,7 +300,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rest = [c for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("th"), F.struct(*rest).alias("rest"))
     gone = removals(source.select("id", "text", "th").where("text is not null"))
-    out = joined_texts(source, gone, "left", "gone").withColumn("lines", F.split("text", "\n"))
+    out = joined_texts(source, gone, "left").withColumn("lines", F.split("text", "\n"))
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.expr(f"transform({kept('lines', 'gone')}, i -> get(lines, i))"), "\n"))
     out = out.select("rest", text.alias("text"), F.coalesce(F.size("lines"), F.lit(0)).alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"))
     kinds = [F.col(f"rest.{c}") if c != text_col else F.col("text").alias(text_col) for c in docs.columns if c not in ("n_lines", "n_removed")]

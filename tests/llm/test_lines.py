@@ -134,3 +134,24 @@ def test_crowded_words_are_listed_once(spark, monkeypatch):
     got = sorted((r.doc_id, r.text, r.n_removed) for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == plain(rows)
     assert len(calls) == 1 + lines.PASSES
+
+
+def test_words_are_cut_once_and_sorted_without_nulls(spark, monkeypatch):
+    """Counts, order and verification read the hashes of one staged table; the array that is sorted can hold no null."""
+    calls, cut, classed, prefixes = [], lines.split, lines.classes, []
+
+    def counted(line):
+        calls.append(line)
+        return cut(line)
+
+    def seen(*args):
+        prefixes.append(classed(*args))
+        return prefixes[-1]
+
+    monkeypatch.setattr(lines, "split", counted)
+    monkeypatch.setattr(lines, "classes", seen)
+    rows = [*corpus(20, 5), (900, "  two  blanks here \n\u00e9\n\x01\n \t \n\ttab first")]
+    got = sorted((r.doc_id, r.text, r.n_removed) for r in lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == plain(rows)
+    assert len(calls) == 1
+    assert not prefixes[0].schema["prefix"].dataType.containsNull
